@@ -1 +1,124 @@
+"""Queries of the data problems: orphan references, nested files, drifting schemas, two copies."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sheaf.operators.copies import copy_differences, inventory_fields
+from sheaf.operators.drift import consistent_manifests, schema_changes
+from sheaf.operators.nesting import FORMAT, MANIFEST, flat_objects, labelled_objects, typed_table
+from sheaf.operators.references import Parents, References, orphan_references
+from sheaf.plans.registry import query
+from sheaf.session import table
+
+_CASES_SQL = """
+with refs as (
+  select 'field_observations' ref_table, 'target' ref_field, obs_id record_id, observed_at ts, source_sha256 s, 'bookmarks' p, '' u, target k from field_observations
+  union all select 'role_assignments', 'bookmark_name', assignment_id, assigned_at, source_sha256, 'bookmarks', '', bookmark_name from role_assignments
+  union all select 'role_assignments', 'element_path', assignment_id, assigned_at, source_sha256, 'blocks', part_uri, element_path from role_assignments),
+parents as (
+  select 'bookmarks' p, source_sha256 s, '' u, bookmark_name k, created_at o, removed_at c from bookmarks
+  union all select 'blocks', source_sha256, part_uri, element_path, recorded_at, deleted_at from blocks),
+cases as (
+  select distinct ref_table, ref_field, record_id, strftime(ts, '%Y-%m') ref_month,
+    case when exists (select 1 from parents q where q.p = r.p and q.s = r.s and q.u = r.u and q.k = r.k and q.o <= r.ts and (q.c is null or q.c > q.o)) then 'deleted'
+         when exists (select 1 from parents q where q.p = r.p and q.s = r.s and q.u = r.u and q.k = r.k and q.o is not null and (q.c is null or q.c > q.o)) then 'late' else 'missing' end status
+  from refs r where s is not null and u is not null and k is not null and ts is not null
+    and not exists (select 1 from parents q where q.p = r.p and q.s = r.s and q.u = r.u and q.k = r.k and q.o <= r.ts and (q.c is null or q.c > r.ts)))
+"""
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields, roles = table(spark, sf_dir, "field_observations"), table(spark, sf_dir, "role_assignments")
+    return orphan_references(
+        [
+            References("field_observations", "target", fields, "obs_id", "observed_at", ("source_sha256", "target"), "bookmarks"),
+            References("role_assignments", "bookmark_name", roles, "assignment_id", "assigned_at", ("source_sha256", "bookmark_name"), "bookmarks"),
+            References("role_assignments", "element_path", roles, "assignment_id", "assigned_at", ("source_sha256", "part_uri", "element_path"), "blocks"),
+        ],
+        [
+            Parents("bookmarks", table(spark, sf_dir, "bookmarks"), ("source_sha256", "bookmark_name"), "created_at", "removed_at"),
+            Parents("blocks", table(spark, sf_dir, "blocks"), ("source_sha256", "part_uri", "element_path"), "recorded_at", "deleted_at"),
+        ],
+    )
+
+
+@query("p1_found", _CASES_SQL + "select ref_table, ref_field, record_id, ref_month from cases")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References without a row valid at their time."""
+    return _cases(spark, sf_dir).where("status <> 'undated'").select("ref_table", "ref_field", "record_id", "ref_month")
+
+
+@query("p1_report", _CASES_SQL + "select ref_table, ref_field, ref_month, status, count(*) n_references from cases group by all")
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orphan references per table, field, month and status."""
+    return _cases(spark, sf_dir).groupBy("ref_table", "ref_field", "ref_month", "status").agg(F.count(F.lit(1)).alias("n_references"))
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outline nodes, roles, variants and pages with a label, each with its place and its parent's."""
+    return labelled_objects(table(spark, sf_dir, "manifest_files"), table(spark, sf_dir, "format_files"))
+
+
+def _register_typed() -> None:
+    for what, name, file_id, states in (("outline_node", "manifest_files", "manifest_id", MANIFEST), *((k, "format_files", "file_id", FORMAT) for k in ("page", "role", "variant"))):
+
+        def run(spark: SparkSession, sf_dir: str, what=what, name=name, file_id=file_id, states=states) -> DataFrame:
+            return typed_table(flat_objects(table(spark, sf_dir, name), file_id, "raw_json", states), what)
+
+        query(f"p3_{what}s")(run)
+
+
+_register_typed()
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change of schema from batch to batch of a producer."""
+    return schema_changes(table(spark, sf_dir, "manifest_files"))
+
+
+@query("p4_table")
+def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All manifests in one form, each with the steps that brought it there."""
+    return consistent_manifests(table(spark, sf_dir, "manifest_files"))
+
+
+_COPY_SQL = """
+with both_copies as (
+  select 'a' side, inv_id, extracted_at, paragraph_counts, media_hashes, missing_occurrences, paragraph_total from inventory_prepared
+  union all select 'b', inv_id, extracted_at, paragraph_counts, media_hashes, missing_occurrences, paragraph_total from inventory_delivered),
+latest as (
+  select distinct side, inv_id,
+    case when paragraph_counts is not null then list_sort(list_transform(list_filter(map_entries(paragraph_counts), lambda x: x.value is null or x.value <> 0), lambda x: x.key || chr(0) || coalesce(x.value::varchar, '-'))) end c,
+    case when media_hashes is not null then list_sort(list_distinct(list_transform(media_hashes, lambda x: lower(x)))) end m,
+    list_sort(missing_occurrences) o, paragraph_total t
+  from both_copies where inv_id is not null
+  qualify extracted_at is not distinct from max(extracted_at) over (partition by side, inv_id)),
+paired as (select coalesce(a.inv_id, b.inv_id) inv_id, a.inv_id ia, b.inv_id ib, a.c ac, b.c bc, a.m am, b.m bm, a.o ao, b.o bo, a.t at_, b.t bt
+  from (select * from latest where side = 'a') a full join (select * from latest where side = 'b') b on a.inv_id = b.inv_id),
+found as (
+  select inv_id, 'row' field_name, case when ib is null then 'only_prepared' else 'only_delivered' end diff_kind from paired where ia is null or ib is null
+  union select inv_id, 'paragraph_counts', 'differs' from paired where ia = ib and ac is distinct from bc
+  union select inv_id, 'media_hashes', 'differs' from paired where ia = ib and am is distinct from bm
+  union select inv_id, 'missing_occurrences', 'differs' from paired where ia = ib and ao is distinct from bo
+  union select inv_id, 'paragraph_total', 'differs' from paired where ia = ib and at_ is distinct from bt)
+"""
+
+
+def _differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copy_differences(table(spark, sf_dir, "inventory_prepared"), table(spark, sf_dir, "inventory_delivered"), "inv_id", inventory_fields(), "extracted_at", ("prepared", "delivered"))
+
+
+@query("p5_found", _COPY_SQL + "select inv_id, field_name, diff_kind from found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inventories in one copy only, and every field that differs between the copies."""
+    return _differences(spark, sf_dir)
+
+
+@query("p5_report", _COPY_SQL + "select field_name, diff_kind, count(*) n_inventories from found group by all")
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many inventories differ in each field."""
+    return _differences(spark, sf_dir).groupBy("field_name", "diff_kind").agg(F.count(F.lit(1)).alias("n_inventories"))
