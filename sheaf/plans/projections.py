@@ -63,7 +63,7 @@ def path_order(path: F.Column) -> F.Column:
     return F.transform(F.regexp_extract_all(path, F.lit(r"\[(\d+)\]"), 1), lambda x: x.cast("int"))
 
 
-@query("pj05_node_range", f"with {CURRENT} select {_K}, list_transform(regexp_extract_all(element_path, '\\[(\\d+)\\]', 1), lambda x: x::int) path_order from current_blocks where path_order >= [5] and path_order <= [20]")
+@query("pj05_node_range", f"with {CURRENT} select {_K}, list_transform(regexp_extract_all(element_path, '\\[(\\d+)\\]', 1), lambda x: x::int) path_order from current_blocks where list_sort([path_order, [5]])[1] = [5] and list_sort([path_order, [20]])[2] = [20]")
 def pj05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes whose path lies in a range."""
     order = path_order(c("element_path"))
