@@ -1 +1 @@
-
+"""Streams: a general capability of Spark; the surveyed operators are all batch."""
