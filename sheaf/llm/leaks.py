@@ -15,17 +15,16 @@ never shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import unicodedata
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm.lookalike import SCANNED, TOP, fold_codes, sliced, to_codes
+from sheaf.llm.lookalike import fold_codes, sliced, to_codes
+from sheaf.llm.tokens import HAN, OTHER, Units, characters_of, folded, kinds, scatter, words_of
 from sheaf.session import table
 
 WORDS, CHARACTERS = 18, 40
@@ -35,72 +34,6 @@ BLOCK = 20_000
 UNITS = ("mm", "cm", "m", "km", "pt", "px", "kg", "g", "mg", "l", "ml", "s", "ms", "min", "h", "kb", "mb", "gb", "pages", "seiten", "percent", "prozent")
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 STEP = np.uint64(0x100000001B3)
-OTHER, LETTER, DIGIT, HAN = 0, 1, 2, 3
-
-
-@lru_cache(maxsize=1)
-def kinds() -> np.ndarray:
-    """By code point: part of no word, a letter or its mark, a digit, or a Chinese character."""
-    kind = np.zeros(TOP, dtype=np.uint8)
-    for low, high in SCANNED:
-        for code in range(low, high):
-            category = unicodedata.category(chr(code))
-            kind[code] = DIGIT if category[0] == "N" else LETTER if category[0] in "LM" else OTHER
-    kind[0xAC00:0xD7A4] = LETTER
-    kind[0x3007] = HAN
-    for low, high in ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0x20000, 0x323B0)):
-        kind[low:high] = HAN
-    return kind
-
-
-def scatter(x: np.ndarray) -> np.ndarray:
-    """Spreads 64-bit values so that sums of them collide only by chance."""
-    x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
-class Units(NamedTuple):
-    row: np.ndarray  # the text each unit belongs to
-    hash: np.ndarray
-    digits: np.ndarray  # whether it is a number
-    start: np.ndarray  # its place in codes
-    end: np.ndarray
-    codes: np.ndarray
-
-
-def folded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points in one look and case, the row of each, and what each is."""
-    codes, bounds = fold_codes(*to_codes(texts), caseless=True)
-    return codes, np.repeat(np.arange(len(texts)), np.diff(bounds)), kinds()[codes]
-
-
-def words_of(codes: np.ndarray, row: np.ndarray, kind: np.ndarray) -> Units:
-    """Runs of letters and digits."""
-    inside = kind != OTHER
-    edge = np.ones(len(codes), dtype=bool)
-    edge[1:] = (row[1:] != row[:-1]) | ~inside[:-1]
-    start = np.flatnonzero(inside & edge)
-    if not len(start):
-        empty = np.zeros(0, dtype=np.int64)
-        return Units(empty, empty.astype(np.uint64), empty.astype(bool), empty, empty, codes)
-    stop = np.ones(len(codes), dtype=bool)
-    stop[:-1] = (row[1:] != row[:-1]) | ~inside[1:]
-    end = np.flatnonzero(inside & stop) + 1
-    size = end - start
-    own = codes[inside].astype(np.uint64)
-    first = np.cumsum(size) - size
-    place = (np.arange(len(own)) - np.repeat(first, size)).astype(np.uint64)
-    return Units(row[start], scatter(np.add.reduceat(scatter(own + (place << np.uint64(21))), first)), np.minimum.reduceat(np.where(kind[inside] == DIGIT, 1, 0), first) == 1, start, end, codes)
-
-
-def characters_of(codes: np.ndarray, row: np.ndarray, kind: np.ndarray) -> Units:
-    """Single letters, digits and Chinese characters, of texts that have any of the last."""
-    chinese = np.zeros(int(row[-1]) + 1 if len(row) else 0, dtype=bool)
-    chinese[row[kind == HAN]] = True
-    at = np.flatnonzero((kind != OTHER) & chinese[row]) if len(row) else np.zeros(0, dtype=np.int64)
-    return Units(row[at], scatter(codes[at]), kind[at] == DIGIT, at, at + 1, codes)
 
 
 def held(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
