@@ -124,6 +124,7 @@ def flat_objects(files: DataFrame, file_id: str, raw: str, states: dict[str, Sta
     def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[dict] = []
+            size = 0
             for number, text in zip(batch.column(0), batch.column(1)):
                 try:
                     document = parse(text.as_py())
@@ -131,9 +132,10 @@ def flat_objects(files: DataFrame, file_id: str, raw: str, states: dict[str, Sta
                     continue
                 for at, parent, what, variant, depth, labelled, fields in objects(document, states):
                     rows.append({"file_id": number.as_py(), "node_pointer": at, "parent_pointer": parent, "kind": what, "variant": variant, "depth": depth, "labelled": labelled, "fields": fields})
-                    if len(rows) >= 20_000:
+                    size += 200 + len(at) + len(parent)  # pointers of deep files are long
+                    if size >= 1 << 22:
                         yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-                        rows = []
+                        rows, size = [], 0
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     return files.where(F.col(raw).isNotNull()).select(F.col(file_id).cast("long").alias("file_id"), raw).mapInArrow(flatten, COLUMNS)

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import scalars as S
 from sheaf.operators.candidates import ranked_candidates
-from sheaf.operators.matching import first_contained, first_rule, latest_before
-from sheaf.operators.windows import numbered, running
-from sheaf.plans.carriers import CURRENT, DRAWN, current_blocks, distinct_rows, drawn_blocks
-from sheaf.plans.joins import ASSIGNED, assigned, heads
+from sheaf.operators.matching import first_contained, first_rule
+from sheaf.operators.windows import numbered
+from sheaf.plans.carriers import CURRENT, current_blocks, distinct_rows
+from sheaf.plans.joins import ASSIGNED, assigned
 from sheaf.plans.registry import query
 from sheaf.plans.scalars import SP, sql_strip
 from sheaf.plans.windows import ORDERED, ordered
@@ -263,3 +263,40 @@ def s25(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = c("cached_value")
     fault = F.when(c("target").isNull(), "no_name").when(value.isNull(), "no_value").when(~value.rlike(r"^\d+$"), "no_number").when(value.try_cast("int") < 1, "below_one").when(c("k") > 1, "repeated")
     return rows.join(twice, ["source_sha256", "target"], "left").select("obs_id", fault.alias("fault"))
+
+
+@query("s06_tree_faults")
+def s06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outline nodes whose level is not their depth, that have no title, or that are folders without children."""
+    from sheaf.operators.nesting import MANIFEST, flat_objects, typed_table
+
+    nodes = typed_table(flat_objects(table(spark, sf_dir, "manifest_files"), "manifest_id", "raw_json", MANIFEST), "outline_node")
+    faults = F.array_compact(F.array(F.when(c("level") != c("depth") + 1, "level"), F.when(F.coalesce("title", F.lit("")) == "", "title"), F.when((c("type") == "folder") & ~c("variant").contains("children:list") & ~c("variant").contains("children:single"), "empty_folder")))
+    return nodes.select("file_id", "node_pointer", F.explode(faults).alias("fault"))
+
+
+@query("k03_build_record")
+def k03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row that records the inputs and the fields by whether they have a value."""
+    from sheaf.sources.files import build_record
+
+    checks = distinct_rows(spark, sf_dir, "field_observations").select(F.when(c("cached_value").isNull(), "not_run").otherwise("passed").alias("status"))
+    return build_record(table(spark, sf_dir, "blocks"), checks)
+
+
+@query("s14_semantic_inventory", f"with {CURRENT} select source_sha256, kind, count(*) n from (select source_sha256, 'paragraph' kind from current_blocks where regexp_replace(coalesce(visible_text, ''), '{SP}+', '', 'g') <> '' union all select source_sha256, unnest(protected_objects) from current_blocks) group by all")
+def s14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document must keep: its paragraphs with text and its protected objects, counted by kind."""
+    blocks = current_blocks(spark, sf_dir)
+    paragraphs = blocks.where(S.delete_space(F.coalesce("visible_text", F.lit(""))) != "").select("source_sha256", F.lit("paragraph").alias("kind"))
+    objects = blocks.select("source_sha256", F.explode("protected_objects").alias("kind"))
+    return paragraphs.unionByName(objects).groupBy("source_sha256", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s17_feature_counts", "select manifest_id, f as feature, ((length(raw_json) - length(replace(raw_json, f, ''))) // length(f))::int as n from (select distinct manifest_id, raw_json from manifest_files), unnest(['\"children\"', '\"outline_rules\"', '\"_comment']) t(f) where contains(raw_json, f)")
+def s17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each of a list of raw tokens stands in each file."""
+    rows = table(spark, sf_dir, "manifest_files").select("manifest_id", "raw_json").distinct()
+    tokens = rows.withColumn("feature", F.explode(F.array(*map(F.lit, ('"children"', '"outline_rules"', '"_comment')))))
+    n = ((F.length("raw_json") - F.length(F.replace("raw_json", "feature", F.lit("")))) / F.length("feature")).cast("int")
+    return tokens.where(F.contains("raw_json", "feature")).select("manifest_id", "feature", n.alias("n"))
