@@ -12,41 +12,26 @@ Chinese text is read as pairs of neighbouring characters.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm.lookalike import fold_array, sliced
-from sheaf.session import table
+from sheaf.llm.lookalike import sliced
+from sheaf.llm.tokens import folded, reading_units, sentences_of
+from sheaf.session import cut, table
 
 BANDS, LEAST_CHARS = 4, 150
 #: A listed word is in this share of the documents at least, and in so many.
 LISTED_SHARE, LISTED_LEAST = 0.001, 3
 #: Bound of the labelled sample: documents, taken by the hash of their id.
 LABELLED = 20_000
-WORD = regex.compile(r"\p{Han}+|[^\W\d_]+(?:['-][^\W\d_]+)*")
-SENTENCE = regex.compile(r"[^.!?。！？;；\n]*[^\W_][^.!?。！？;；\n]*")
-
-
-def words_of(text: str) -> list[str]:
-    """Words of a folded text; of a Chinese run its character pairs."""
-    out: list[str] = []
-    for word in WORD.findall(text):
-        if "㐀" <= word[0] and len(word) > 1 and regex.match(r"\p{Han}", word):
-            out += [word[i : i + 2] for i in range(len(word) - 1)]
-        else:
-            out.append(word)
-    return out
-
 
 class Scale(NamedTuple):
-    index: dict[str, int]  # the high-frequency list
+    listed: np.ndarray  # the high-frequency list: sorted hashes of its words
     familiar: np.ndarray  # by listed word: share of opinions at each level
     mean: np.ndarray
     spread: np.ndarray
@@ -54,31 +39,35 @@ class Scale(NamedTuple):
 
 
 def document_counts(documents: DataFrame) -> DataFrame:
-    """word and n, the number of documents that have it; under the empty word the number of documents with a text."""
+    """word (a hash) and n, the number of documents that have it; under 0 the number of documents with any."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        words, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         for batch in batches:
             for _, part in sliced(batch.column(0)):
-                for text in fold_array(part, caseless=True):
-                    own = set(words_of(text.as_py() or ""))
-                    if own:
-                        own.add("")
-                        seen.update(own)
-                if len(seen) > 300_000:
-                    yield pa.RecordBatch.from_pydict({"word": list(seen), "n": list(seen.values())})
-                    seen.clear()
-        yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
-
-    return documents.select("text").where(F.length("text") > 0).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def high_frequency_list(documents: DataFrame) -> list[str]:
-    """Words in LISTED_SHARE of the documents or more. Its length is at most a document's mean number of words over that share."""
-    counts = document_counts(documents)
-    total = counts.where("word = ''").agg(F.max("n").alias("total"))
-    listed = counts.join(F.broadcast(total), F.col("n") >= F.greatest(F.lit(LISTED_LEAST), F.col("total") * LISTED_SHARE)).where("word <> ''").select("word")
-    return sorted(listed.toArrow().column("word").to_pylist())
+                row, value = reading_units(*folded(part))
+                by = np.lexsort((value, row))
+                row, value = row[by], value[by]
+                once = np.ones(len(row), dtype=bool)
+                once[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+                own, n = np.unique(value[once], return_counts=True)
+                texts = len(np.unique(row))
+                words, where = np.unique(np.concatenate([words, own, np.zeros(1, dtype=np.uint64)]), return_inverse=True)
+                counts = np.bincount(where, np.concatenate([counts, n, [texts]]), minlength=len(words)).astype(np.int64)
+                if len(words) > 1_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
+                    words, counts = words[:0], counts[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
+
+    return documents.select("text").where(F.length("text") > 0).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def high_frequency_list(documents: DataFrame) -> np.ndarray:
+    """Sorted hashes of the words in LISTED_SHARE of the documents or more. It has at most a document's mean number of words over that share."""
+    counts = cut(document_counts(documents))
+    total = counts.where("word = 0").first()
+    least = max(LISTED_LEAST, (total["n"] if total else 0) * LISTED_SHARE)
+    return np.sort(counts.where(F.col("n") >= least).where("word <> 0").toArrow().column("word").to_numpy().view(np.uint64))
 
 
 def readers_sample(labels: DataFrame) -> dict[int, np.ndarray]:
@@ -98,18 +87,18 @@ def readers_sample(labels: DataFrame) -> dict[int, np.ndarray]:
     return dict(zip(rows.column("doc_id").to_pylist(), votes / np.maximum(votes.sum(1, keepdims=True), 1)))
 
 
-def described(texts: pa.Array, index: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts: listed words one after another, their number, the number of words, and of sentences."""
-    flat: list[int] = []
-    listed, words, sentences = (np.zeros(len(texts), dtype=np.int64) for _ in range(3))
+def described(texts: pa.Array, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts: places of listed words one after another, their number, the number of words, and of sentences."""
+    flat: list[np.ndarray] = [np.zeros(0, dtype=np.int64)]
+    known, words, sentences = (np.zeros(len(texts), dtype=np.int64) for _ in range(3))
     for first, part in sliced(texts):
-        for i, (raw, text) in enumerate(zip(part, fold_array(part, caseless=True)), first):
-            own = words_of(text.as_py() or "")
-            known = [k for k in map(index.get, own) if k is not None]
-            flat += known
-            listed[i], words[i] = len(known), len(own)
-            sentences[i] = len(SENTENCE.findall(raw.as_py() or ""))
-    return np.array(flat, dtype=np.int64), listed, words, sentences
+        row, value = reading_units(*folded(part))
+        place = np.searchsorted(listed, value)
+        hit = listed[np.minimum(place, len(listed) - 1)] == value if len(listed) else np.zeros(len(value), dtype=bool)
+        flat.append(place[hit])
+        span = slice(first, first + len(part))
+        known[span], words[span], sentences[span] = np.bincount(row[hit], minlength=len(part)), np.bincount(row, minlength=len(part)), sentences_of(part)
+    return np.concatenate(flat), known, words, sentences
 
 
 def features(familiar: np.ndarray, flat: np.ndarray, listed: np.ndarray, words: np.ndarray, sentences: np.ndarray) -> np.ndarray:
@@ -123,13 +112,13 @@ def features(familiar: np.ndarray, flat: np.ndarray, listed: np.ndarray, words:
     return np.column_stack([mean, most, outside, length])
 
 
-def fit(index: dict[str, int], votes: np.ndarray, flat: np.ndarray, listed: np.ndarray, words: np.ndarray, sentences: np.ndarray) -> Scale:
+def fit(listed_words: np.ndarray, votes: np.ndarray, flat: np.ndarray, listed: np.ndarray, words: np.ndarray, sentences: np.ndarray) -> Scale:
     """Familiarity of listed words by level, and the formula's weights, by gradient descent on the readers' shares."""
     row = np.repeat(np.arange(len(listed)), listed)
     once = np.unique(np.stack([row, flat], 1), axis=0) if len(flat) else np.zeros((0, 2), dtype=np.int64)
-    seen = np.full((len(index), BANDS), 0.3)
+    seen = np.full((len(listed_words), BANDS), 0.3)
     for b in range(BANDS):
-        seen[:, b] += np.bincount(once[:, 1], votes[once[:, 0], b], minlength=len(index))
+        seen[:, b] += np.bincount(once[:, 1], votes[once[:, 0], b], minlength=len(listed_words))
     seen /= np.maximum(votes.sum(0), 1)
     familiar = seen / seen.sum(1, keepdims=True)
     x = features(familiar, flat, listed, words, sentences)
@@ -140,11 +129,11 @@ def fit(index: dict[str, int], votes: np.ndarray, flat: np.ndarray, listed: np.n
         z = x @ weight
         p = np.exp(z - z.max(1, keepdims=True))
         weight -= 0.5 * (x.T @ (p / p.sum(1, keepdims=True) - votes) / len(x) + 1e-3 * weight)
-    return Scale(index, familiar, mean, spread, weight)
+    return Scale(listed_words, familiar, mean, spread, weight)
 
 
 def bands_of(texts: pa.Array, scale: Scale) -> np.ndarray:
-    x = (features(scale.familiar, *described(texts, scale.index)) - scale.mean) / scale.spread
+    x = (features(scale.familiar, *described(texts, scale.listed)) - scale.mean) / scale.spread
     return (np.column_stack([x, np.ones(len(x))]) @ scale.weight).argmax(1) + 1
 
 
@@ -154,7 +143,7 @@ def fitted(documents: DataFrame, labels: DataFrame) -> Scale | None:
     votes = readers_sample(labels)
     if not votes:
         return None
-    index = {w: i for i, w in enumerate(high_frequency_list(documents))}
+    index = high_frequency_list(documents)
     shared = spark.sparkContext.broadcast(index)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
