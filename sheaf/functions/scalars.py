@@ -161,7 +161,7 @@ def numbering(text: Column) -> Column:
 
 def field_instruction(text: Column) -> Column:
     """a field's instruction with single spaces and single backslashes; empty for null."""
-    return F.regexp_replace(collapse_space(F.coalesce(text, F.lit(""))), r"\\{2,}", r"\\\\")
+    return F.regexp_replace(collapse_space(F.coalesce(text, F.lit(""))), r"\\{2,}", r"\\")
 
 
 def field_command(text: Column) -> Column:
@@ -211,7 +211,7 @@ def filename_fault(name: Column) -> Column:
     stem = F.regexp_replace(name, r"(?i)\.docx$", "")
     return (
         F.when(name.isNull() | (strip(name) == ""), "empty")
-        .when(~name.rlike(r"(?i).\.docx$"), "suffix")
+        .when(~name.rlike(r"(?is).\.docx\z"), "suffix")
         .when(name.rlike(r'[<>:"/\\|?*]'), "forbidden")
         .when(name.rlike(r"[\x00-\x1f\x7f-\x{9f}]"), "control")
         .when(name.rlike(r"^(\.|~\$)"), "hidden")

@@ -21,7 +21,7 @@ HIDDEN_BY = ((".doc", ".docx"), (".pdf", ".pptx"))
 
 
 def listed(spark: SparkSession, folder: str) -> DataFrame:
-    """Path, folder, name, modificationTime and length of every file below a folder; contents are not read."""
+    """Path, folder, name, modificationTime and length of every file below a folder; contents are not read, empty files not listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "modificationTime", "length")
     return files.withColumns({"name": F.element_at(F.split("path", "/"), -1), "folder": F.regexp_replace("path", "/[^/]+$", "")})
 
