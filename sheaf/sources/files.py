@@ -143,3 +143,30 @@ def write_failure(path: str, error: BaseException, details: dict | None = None)
     """What went wrong, beside the results and never over a file that is there."""
     with open(path, "x", encoding="utf-8") as file:
         json.dump({"error": type(error).__name__, "message": str(error), **(details or {})}, file, ensure_ascii=False)
+
+
+def build_outline(spark: SparkSession, strategy: str, path: str, rules: list[tuple[str, int]] | None = None) -> DataFrame:
+    """The outline of a source by its strategy; an unknown strategy or an empty outline is an error.
+
+    directory_tree: the files of a folder. docx_document: headings of packages by outline level. highlighted_docx: their
+    paragraphs by the first of rules. explicit_tree: the nodes of manifests.
+    """
+    from sheaf.operators.matching import first_rule
+    from sheaf.operators.nesting import MANIFEST, flat_objects, typed_table
+    from sheaf.sources.packages import read_packages, typed
+
+    if strategy == "directory_tree":
+        made = outline_of_files(listed(spark, path))
+    elif strategy == "docx_document":
+        made = typed(read_packages(spark, path), "block").where("outline_level is not null").select("source_sha256", "ord", F.col("outline_level").alias("level"), F.col("visible_text").alias("title"))
+    elif strategy == "highlighted_docx":
+        level = first_rule(F.col("visible_text"), rules or [])
+        made = typed(read_packages(spark, path), "block").select("source_sha256", "ord", level.alias("level"), F.col("visible_text").alias("title")).where("level is not null")
+    elif strategy == "explicit_tree":
+        files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("manifest_id"), F.decode("content", "UTF-8").alias("raw_json"))
+        made = typed_table(flat_objects(files, "manifest_id", "raw_json", MANIFEST), "outline_node")
+    else:
+        raise ValueError(f"no strategy named {strategy}")
+    if made.isEmpty():
+        raise ValueError("the outline is empty")
+    return made

@@ -151,3 +151,26 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted((r.day.day, r.norm, r.n) for r in spark.table("bags").collect()) == [(1, "ab", 2), (1, "longer", 1), (2, "ab", 1)]
+
+
+def test_build_outline(spark, tmp_path, found):
+    from sheaf.sources.files import build_outline
+
+    folder = found.select("path").where("path like '%/a.docx'").first().path.removeprefix("file:").rsplit("/", 1)[0]
+    assert [(r.level, r.title) for r in build_outline(spark, "docx_document", folder).orderBy("ord").collect()][0] == (1, "Head\ting")
+    assert build_outline(spark, "highlighted_docx", folder, [("^See", 2)]).first().level == 2
+    assert build_outline(spark, "directory_tree", folder).where("name = 'a.docx'").count() == 1
+    (tmp_path / "m.json").write_text('{"source": {"tree": [{"title": "x", "level": 1}]}}')
+    assert build_outline(spark, "explicit_tree", str(tmp_path)).first().title == "x"
+    with pytest.raises(ValueError, match="empty"):
+        build_outline(spark, "highlighted_docx", folder, [("^nothing", 1)])
+    with pytest.raises(ValueError, match="strategy"):
+        build_outline(spark, "other", folder)
+
+
+def test_heading_pages(spark):
+    from sheaf.operators.pages import heading_pages
+
+    heads = spark.createDataFrame([("d", 1, "a"), ("d", 2, "b"), ("d", 3, "a"), ("d", 4, "none"), ("e", 1, "a")], "doc string, n long, k string")
+    lines = spark.createDataFrame([("d", "a", 2), ("d", "a", 5), ("d", "b", 1), ("d", "b", 4), ("d", "a", 2)], "doc string, k string, page int")
+    assert sorted(tuple(r) for r in heading_pages(heads, lines, "doc", "n", "k", "page").collect()) == [("d", 1, 2), ("d", 2, 4), ("d", 3, 5), ("d", 4, 5), ("e", 1, 1)]
