@@ -32,10 +32,10 @@ def latest_before(rows: DataFrame, starts: DataFrame, by: list[str], at: str, va
     return carried.where("_row is not null").select(*by, at, "_row.*", F.col("_c").alias(into))
 
 
-def by_occurrence(left: DataFrame, right: DataFrame, key: list[str], left_order: list[str], right_order: list[str], left_id: str, right_id: str) -> DataFrame:
+def by_occurrence(left: DataFrame, right: DataFrame, key: list[str], left_order: list[str], right_order: list[str], left_id: str, right_id: str, left_position: str | None = None, right_position: str | None = None) -> DataFrame:
     """key, k, left_id, right_id: the k-th occurrence of a key on the left with the k-th on the right; one is null where the other side has fewer."""
-    a = numbered(left, key, left_order, "k").select(*key, "k", F.col(left_id).alias("left_id"))
-    b = numbered(right, key, right_order, "k").select(*key, "k", F.col(right_id).alias("right_id"))
+    a = numbered(left, key, left_order, "k", left_position).select(*key, "k", F.col(left_id).alias("left_id"))
+    b = numbered(right, key, right_order, "k", right_position).select(*key, "k", F.col(right_id).alias("right_id"))
     return a.join(b, [*key, "k"], "full_outer")
 
 

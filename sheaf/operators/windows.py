@@ -42,9 +42,19 @@ def running(rows: DataFrame, by: list[str], order: list[str], sums: dict[str, Co
     ).drop("_slice", *[f"_{x}_{k}" for k in sums for x in "sc"], *[f"_{x}_{k}" for k in lasts for x in "lc"])
 
 
-def numbered(rows: DataFrame, by: list[str], order: list[str], into: str = "n", position: str | None = None) -> DataFrame:
+def numbered(rows: DataFrame, by: list[str], order: list[str], into: str = "n", position: str | None = None, size: int = SLICE) -> DataFrame:
     """rows with their ordinal in the group, from 1."""
-    return running(rows, by, order, {into: F.lit(1)}, position=position)
+    return running(rows, by, order, {into: F.lit(1)}, position=position, size=size)
+
+
+def ranked_position(first: Column, second: Column) -> Column:
+    """A position for an order by two integers: first, from 0 and small, before second, from 0 to 2^40."""
+    return first.cast("long") * (1 << 40) + second.cast("long")
+
+
+def text_position(text: Column) -> Column:
+    """A position for an order by text: its first two characters, one slice each pair at size 1."""
+    return F.ascii(F.substring(text, 1, 1)).cast("long") * (1 << 21) + F.ascii(F.substring(text, 2, 1))
 
 
 def neighbours(rows: DataFrame, by: list[str], ordinal: str, columns: list[str]) -> DataFrame:

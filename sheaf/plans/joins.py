@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import scalars as S
 from sheaf.operators.matching import bag_difference, by_occurrence, greedy_matches, latest_before, overlay
-from sheaf.operators.windows import latest, numbered
+from sheaf.operators.windows import latest, numbered, ranked_position, text_position
 from sheaf.plans.aggregates import CLUSTERS, FONTS, a03, found_clusters, style_fonts
 from sheaf.plans.carriers import CURRENT, current_blocks, distinct_rows, drawn_blocks
 from sheaf.plans.registry import query
@@ -139,7 +139,7 @@ def j08(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items and assignments paired by the ordinal of their text; what is left over stays single."""
     items = distinct_rows(spark, sf_dir, "inventory_items").where("fingerprint is not null and source is not null")
     roles = assigned(spark, sf_dir).select(c("source_sha256").alias("source"), c("text_hash").alias("fingerprint"), "assignment_id").where("fingerprint is not null and source is not null")
-    return by_occurrence(items, roles, ["source", "fingerprint"], ["item_ord", "item_id"], ["assignment_id"], "item_id", "assignment_id")
+    return by_occurrence(items, roles, ["source", "fingerprint"], ["item_ord", "item_id"], ["assignment_id"], "item_id", "assignment_id", "item_ord", "assignment_id")
 
 
 _SPANS = """spans as (select source_sha256, element_path, part_uri, e - coalesce(length(visible_text), 0) span_start, e span_end from (select *, (sum(coalesce(length(visible_text), 0)) over (partition by source_sha256 order by block_ord, part_uri, element_path))::bigint e from current_blocks where source_sha256 is not null)),
@@ -302,7 +302,7 @@ def j19(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j20(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References rewritten to names that are unique over all documents: the first keeps its name, others get a number."""
     names = table(spark, sf_dir, "bookmarks").where("source_sha256 is not null").select("source_sha256", c("bookmark_name").alias("target")).distinct()
-    mapped = numbered(names, ["target"], ["source_sha256"], "k")
+    mapped = numbered(names.withColumn("_p", text_position(c("source_sha256"))), ["target"], ["source_sha256"], "k", "_p", 1)
     new = F.when(c("k") > 1, F.concat("target", F.lit("_"), (c("k") - 1).cast("string"))).otherwise(c("target"))
     return table(spark, sf_dir, "field_observations").join(mapped, ["source_sha256", "target"]).select("obs_id", c("target").alias("old_name"), new.alias("new_name")).distinct()
 
@@ -372,7 +372,8 @@ def u03(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two inventories one after the other, order kept within each."""
     rows = distinct_rows(spark, sf_dir, "inventory_items").select("source", "kind", "item_ord", "item_id")
     joined = rows.where("kind = 'paragraph'").withColumn("copy", F.lit(0)).unionByName(rows.where("kind <> 'paragraph'").withColumn("copy", F.lit(1)))
-    return numbered(joined, ["source"], ["copy", "item_ord", "item_id"], "k").select("k", "source", "copy", "item_id")
+    placed = joined.withColumn("_p", ranked_position(c("copy"), c("item_ord")))
+    return numbered(placed, ["source"], ["copy", "item_ord", "item_id"], "k", "_p").select("k", "source", "copy", "item_id")
 
 
 @query("u04_unexpected_order")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sheaf.functions import scalars as S
 from sheaf.operators.candidates import ranked_candidates
 from sheaf.operators.matching import first_contained, first_rule
-from sheaf.operators.windows import numbered
+from sheaf.operators.windows import numbered, ranked_position
 from sheaf.plans.carriers import CURRENT, current_blocks, distinct_rows
 from sheaf.plans.joins import ASSIGNED, assigned
 from sheaf.plans.registry import query
@@ -175,7 +175,8 @@ def pj19(spark: SparkSession, sf_dir: str) -> DataFrame:
 def o01(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings of a document in the natural order of their numbers."""
     rows = current_blocks(spark, sf_dir).where("outline_level is not null and visible_text is not null").select(*KEY, "visible_text", S.name_parts(c("visible_text"))["parts"].alias("parts"))
-    return numbered(rows, ["source_sha256"], ["parts", "visible_text", "part_uri", "element_path"], "k").select(*KEY, "k")
+    first = F.coalesce(F.try_element_at("parts", F.lit(1)), F.lit(-1))
+    return numbered(rows.withColumn("_p", first), ["source_sha256"], ["parts", "visible_text", "part_uri", "element_path"], "k", "_p", 1).select(*KEY, "k")
 
 
 @query("o02_ranked_roles")
@@ -192,7 +193,7 @@ _PRIORITY = "case " + " ".join(f"when contains(visible_text, '{w}') then {i}" fo
 def o04(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings by the first declared key they contain, else last; old order within."""
     rows = ordered(spark, sf_dir).where("outline_level is not null").select("source_sha256", "n", F.coalesce(first_contained(c("visible_text"), list(PRIORITY)), F.lit(999)).alias("i"))
-    return numbered(rows, ["source_sha256"], ["i", "n"], "k").select("source_sha256", "n", "k")
+    return numbered(rows.withColumn("_p", ranked_position(c("i"), c("n"))), ["source_sha256"], ["i", "n"], "k", "_p").select("source_sha256", "n", "k")
 
 
 ELEMENTS = ("Title", "Heading1", "Heading2", "Heading3", "Normal")
@@ -202,7 +203,8 @@ ELEMENTS = ("Title", "Heading1", "Heading2", "Heading3", "Normal")
 def o05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks by their style's place in a list, unknown ones last; old order within."""
     place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, ELEMENTS)), c("p_style_id")), F.lit(0)), F.lit(999))
-    return numbered(ordered(spark, sf_dir).select("source_sha256", "n", place.alias("i")), ["source_sha256"], ["i", "n"], "k").select("source_sha256", "n", "k")
+    rows = ordered(spark, sf_dir).select("source_sha256", "n", place.alias("i")).withColumn("_p", ranked_position(c("i"), c("n")))
+    return numbered(rows, ["source_sha256"], ["i", "n"], "k", "_p").select("source_sha256", "n", "k")
 
 
 @query("o06_content_first", "select inv_id, row_number() over (partition by delivery_id order by has desc, inv_id) k from (select inv_id, min(coalesce(delivery_id, '')) delivery_id, bool_or(len(map_entries(paragraph_counts)) > 0) has from inventory_prepared group by inv_id)")
@@ -210,7 +212,8 @@ def o06(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inventories with content before those without, within their delivery."""
     has = F.coalesce(F.bool_or(F.size("paragraph_counts") > 0), F.lit(False))
     rows = table(spark, sf_dir, "inventory_prepared").groupBy("inv_id").agg(F.min(F.coalesce("delivery_id", F.lit(""))).alias("delivery_id"), has.alias("has"))
-    return numbered(rows.withColumn("later", ~c("has")), ["delivery_id"], ["later", "inv_id"], "k", None).select("inv_id", "k")
+    placed = rows.withColumn("later", (~c("has")).cast("int")).withColumn("_p", ranked_position(c("later"), c("inv_id")))
+    return numbered(placed, ["delivery_id"], ["later", "inv_id"], "k", "_p").select("inv_id", "k")
 
 
 @query("o07_samples", f"with {ORDERED} select source_sha256, n, element_path from (select *, row_number() over (partition by source_sha256 order by n) k from ordered where length(visible_text) > 0) where k <= 5")
