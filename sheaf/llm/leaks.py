@@ -29,7 +29,7 @@ from sheaf.session import table
 
 WORDS, CHARACTERS = 18, 40
 #: Items held at once; a larger query set is run block by block against all documents.
-BLOCK = 20_000
+BLOCK = 5_000
 #: Units of measure that may stand behind a number.
 UNITS = ("mm", "cm", "m", "km", "pt", "px", "kg", "g", "mg", "l", "ml", "s", "ms", "min", "h", "kb", "mb", "gb", "pages", "seiten", "percent", "prozent")
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
