@@ -132,7 +132,8 @@ def encode_column(path: str):
             flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
             yield pa.ListArray.from_arrays(pa.array(np.cumsum(count, dtype=np.int32)), pa.array(flat))
 
-    return F.arrow_udf(encode, ArrayType(IntegerType(), False), F.ArrowUDFType.SCALAR_ITER)
+    encode.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(encode, ArrayType(IntegerType(), False))
 
 
 def decode_column(path: str):
@@ -143,7 +144,8 @@ def decode_column(path: str):
         for lists in batches:
             yield pa.array([None if x is None else own.decode(np.array(x, dtype=np.int64)).decode("utf-8", "replace") for x in lists.to_pylist()], pa.string())
 
-    return F.arrow_udf(decode, StringType(), F.ArrowUDFType.SCALAR_ITER)
+    decode.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(decode, StringType())
 
 
 def encode_texts(texts: DataFrame, text: str = "text", into: str = "ids", path: str | None = None) -> DataFrame:
