@@ -13,7 +13,7 @@ from sheaf.operators.layers import json_leaves, merge_layers
 from sheaf.operators.windows import latest
 from sheaf.plans.carriers import CURRENT, current_blocks, distinct_rows
 from sheaf.plans.joins import KEY, j11, u02
-from sheaf.plans.registry import query
+from sheaf.plans.registry import SQL, query
 from sheaf.session import table
 
 c = F.col
@@ -174,7 +174,10 @@ def m09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source_sha256", "x.attribute").agg(F.count(F.lit(1)).alias("n"), F.count_if(~c("x.ok")).alias("violations")).withColumn("passed", c("violations") == 0)
 
 
-@query("m10_integrity_violations")
+_VIOLATIONS = f"select 'missing_content' kind, source_sha256 subject, norm detail from ({SQL['u02_missing_content']}) union all select fault, source_sha256, name from ({SQL['u06_structure_faults']}) union all select fault, assignment_id::varchar, null from ({SQL['j01_assignment_faults']})"
+
+
+@query("m10_integrity_violations", _VIOLATIONS)
 def m10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All violations of content checks in one table, not the first only."""
     from sheaf.plans.joins import j01, u06
@@ -185,7 +188,7 @@ def m10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, (missing, faults, nodes))
 
 
-@query("m11_verification_context")
+@query("m11_verification_context", f"with {CURRENT}, m as (select distinct source_sha256, part_uri, element_path, 1 hit from role_assignments) select b.source_sha256, count(*) expected, count(hit) mapped, count(*) - count(hit) missing from current_blocks b left join m on b.source_sha256 = m.source_sha256 and b.part_uri = m.part_uri and b.element_path = m.element_path where b.source_sha256 is not null group by all")
 def m11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected and mapped nodes of each document, and those never mapped."""
     expected = j11(spark, sf_dir).select(*KEY)

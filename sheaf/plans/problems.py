@@ -56,7 +56,25 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cases(spark, sf_dir).groupBy("ref_table", "ref_field", "ref_month", "status").agg(F.count(F.lit(1)).alias("n_references"))
 
 
-@query("p3_found")
+#: Trees written as strings of JSON are opened; roles and variants are found by where they stand.
+_OBJECTS_SQL = r"""
+with trees as (
+  select manifest_id, case json_type(raw_json, '$.source.tree') when 'VARCHAR' then json_extract_string(raw_json, '$.source.tree')::json else json_extract(raw_json, '$.source.tree') end tree
+  from (select distinct manifest_id, raw_json from manifest_files where json_valid(raw_json))),
+nodes as (
+  select manifest_id, '/source/tree' || regexp_replace(replace(replace(fullkey[2:], '[', '/'), ']', ''), '\.', '/', 'g') pointer, value from (select manifest_id, tree from trees where json_type(tree) = 'ARRAY') x, json_tree(x.tree) t
+  where t.type = 'OBJECT' and regexp_matches(fullkey, '^\$\[\d+\](\.children(\[\d+\])?)*$')),
+parts as (
+  select file_id, '/roles/' || regexp_replace(regexp_replace(replace(replace(regexp_replace(fullkey[3:], '"([^"]*)"', '\1'), '[', '/'), ']', ''), '\.variants/', '/variants/', 'g'), '^\.', '') pointer, t.type, t.value
+  from (select distinct file_id, raw_json from format_files where json_valid(raw_json)) x, json_tree(json_extract(x.raw_json, '$.roles')) t
+  where regexp_matches(fullkey, '^\$\.("[^"]*"|[^."\[]+)(\.variants\[\d+\])*$'))
+select distinct 'manifest_files' file_table, manifest_id file_id, pointer node_pointer, case when regexp_matches(pointer, '/children') then regexp_replace(pointer, '/children(/\d+)?$', '') else '' end parent_pointer from nodes where json_type(value, '$.title') is not null and json_type(value, '$.title') <> 'NULL'
+union select 'format_files', file_id, pointer, case when contains(pointer, '/variants/') then regexp_replace(pointer, '/variants/\d+$', '') else '' end from parts where type = 'VARCHAR' or type = 'OBJECT' and coalesce(json_type(value, '$.style'), 'NULL') <> 'NULL'
+union select 'format_files', file_id, '/page', '' from format_files where json_valid(raw_json) and coalesce(json_type(raw_json, '$.page.width_mm'), 'NULL') <> 'NULL'
+"""
+
+
+@query("p3_found", _OBJECTS_SQL)
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outline nodes, roles, variants and pages with a label, each with its place and its parent's."""
     return labelled_objects(table(spark, sf_dir, "manifest_files"), table(spark, sf_dir, "format_files"))
@@ -74,7 +92,33 @@ def _register_typed() -> None:
 _register_typed()
 
 
-@query("p4_found")
+_CHANGES_SQL = r"""
+with files as (select distinct producer_id, batch_no, project_key, raw_json from manifest_files where json_valid(raw_json) and producer_id is not null and batch_no is not null),
+leaves as (
+  select distinct producer_id, batch_no, project_key, regexp_replace(fullkey[3:], '\[\d+\]', '[]', 'g') path,
+    case t.type when 'VARCHAR' then 'string' when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'BOOLEAN' then 'boolean' else 'number' end kind, case when t.type not in ('OBJECT', 'ARRAY') then t.atom::varchar end atom
+  from files f, json_tree(f.raw_json) t where t.type <> 'NULL' and fullkey <> '$' and not regexp_matches(fullkey, '\."?_comment') and not regexp_matches(fullkey, '^\$\.source\.tree($|[.\[])')),
+batches as (select producer_id, batch_no, lag(batch_no) over (partition by producer_id order by batch_no) earlier from (select distinct producer_id, batch_no from files)),
+prints as (select producer_id, batch_no, path, list_sort(list(distinct kind)) kinds from leaves group by all),
+sides as (
+  select b.producer_id, b.batch_no, b.earlier, p.path, p.kinds before, null::varchar[] after from batches b join prints p on p.producer_id = b.producer_id and p.batch_no = b.earlier
+  union all select b.producer_id, b.batch_no, b.earlier, p.path, null, p.kinds from batches b join prints p on p.producer_id = b.producer_id and p.batch_no = b.batch_no where b.earlier is not null),
+changed as (select producer_id, batch_no, earlier, path, max(before) before, max(after) after from sides group by all having max(before) is distinct from max(after)),
+vals as (select producer_id, batch_no, project_key, path, list_sort(list(distinct kind || ':' || atom)) v from leaves where atom is not null and not contains(path, '[]') and project_key is not null group by all),
+there as (select distinct producer_id, batch_no, project_key from files),
+olds as (select c.producer_id, c.batch_no, c.path, v.project_key, v.v from changed c join vals v on v.producer_id = c.producer_id and v.batch_no = c.earlier and v.path = c.path join there t on t.producer_id = c.producer_id and t.batch_no = c.batch_no and t.project_key = v.project_key where c.after is null),
+news as (select c.producer_id, c.batch_no, c.path, v.project_key, v.v from changed c join vals v on v.producer_id = c.producer_id and v.batch_no = c.batch_no and v.path = c.path where c.before is null),
+renamed as (
+  select producer_id, batch_no, old_path, new_path from (select o.producer_id, o.batch_no, o.path old_path, n.path new_path, count(*) kept from olds o join news n using (producer_id, batch_no, project_key, v) group by all)
+  join (select producer_id, batch_no, path old_path, count(*) needed from olds group by all) using (producer_id, batch_no, old_path) where kept = needed)
+select producer_id, batch_no, 'renamed' change_kind, old_path, new_path from renamed
+union all select producer_id, batch_no, 'removed', path, '' from changed c where after is null and not exists (select 1 from renamed r where r.producer_id = c.producer_id and r.batch_no = c.batch_no and r.old_path = c.path)
+union all select producer_id, batch_no, 'added', '', path from changed c where before is null and not exists (select 1 from renamed r where r.producer_id = c.producer_id and r.batch_no = c.batch_no and r.new_path = c.path)
+union all select producer_id, batch_no, 'retyped', path, path from changed where before is not null and after is not null
+"""
+
+
+@query("p4_found", _CHANGES_SQL)
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every change of schema from batch to batch of a producer."""
     return schema_changes(table(spark, sf_dir, "manifest_files"))
