@@ -21,6 +21,18 @@ BLACK = ("auto", "000000", "00000000")
 MATCH_NOISE = r"[\s\p{Z}.、，。（）()|｜·/\-_:：—]"
 LABEL_NOISE = r"[\s\p{Z}\-–—·•|｜:：()\[\]{}]+"
 TWIPS_PER_MM, TWIPS_PER_PT = 1440 / 25.4, 20
+# Patterns of numbers before names and headings, and of field instructions.
+NAME_CHINESE = rf"^([一二三四五六七八九十]+)(?:{SPACE}|[、.：:]){SPACE}*(.*)$"
+NAME_BRACKET = rf"^[(（](\d+)[)）]{SPACE}*(.*)$"
+NAME_DOTTED = rf"^(\d+(?:\.\d+)*)(?:{SPACE}|[.、_\-])*(.*)$"
+NUMBER_SEVERAL = rf"^(\d+(?:\.\d+)+)(?:[.)、]{SPACE}+|{SPACE}+)"
+NUMBER_SECTION = r"^第([一二三四五六七八九十百]+|\d+)(?:章|节|篇|部分|级|条)"
+NUMBER_SIMPLE = r"^(\d+)[.)、]"
+NUMBER_VERSION = r"^(\d+\.\d+(?:\.\d+)*)(?:[^\p{L}\p{N}_.]|\.(?:[^0-9]|$)|$)"
+NUMBER_DATE = rf"^(?:19\d\d|20\d\d|2100)\.\d{{1,2}}\.\d{{1,2}}(?:[.)、]{SPACE}+|{SPACE}+)"
+NUMBER_CONFIDENCE = {"hierarchical_arabic": 0.98, "section_label": 0.90, "simple_arabic": 0.75}
+FIELD_REFERENCE = r"(?i)^(REF|PAGEREF|STYLEREF)[\s\p{Z}]+([^\\\s\p{Z}]+)(.*)$"
+FIELD_TARGET = r"(?i)^[\s\p{Z}]*(REF|PAGEREF|STYLEREF|SEQ|TOC|HYPERLINK)[\s\p{Z}]+([^\\\s\p{Z}]+)"
 
 
 def strip(text: Column) -> Column:
@@ -64,7 +76,7 @@ def name_parts(name: Column) -> Column:
     Ordering by parts is natural order at any depth and size, which a decimal of two digits a level is not.
     """
     stem = strip(F.regexp_replace(name, r"(?i)\.(docx?|pdf|pptx?|jpe?g|png)$", ""))
-    chinese, bracket, dotted = (rf"^([一二三四五六七八九十]+)(?:{SPACE}|[、.：:]){SPACE}*(.*)$", rf"^[(（](\d+)[)）]{SPACE}*(.*)$", rf"^(\d+(?:\.\d+)*)(?:{SPACE}|[.、_\-])*(.*)$")
+    chinese, bracket, dotted = NAME_CHINESE, NAME_BRACKET, NAME_DOTTED
     numerals = F.array(*map(F.lit, CHINESE_NUMERALS))
     numeral = first_group(stem, chinese)
     place = F.array_position(numerals, numeral).cast("int")
@@ -141,21 +153,19 @@ def page_number_line(line: Column) -> Column:
 def numbering(text: Column) -> Column:
     """what the number before a heading is: kind, parts, depth and confidence; kind null if there is none."""
     own = strip(F.coalesce(text, F.lit("")))
-    several, section, simple, version = rf"^(\d+(?:\.\d+)+)(?:[.)、]{SPACE}+|{SPACE}+)", r"^第([一二三四五六七八九十百]+|\d+)(?:章|节|篇|部分|级|条)", r"^(\d+)[.)、]", r"^(\d+\.\d+(?:\.\d+)*)(?:[^\p{L}\p{N}_.]|\.(?:[^0-9]|$)|$)"
-    date = own.rlike(rf"^(?:19\d\d|20\d\d|2100)\.\d{{1,2}}\.\d{{1,2}}(?:[.)、]{SPACE}+|{SPACE}+)")
-    parts = F.split(F.regexp_extract(own, several, 1), r"\.")
+    parts = F.split(F.regexp_extract(own, NUMBER_SEVERAL, 1), r"\.")
 
-    def case(kind: str | None, parts: Column, depth: Column, confidence: float) -> Column:
-        return F.struct(F.lit(kind).cast("string").alias("kind"), parts.alias("parts"), depth.cast("int").alias("depth"), F.lit(confidence).alias("confidence"))
+    def case(kind: str | None, parts: Column, depth: Column) -> Column:
+        return F.struct(F.lit(kind).cast("string").alias("kind"), parts.alias("parts"), depth.cast("int").alias("depth"), F.lit(NUMBER_CONFIDENCE.get(kind, 0.0)).alias("confidence"))
 
     none = F.lit(None)
     return (
-        F.when(date, case("date_or_version", parts, none, 0.0))
-        .when(own.rlike(several), case("hierarchical_arabic", parts, F.size(parts), 0.98))
-        .when(own.rlike(section), case("section_label", F.array(F.regexp_extract(own, section, 1)), F.lit(1), 0.90))
-        .when(own.rlike(simple), case("simple_arabic", F.array(F.regexp_extract(own, simple, 1)), F.lit(1), 0.75))
-        .when(own.rlike(version), case("decimal_or_version", F.split(F.regexp_extract(own, version, 1), r"\."), none, 0.0))
-        .otherwise(case(None, F.array().cast("array<string>"), none, 0.0))
+        F.when(own.rlike(NUMBER_DATE), case("date_or_version", parts, none))
+        .when(own.rlike(NUMBER_SEVERAL), case("hierarchical_arabic", parts, F.size(parts)))
+        .when(own.rlike(NUMBER_SECTION), case("section_label", F.array(F.regexp_extract(own, NUMBER_SECTION, 1)), F.lit(1)))
+        .when(own.rlike(NUMBER_SIMPLE), case("simple_arabic", F.array(F.regexp_extract(own, NUMBER_SIMPLE, 1)), F.lit(1)))
+        .when(own.rlike(NUMBER_VERSION), case("decimal_or_version", F.split(F.regexp_extract(own, NUMBER_VERSION, 1), r"\."), none))
+        .otherwise(case(None, F.array().cast("array<string>"), none))
     )
 
 
@@ -171,13 +181,13 @@ def field_command(text: Column) -> Column:
 def field_identity(text: Column) -> Column:
     """the instruction with the target of a reference masked, so that renamed bookmarks compare alike."""
     own = collapse_space(F.coalesce(text, F.lit("")))
-    pattern = r"(?i)^(REF|PAGEREF|STYLEREF)[\s\p{Z}]+([^\\\s\p{Z}]+)(.*)$"
+    pattern = FIELD_REFERENCE
     return F.when(own.rlike(pattern), F.concat(F.upper(F.regexp_extract(own, pattern, 1)), F.lit(" <bookmark>"), F.regexp_extract(own, pattern, 3))).otherwise(own)
 
 
 def field_dependency(text: Column) -> Column:
     """COMMAND:target of a field that depends on something, else null."""
-    pattern = r"(?i)^[\s\p{Z}]*(REF|PAGEREF|STYLEREF|SEQ|TOC|HYPERLINK)[\s\p{Z}]+([^\\\s\p{Z}]+)"
+    pattern = FIELD_TARGET
     return F.when(text.rlike(pattern), F.concat(F.upper(F.regexp_extract(text, pattern, 1)), F.lit(":"), F.regexp_extract(text, pattern, 2)))
 
 

@@ -13,8 +13,13 @@ from pyspark.sql.window import Window
 from sheaf.functions import scalars as S
 from sheaf.operators.windows import neighbours
 
-# Thresholds of the scores.
+# Thresholds and points of the scores.
 LEAST, AUTOMATIC, CLEAR, MARGIN, SHORT, LONG = 0.25, 0.985, 0.58, 0.05, 42, 80
+HEADING_BASE, HEADING_TOP, SIZE_FROM, SIZE_SLOPE, SIZE_TOP, FAMILY_FROM = 0.05, 0.95, 1.15, 0.45, 0.35, 1.08
+HEADING_POINTS = {"short": 0.20, "emphasis": 0.12, "spacing": 0.10, "numbered": 0.10, "rejected": -0.25, "long": -0.28, "alike": -0.10}
+TITLE_FROM, TITLE_GAIN, TITLE_TOP, TITLE_UNDER, TITLE_LOSS = 1.35, 0.20, 0.98, 1.20, 0.18
+BODY_BASE, BODY_TOP, BODY_TO, BODY_POINTS = 0.30, 0.92, 1.10, {"long": 0.30, "sized": 0.20, "plain": 0.10}
+CAPTION, NO_CAPTION, SPACE_FROM = 0.25, 0.08, 6
 
 
 def _points(*terms: tuple[Column, float]) -> Column:
@@ -43,7 +48,7 @@ def ranked_candidates(blocks: DataFrame, document: str, ordinal: str) -> DataFra
     body = sizes.groupBy(document).agg(F.coalesce(F.expr("percentile(size, 0.5, nb)"), F.expr("percentile(size, 0.5, n)")).alias("body"))
     rows = rows.join(body, document, "left").withColumn("body", F.coalesce("body", F.lit(12.0)))
     rows = rows.withColumn("rel", F.coalesce(F.when(c("size") > 0, F.bround(c("size") / c("body"), 3)), F.lit(1.0)))
-    like = (c("length") <= SHORT) & c("bold") & c("numbered") & (c("size") > 0) & (c("rel") >= 1.08)
+    like = (c("length") <= SHORT) & c("bold") & c("numbered") & (c("size") > 0) & (c("rel") >= FAMILY_FROM)
     families = rows.where(like).groupBy(document, "key").agg(F.count(F.lit(1)).alias("like_n"))
     families = families.withColumn("rank", F.dense_rank().over(Window.partitionBy(document).orderBy(F.desc("key")))).withColumn("families", F.max("rank").over(Window.partitionBy(document)))
     most = families.groupBy(document).agg(F.max("families").alias("families"))
@@ -58,15 +63,17 @@ def ranked_candidates(blocks: DataFrame, document: str, ordinal: str) -> DataFra
     family = inferred.isNotNull() & (F.coalesce("like_n", F.lit(0)) >= 1) & (F.coalesce("families", F.lit(0)) >= 2)
     calibrated = family & short & emphasis & numbered & ~long & ~differs & ~c("rejected")
     alike = F.coalesce(F.abs(c("prev_size") - c("size")) < 0.1, F.lit(False)) & F.coalesce(F.abs(c("next_size") - c("size")) < 0.1, F.lit(False))
-    spacing = F.coalesce(c("space_before_pt") >= 6, F.lit(False))
-    raw = F.lit(0.05) + F.when(rel >= 1.15, F.least(F.lit(0.35), (rel - 1.0) * 0.45)).otherwise(0.0)
-    raw = raw + _points((short, 0.20), (emphasis, 0.12), (spacing, 0.10), (numbered, 0.10), (c("rejected"), -0.25), (long, -0.28), (alike & ~numbered, -0.10))
-    heading = F.when(calibrated, AUTOMATIC).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(0.95), raw)))
-    title = F.when(centered & (rel >= 1.35) & short, F.least(F.lit(0.98), heading + 0.20)).when(~centered | (rel < 1.20), F.greatest(F.lit(0.0), heading - 0.18)).otherwise(heading)
-    body_score = F.least(F.lit(0.92), F.lit(0.30) + _points((long, 0.30), (rel <= 1.10, 0.20), (~emphasis & ~numbered, 0.10)))
+    spacing = F.coalesce(c("space_before_pt") >= SPACE_FROM, F.lit(False))
+    raw = F.lit(HEADING_BASE) + F.when(rel >= SIZE_FROM, F.least(F.lit(SIZE_TOP), (rel - 1.0) * SIZE_SLOPE)).otherwise(0.0)
+    held = {"short": short, "emphasis": emphasis, "spacing": spacing, "numbered": numbered, "rejected": c("rejected"), "long": long, "alike": alike & ~numbered}
+    raw = raw + _points(*[(held[k], p) for k, p in HEADING_POINTS.items()])
+    heading = F.when(calibrated, AUTOMATIC).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(HEADING_TOP), raw)))
+    title = F.when(centered & (rel >= TITLE_FROM) & short, F.least(F.lit(TITLE_TOP), heading + TITLE_GAIN)).when(~centered | (rel < TITLE_UNDER), F.greatest(F.lit(0.0), heading - TITLE_LOSS)).otherwise(heading)
+    plain = {"long": long, "sized": rel <= BODY_TO, "plain": ~emphasis & ~numbered}
+    body_score = F.least(F.lit(BODY_TOP), F.lit(BODY_BASE) + _points(*[(plain[k], p) for k, p in BODY_POINTS.items()]))
     heading_role = F.concat(F.lit("heading."), F.coalesce(inferred, F.lit(1)).cast("string"))
     scored = lambda role, score: F.struct((-score).alias("minus"), role.alias("role"), score.alias("score"))
-    every = F.array_sort(F.array(scored(F.lit("title"), title), scored(heading_role, heading), scored(F.lit("body"), body_score), scored(F.lit("caption"), F.when(short & ~numbered, 0.25).otherwise(0.08))))
+    every = F.array_sort(F.array(scored(F.lit("title"), title), scored(heading_role, heading), scored(F.lit("body"), body_score), scored(F.lit("caption"), F.when(short & ~numbered, CAPTION).otherwise(NO_CAPTION))))
     rows = rows.withColumns({"_all": every, "conflicts": conflicts, "_calibrated": calibrated, "_differs": differs, "_heading": heading_role})
     able = F.filter("_all", lambda x: x["score"] >= LEAST)
     top = F.slice(F.when(F.size(able) > 0, able).otherwise(F.slice("_all", 1, 1)), 1, 3)

@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 
 from sheaf.operators.windows import running
 
-#: The roles a finished format must have.
+#: How sure a suggestion is, and the roles a finished format must have.
+SURE = {"table": 0.95, "direct": 0.99, "inherited": 0.95, "named": 0.90, "body": 0.85}
 CORE_ROLES = ("title", "heading.1", "heading.2", "heading.3", "body", "table.body")
 SAMPLE_PATHS, SAMPLE_TEXTS, SAMPLE_CHARS = 5, 3, 60
 
@@ -23,13 +24,13 @@ def suggested(outline: Column, in_table: Column, style: Column, source: Column)
     case = lambda role, confidence: F.struct(role.alias("role"), F.lit(confidence).alias("confidence"))
     heading = F.concat(F.lit("heading."), outline.cast("string"))
     return (
-        F.when(in_table, case(F.lit("table.body"), 0.95))
-        .when(outline.between(1, 9) & (source == "direct"), case(heading, 0.99))
-        .when(outline.between(1, 9), case(heading, 0.95))
-        .when(name.contains("title") & ~name.contains("sub"), case(F.lit("title"), 0.90))
-        .when(name.contains("subtitle"), case(F.lit("subtitle"), 0.90))
-        .when(name.rlike("(heading|标题) ?[123]"), case(F.concat(F.lit("heading."), F.regexp_extract(name, "(?:heading|标题) ?([123])", 1)), 0.90))
-        .otherwise(case(F.lit("body"), 0.85))
+        F.when(in_table, case(F.lit("table.body"), SURE["table"]))
+        .when(outline.between(1, 9) & (source == "direct"), case(heading, SURE["direct"]))
+        .when(outline.between(1, 9), case(heading, SURE["inherited"]))
+        .when(name.contains("title") & ~name.contains("sub"), case(F.lit("title"), SURE["named"]))
+        .when(name.contains("subtitle"), case(F.lit("subtitle"), SURE["named"]))
+        .when(name.rlike("(heading|标题) ?[123]"), case(F.concat(F.lit("heading."), F.regexp_extract(name, "(?:heading|标题) ?([123])", 1)), SURE["named"]))
+        .otherwise(case(F.lit("body"), SURE["body"]))
     )
 
 

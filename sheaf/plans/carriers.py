@@ -12,12 +12,11 @@ STYLE_SIZE = {"Title": 22.0, "heading 1": 16.0, "heading 2": 14.0, "heading 3":
 
 
 def current_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each block as recorded last."""
+    """Each block as recorded last. A column that a query does not use is pruned with its aggregate and never read."""
     blocks = table(spark, sf_dir, "blocks")
     key = ["source_sha256", "part_uri", "element_path"]
-    rest = [c for c in blocks.columns if c not in key]
-    latest = F.max_by(F.struct(*rest), F.struct("recorded_at", F.coalesce(F.col("visible_text"), F.lit("")), F.coalesce("p_style_id", F.lit("")))).alias("b")
-    return blocks.groupBy(*key).agg(latest).select(*key, "b.*")
+    order = F.struct("recorded_at", "block_ord")  # rows of one node, time and place are copies of each other
+    return blocks.groupBy(*key).agg(*[F.max_by(x, order).alias(x) for x in blocks.columns if x not in key])
 
 
 def drawn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +31,7 @@ def drawn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CURRENT = """current_blocks as (
   select * from (select distinct * from blocks)
-  qualify row_number() over (partition by source_sha256, part_uri, element_path order by recorded_at desc nulls last, coalesce(visible_text, '') desc, coalesce(p_style_id, '') desc) = 1)"""
+  qualify row_number() over (partition by source_sha256, part_uri, element_path order by recorded_at desc nulls last, block_ord desc) = 1)"""
 DRAWN = (
     CURRENT
     + ", drawn_blocks as (select *, case p_style_name "
