@@ -5,8 +5,9 @@ give the paths gone, new and retyped; a gone and a new path are one field rename
 its values. Fingerprints are small against the files and are written once; files are read a second time only where a
 batch has both gone and new paths, and only for those paths.
 
-`consistent_manifests` sends each file through its version's chain of rename, default and cast steps and lists the
-steps that changed it.
+`consistent_manifests` sends each file through its version's chain of steps and lists those that changed it: first the
+renames found between its producer's batches, undone from its own batch back to the producer's first, then the renames,
+defaults and casts between the known schema versions.
 """
 
 from __future__ import annotations
@@ -158,9 +159,25 @@ def _put(document: dict, path: str, value: Any) -> None:
     document[last] = value
 
 
-def migrated(document: dict) -> list[str]:
-    """Brings one manifest to the latest form in place; the steps that changed it."""
+def _take(document: dict, path: str) -> None:
+    *above, last = path.split(".")
+    for key in above:
+        document = document.get(key) if isinstance(document, dict) else None
+    if isinstance(document, dict):
+        document.pop(last, None)
+
+
+def migrated(document: dict, renames: list[tuple[str, str]] = ()) -> list[str]:
+    """Brings one manifest to the latest form in place; the steps that changed it.
+
+    renames: new and old path of the producer's renames up to this file's batch, the last one first.
+    """
     done = []
+    for new, old in renames:
+        if (value := _get(document, new)) is not None and _get(document, old) is None:
+            _take(document, new)
+            _put(document, old, value)
+            done.append(f"undo {new}")
     for step, what, path in MIGRATION:
         have = _get(document, path)
         if step == "rename" and have is None and (value := _get(document, what)) is not None:
@@ -194,8 +211,16 @@ def migrated(document: dict) -> list[str]:
     return done
 
 
-def consistent_manifests(files: DataFrame) -> DataFrame:
-    """One row for each manifest that is a JSON object, in the latest form, with the migration steps that changed it."""
+#: Renames up to this number are broadcast; more are joined by shuffling the files.
+BROADCAST_RENAMES = 200_000
+
+
+def consistent_manifests(files: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+    """One row for each manifest that is a JSON object, in the latest form, with the migration steps that changed it.
+
+    changes: of schema_changes; with it renames that only one producer made are undone, too. Null and broken files have
+    no row, repeated files one.
+    """
     text = lambda v: None if v is None or isinstance(v, (dict, list)) else str(v)
 
     def migrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,17 +229,23 @@ def consistent_manifests(files: DataFrame) -> DataFrame:
         names = [x.strip().split(" ")[0] for x in TABLE.split("<")[0].split(",")] + ["steps"]
         for batch in batches:
             rows = []
-            for *own, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            for *own, raw, renames in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
                     document = parse(raw)
                 except NotJson:
                     continue
                 if isinstance(document, dict):
-                    steps = migrated(document)
+                    steps = migrated(document, [(r["new_path"], r["old_path"]) for r in reversed(renames or []) if own[3] is not None and r["batch_no"] <= own[3]])
                     get = lambda p, d=document: text(_get(d, p))
                     documents = [{k: text(v) if k != "parts" else v for k, v in d.items()} for d in _get(document, "output.documents")]
                     rows.append([*own, _get(document, "schema_version"), *map(get, ("project_name", "cover.main_title", "cover.author", "cover.date", "source.file")), _get(document, "toc_depth"), documents, steps])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), types)], names=names)
 
     own = files.where("raw_json is not null").select("manifest_id", "producer_id", "project_key", F.col("batch_no").cast("int").alias("batch_no"), "raw_json")
+    if changes is None:
+        own = own.withColumn("renames", F.lit(None).cast("array<struct<batch_no:int,old_path:string,new_path:string>>"))
+    else:
+        found = cut(changes.where("change_kind = 'renamed'"))
+        chains = found.groupBy("producer_id").agg(F.array_sort(F.collect_list(F.struct("batch_no", "old_path", "new_path"))).alias("renames"))
+        own = own.join(F.broadcast(chains) if found.count() <= BROADCAST_RENAMES else chains, "producer_id", "left").select("manifest_id", "producer_id", "project_key", "batch_no", "raw_json", "renames")
     return own.mapInArrow(migrate, TABLE).distinct()

@@ -127,7 +127,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p4_table")
 def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All manifests in one form, each with the steps that brought it there."""
-    return consistent_manifests(table(spark, sf_dir, "manifest_files"))
+    files = table(spark, sf_dir, "manifest_files")
+    return consistent_manifests(files, schema_changes(files))
 
 
 _COPY_SQL = """

@@ -210,6 +210,9 @@ def test_drift_corner_cases(spark):
     assert schema_changes(frame.limit(0)).count() == 0
     table_ = consistent_manifests(make([(1, 1, 1, "p", '{"schema_version": "1", "output": {"compiled_document": "o.docx"}, "cover": {"title": "T"}}', None), (2, 1, 1, "p", '{"schema_version": 3, "toc_depth": 3, "output": {"documents": [{"id": "a", "parts": "cover, toc"}]}}', None), (3, 1, 1, "p", "[]", None)]))
     by = {r.manifest_id: r for r in table_.collect()}
+    moved = make([(1, 1, 1, "p", '{"project_name": "P", "cover": {"main_title": "T"}}', None), (2, 1, 2, "p", '{"names": {"own": "P"}, "cover": {"main_title": "T"}}', None), (3, 1, 5, "p", '{"names": {"own": "P"}, "head": "T"}', None), (4, None, 5, "p", '{"project_name": "Q"}', None)])
+    rows = {r.manifest_id: (r.project_name, r.main_title, [x for x in r.steps if x.startswith("undo")]) for r in consistent_manifests(moved, schema_changes(moved)).collect()}
+    assert rows == {1: ("P", "T", []), 2: ("P", "T", ["undo names.own"]), 3: ("P", "T", ["undo head", "undo names.own"]), 4: ("Q", None, [])}
     assert by[1].main_title == "T" and by[1].schema_version == 1 and by[1].documents[0].filename == "o.docx" and by[1].documents[0].parts == ["cover", "toc", "body"]
     assert by[1].steps == ["rename cover.main_title", "cast schema_version", "default toc_depth", "documents output.documents"]
     assert by[2].documents[0].parts == ["cover", "toc"] and 3 not in by
