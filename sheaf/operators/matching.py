@@ -9,9 +9,10 @@ per document, sorted, in one pass.
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,33 +63,36 @@ def overlay(one: DataFrame, two: DataFrame, by: list[str], start: str, end: str,
 def greedy_matches(expected: DataFrame, actual: DataFrame, by: str, key: str, order: str) -> DataFrame:
     """by, order, key, matched: each expected row takes the first actual row of its key behind the last match; null where there is none.
 
-    A row without partner leaves the cursor where it is. order tells the rows of a group apart. The order in which
-    matches depend on each other admits no split of a document; only keys both sides have are sent to its task.
+    A row without partner leaves the cursor where it is. order, an integer, tells the rows of a group apart; rows with a
+    null group or key match nothing. Each match depends on the one before, which admits no split of a document: groups
+    are sorted by Spark, spilling where needed, and pass through one after another, the actual side first.
     """
     kind = {k: dict(expected.dtypes)[k] for k in (by, order)}
-    side = lambda rows, mark: rows.where(F.col(by).isNotNull() & F.col(key).isNotNull()).select(by, F.col(order).alias("_o"), F.xxhash64(key).alias("_k"), F.lit(mark).alias("_side"))
-    both = side(expected, 0).unionByName(side(actual, 1))
-
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_side", "_o"])
-        wanted, have = rows[rows["_side"] == 0], rows[rows["_side"] == 1]
-        places: dict[int, deque] = defaultdict(deque)
-        for o, k in zip(have["_o"], have["_k"]):
-            places[k].append(o)
-        cursor, out = None, []
-        for k in wanted["_k"]:
-            queue = places.get(k)
-            while queue and cursor is not None and queue[0] <= cursor:
-                queue.popleft()
-            if queue:
-                cursor = queue.popleft()
-                out.append(cursor)
-            else:
-                out.append(None)
-        return pd.DataFrame({by: wanted[by], order: wanted["_o"], "matched": pd.array(out, dtype="Int64")})
-
-    matched = both.groupBy(by).applyInPandas(match, f"{by} {kind[by]}, {order} {kind[order]}, matched long")
-    return expected.select(by, order, key).join(matched, [by, order])
+    side = lambda rows, mark: rows.where(F.col(by).isNotNull() & F.col(key).isNotNull()).select(by, F.col(order).cast("long").alias("_o"), F.xxhash64(key).alias("_k"), F.lit(mark).alias("_side"))
+    both = side(expected, 1).unionByName(side(actual, 0)).repartition(by).sortWithinPartitions(by, "_side", "_o")
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, places, cursor = None, {}, -(1 << 63)
+        for batch in batches:
+            found: tuple[list, list, list] = ([], [], [])
+            for g, o, k, wanted in zip(*(column.to_pylist() for column in batch.columns)):
+                if g != group:
+                    group, places, cursor = g, defaultdict(deque), -(1 << 63)
+                if not wanted:
+                    places[k].append(o)
+                    continue
+                queue = places.get(k)
+                while queue and queue[0] <= cursor:
+                    queue.popleft()
+                hit = None
+                if queue:
+                    hit = cursor = queue.popleft()
+                for column, value in zip(found, (g, o, hit)):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], batch.schema.field(0).type), pa.array(found[1], pa.int64()), pa.array(found[2], pa.int64())], names=[by, "_o", "matched"])
+
+    matched = both.mapInArrow(match, f"{by} {kind[by]}, _o long, matched long").select(by, F.col("_o").cast(kind[order]).alias(order), "matched")
+    return expected.select(by, order, key).join(matched, [by, order], "left")
 
 
 def first_rule(text: Column, rules: list[tuple[str, int]]) -> Column:

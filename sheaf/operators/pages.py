@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,14 +15,24 @@ def heading_pages(headings: DataFrame, lines: DataFrame, by: str, ordinal: str,
     A heading found on no such page stays on the page of the one above, the first on page 1. A heading meets lines by
     equal keys; what depends on the heading above is decided per document over its headings and their pages only.
     """
-    met = headings.select(by, ordinal, key).join(lines.select(by, key, F.col(page).alias("_p")).distinct(), [by, key], "left")
+    met = headings.where(F.col(by).isNotNull()).select(by, F.col(ordinal).cast("long").alias("_n"), key).join(lines.select(by, key, F.col(page).cast("int").alias("_p")).distinct(), [by, key], "left").select(by, "_n", "_p")
     kind = {k: dict(headings.dtypes)[k] for k in (by, ordinal)}
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        out, now = [], 1
-        for n, own in rows.sort_values([ordinal, "_p"]).groupby(ordinal, sort=True):
-            now = next((int(p) for p in own["_p"] if p == p and p is not None and p >= now), now)
-            out.append((own[by].iloc[0], n, now))
-        return pd.DataFrame(out, columns=[by, ordinal, page])
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last, now, above = None, None, 1, 1
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for g, n, p in zip(*(column.to_pylist() for column in batch.columns)):
+                if g != group:
+                    group, last, now = g, None, 1
+                if n != last:  # the first row of a heading; its pages follow in order
+                    last, above, found = n, now, False
+                if p is not None and p >= above and not found:
+                    now, found = p, True
+                for column, value in zip(out, (g, n, now)):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], names=[by, "_n", page])
 
-    return met.where(F.col(by).isNotNull()).groupBy(by).applyInPandas(walk, f"{by} {kind[by]}, {ordinal} {kind[ordinal]}, {page} int")
+    # a heading's rows before its page is found still carry the page above, so the greatest is its page
+    walked = met.repartition(by).sortWithinPartitions(by, "_n", F.col("_p").asc_nulls_first()).mapInArrow(walk, f"{by} {kind[by]}, _n long, {page} int")
+    return walked.groupBy(by, "_n").agg(F.max(page).alias(page)).select(by, F.col("_n").cast(kind[ordinal]).alias(ordinal), page)

@@ -80,7 +80,19 @@ def test_overlay_and_bags(spark):
 def test_greedy(spark):
     want = spark.createDataFrame([("d", 1, "a"), ("d", 2, "b"), ("d", 3, "a"), ("d", 4, "b"), ("e", 1, "a")], "g string, o long, k string")
     have = spark.createDataFrame([("d", 10, "b"), ("d", 11, "a"), ("d", 12, "a"), ("d", 13, "b")], "g string, o long, k string")
-    assert sorted((r.g, r.o, r.matched) for r in greedy_matches(want, have, "g", "k", "o").collect() if r.matched) == [("d", 1, 11), ("d", 2, 13)]
+    got = sorted((r.g, r.o, r.matched) for r in greedy_matches(want, have, "g", "k", "o").collect())
+    assert got == [("d", 1, 11), ("d", 2, 13), ("d", 3, None), ("d", 4, None), ("e", 1, None)]
+    random.seed(2)
+    rows = [[(g, o, random.choice(["a", "b", "c", None])) for g in range(8) for o in range(40)] for _ in range(2)]
+    want, plain = [], {}
+    for g in range(8):
+        cursor = -1
+        for _, o, k in (r for r in rows[0] if r[0] == g):
+            hit = next((p for x, p, q in rows[1] if x == g and q == k and k and p > cursor), None)
+            cursor = cursor if hit is None else hit
+            plain[g, o] = hit
+    frames = [spark.createDataFrame(r, "g long, o int, k string") for r in rows]
+    assert {(r.g, r.o): r.matched for r in greedy_matches(*frames, "g", "k", "o").collect()} == plain
 
 
 def test_chains(spark):
