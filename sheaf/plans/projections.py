@@ -31,7 +31,7 @@ def pj01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "inventory_items").drop(*PROSE).distinct()
 
 
-@query("pj02_toc_entries", f"with {CURRENT} select {_K}, outline_level from current_blocks where outline_level is not null and not (outline_level > 2 and false) and coalesce(outline_source <> 'direct' or outline_level <= 2, true)")
+@query("pj02_toc_entries", f"with {CURRENT} select {_K}, outline_level from current_blocks where outline_level is not null and coalesce(outline_source <> 'direct' or outline_level <= 2, true)")
 def pj02(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings of a table of contents: deep ones set directly are left out, an unknown source counts as included."""
     return current_blocks(spark, sf_dir).where(c("outline_level").isNotNull() & F.coalesce((c("outline_source") != "direct") | (c("outline_level") <= 2), F.lit(True))).select(*KEY, "outline_level")
