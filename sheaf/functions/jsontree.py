@@ -119,6 +119,28 @@ def scalar_text(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False)
 
 
+def json_text(value: Any) -> str:
+    """The JSON text of a value of any depth."""
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        pass
+    out, waiting = [], [(False, value)]  # whether it is a text already, and the text or value
+    while waiting:
+        written, part = waiting.pop()
+        if written:
+            out.append(part)
+        elif isinstance(part, dict):
+            members = [x for n, (k, v) in enumerate(part.items()) for x in ((True, f"{', ' * (n > 0)}{json.dumps(k, ensure_ascii=False)}: "), (False, v))]
+            waiting += [(True, "}"), *reversed(members), (True, "{")]
+        elif isinstance(part, list):
+            members = [x for n, v in enumerate(part) for x in ((True, ", " * (n > 0)), (False, v))]
+            waiting += [(True, "]"), *reversed(members), (True, "[")]
+        else:
+            out.append(json.dumps(part, ensure_ascii=False))
+    return "".join(out)
+
+
 def pointer(parent: str, step: str | int) -> str:
     """The JSON pointer of a member."""
     return f"{parent}/{str(step).replace('~', '~0').replace('/', '~1')}"

@@ -7,7 +7,7 @@ batch has both gone and new paths, and only for those paths.
 
 `consistent_manifests` sends each file through its version's chain of steps and lists those that changed it: first the
 renames found between its producer's batches, undone from its own batch back to the producer's first, then the renames,
-defaults and casts between the known schema versions.
+defaults and casts between the known schema versions. What the typed columns do not hold stands beside them by its path.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sheaf.functions.jsontree import NotJson, kind, parse, scalar_text
+from sheaf.functions.jsontree import NotJson, json_text, kind, parse, pointer, scalar_text
 from sheaf.session import cut
 
 LEFT_OUT = "source.tree"
@@ -141,7 +141,13 @@ MIGRATION: tuple[tuple[str, Any, str], ...] = (
 )
 #: The parts a delivery has if its manifest names none.
 DEFAULT_PARTS = ("cover", "toc", "body")
-TABLE = "manifest_id long, producer_id long, project_key string, batch_no int, schema_version int, project_name string, main_title string, author string, cover_date string, source_file string, toc_depth int, documents array<struct<id:string,filename:string,parts:array<string>>>, steps array<string>"
+TABLE = "manifest_id long, producer_id long, project_key string, batch_no int, schema_version int, project_name string, main_title string, author string, cover_date string, source_file string, toc_depth int, documents array<struct<id:string,filename:string,parts:array<string>>>, steps array<string>, rest array<struct<path:string,value:string>>"
+#: What the typed columns hold as it is: texts, whole numbers, and the parts of the entries of documents.
+TEXTS = {"/project_name", "/cover/main_title", "/cover/author", "/cover/date", "/source/file"}
+NUMBERS = {"/schema_version", "/toc_depth"}
+DOCUMENTS = "/output/documents"
+#: Objects are opened so many levels deep; below, and in source.tree, they stay one text, as paths would grow with the depth.
+OPENED = 32
 
 
 def _get(document: dict, path: str) -> Any:
@@ -161,28 +167,81 @@ def _put(document: dict, path: str, value: Any) -> None:
 
 def _take(document: dict, path: str) -> None:
     *above, last = path.split(".")
+    holders = []
     for key in above:
+        holders.append((document, key))
         document = document.get(key) if isinstance(document, dict) else None
     if isinstance(document, dict):
         document.pop(last, None)
+        for holder, key in reversed(holders):  # an object that this emptied goes, too
+            if holder[key] == {}:
+                del holder[key]
 
 
-def migrated(document: dict, renames: list[tuple[str, str]] = ()) -> list[str]:
-    """Brings one manifest to the latest form in place; the steps that changed it.
+def _null_on(document: dict, path: str) -> list[str]:
+    """The pointer of the null that stands on the way to a path, if one does."""
+    at, value = "", document
+    for key in path.split("."):
+        if not isinstance(value, dict) or key not in value:
+            return []
+        at, value = pointer(at, key), value[key]
+        if value is None:
+            return [at]
+    return []
+
+
+def _move(document: dict, path: str, to: str, nulls: list[str]) -> bool:
+    """Whether there was a value to move and room for it: nothing at its new path and no scalar or array above.
+
+    nulls gets the pointer of a null that the value replaces.
+    """
+    value = _get(document, path)
+    if value is None or _get(document, to) is not None:
+        return False
+    _take(document, path)
+    above = to.split(".")[:-1]
+    room = all(isinstance(_get(document, ".".join(above[: n + 1])), dict | None) for n in range(len(above)))
+    nulls += _null_on(document, to) if room else []
+    _put(document, to if room else path, value)
+    return room
+
+
+def remaining(document: dict) -> list[tuple[str, str]]:
+    """JSON pointer and JSON text of each leaf that the typed columns do not hold as it is; comment keys are none.
+
+    A leaf is a scalar, null, an array or an empty object. A value that a cast changes is here as it was.
+    """
+    out, waiting = [], [("", 0, document)]
+    while waiting:
+        at, depth, value = waiting.pop()
+        if isinstance(value, dict) and value and depth < OPENED and at != pointer("/source", "tree"):
+            waiting += [(pointer(at, k), depth + 1, v) for k, v in value.items() if not k.startswith(COMMENT)]
+        elif at == DOCUMENTS and isinstance(value, list) and value:
+            for i, entry in enumerate(value):
+                if not isinstance(entry, dict) or not entry:
+                    out.append((pointer(at, i), json_text(entry)))
+                    continue
+                for k, v in entry.items():
+                    held = k in ("id", "filename") and isinstance(v, str) or k == "parts" and isinstance(v, list) and all(isinstance(p, str) for p in v)
+                    if not held and not k.startswith(COMMENT):
+                        out.append((pointer(pointer(at, i), k), json_text(v)))
+        elif not (at in TEXTS and isinstance(value, str) or at in NUMBERS and type(value) is int):
+            out.append((at, json_text(value)))
+    return out
+
+
+def migrated(document: dict, renames: list[tuple[str, str]] = ()) -> tuple[list[str], list[tuple[str, str]]]:
+    """Brings one manifest to the latest form in place; the steps that changed it, and what remains beside the typed columns.
 
     renames: new and old path of the producer's renames up to this file's batch, the last one first.
     """
-    done = []
-    for new, old in renames:
-        if (value := _get(document, new)) is not None and _get(document, old) is None:
-            _take(document, new)
-            _put(document, old, value)
-            done.append(f"undo {new}")
+    nulls: list[str] = []
+    done = [f"undo {new}" for new, old in renames if _move(document, new, old, nulls)]
+    done += [f"{step} {path}" for step, what, path in MIGRATION if step == "rename" and _move(document, what, path, nulls)]
+    rest = sorted((dict.fromkeys(nulls, "null") | dict(remaining(document))).items())
     for step, what, path in MIGRATION:
         have = _get(document, path)
-        if step == "rename" and have is None and (value := _get(document, what)) is not None:
-            _put(document, path, value)
-        elif step == "default" and have is None:
+        if step == "default" and have is None:
             _put(document, path, what)
         elif step == "cast" and what == "integer" and have is not None and type(have) is not int:
             text = scalar_text(have).strip('" ')
@@ -208,7 +267,7 @@ def migrated(document: dict, renames: list[tuple[str, str]] = ()) -> list[str]:
         else:
             continue
         done.append(f"{step} {path}")
-    return done
+    return done, rest
 
 
 #: Renames up to this number are broadcast; more are joined by shuffling the files.
@@ -218,6 +277,7 @@ BROADCAST_RENAMES = 200_000
 def consistent_manifests(files: DataFrame, changes: DataFrame | None = None) -> DataFrame:
     """One row for each manifest that is a JSON object, in the latest form, with the migration steps that changed it.
 
+    rest: by JSON pointer, the JSON text of everything else in the manifest, after renames and before casts.
     changes: of schema_changes; with it renames that only one producer made are undone, too. Null and broken files have
     no row, repeated files one.
     """
@@ -225,8 +285,8 @@ def consistent_manifests(files: DataFrame, changes: DataFrame | None = None) ->
 
     def migrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = pa.struct([("id", pa.string()), ("filename", pa.string()), ("parts", pa.list_(pa.string()))])
-        types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 5, pa.int32(), pa.list_(kept), pa.list_(pa.string())]
-        names = [x.strip().split(" ")[0] for x in TABLE.split("<")[0].split(",")] + ["steps"]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 5, pa.int32(), pa.list_(kept), pa.list_(pa.string()), pa.list_(pa.struct([("path", pa.string()), ("value", pa.string())]))]
+        names = [x.strip().split(" ")[0] for x in TABLE.split("<")[0].split(",")] + ["steps", "rest"]
         for batch in batches:
             rows = []
             for *own, raw, renames in zip(*(c.to_pylist() for c in batch.columns)):
@@ -235,10 +295,10 @@ def consistent_manifests(files: DataFrame, changes: DataFrame | None = None) ->
                 except NotJson:
                     continue
                 if isinstance(document, dict):
-                    steps = migrated(document, [(r["new_path"], r["old_path"]) for r in reversed(renames or []) if own[3] is not None and r["batch_no"] <= own[3]])
+                    steps, rest = migrated(document, [(r["new_path"], r["old_path"]) for r in reversed(renames or []) if own[3] is not None and r["batch_no"] <= own[3]])
                     get = lambda p, d=document: text(_get(d, p))
                     documents = [{k: text(v) if k != "parts" else v for k, v in d.items()} for d in _get(document, "output.documents")]
-                    rows.append([*own, _get(document, "schema_version"), *map(get, ("project_name", "cover.main_title", "cover.author", "cover.date", "source.file")), _get(document, "toc_depth"), documents, steps])
+                    rows.append([*own, _get(document, "schema_version"), *map(get, ("project_name", "cover.main_title", "cover.author", "cover.date", "source.file")), _get(document, "toc_depth"), documents, steps, [{"path": p, "value": v} for p, v in rest]])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), types)], names=names)
 
     own = files.where("raw_json is not null").select("manifest_id", "producer_id", "project_key", F.col("batch_no").cast("int").alias("batch_no"), "raw_json")
@@ -248,4 +308,4 @@ def consistent_manifests(files: DataFrame, changes: DataFrame | None = None) ->
         found = cut(changes.where("change_kind = 'renamed'"))
         chains = found.groupBy("producer_id").agg(F.array_sort(F.collect_list(F.struct("batch_no", "old_path", "new_path"))).alias("renames"))
         own = own.join(F.broadcast(chains) if found.count() <= BROADCAST_RENAMES else chains, "producer_id", "left").select("manifest_id", "producer_id", "project_key", "batch_no", "raw_json", "renames")
-    return own.mapInArrow(migrate, TABLE).distinct()
+    return own.mapInArrow(migrate, TABLE).distinct().withColumn("rest", F.map_from_entries("rest"))

@@ -118,7 +118,7 @@ def r04(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("m03_migrated_manifests")
 def m03(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifests in the latest form."""
-    return consistent_manifests(table(spark, sf_dir, "manifest_files")).select("manifest_id", "schema_version", F.transform("documents", lambda d: d["id"]).alias("documents"), "steps")
+    return consistent_manifests(table(spark, sf_dir, "manifest_files")).drop("producer_id", "project_key", "batch_no")
 
 
 @query("m04_decision_starters", f"with {CURRENT} select source_sha256, coalesce(p_style_id, '') as style, case when count(*) > 1 then 'pending' else 'skip' end decision from current_blocks group by all")

@@ -218,6 +218,40 @@ def test_drift_corner_cases(spark):
     assert by[2].documents[0].parts == ["cover", "toc"] and 3 not in by
 
 
+def test_no_leaf_of_a_manifest_is_lost(spark):
+    from collections import Counter
+
+    def scalars(value):
+        if isinstance(value, dict):
+            return [x for k, v in value.items() if not k.startswith("_comment") for x in scalars(v)]
+        return [x for v in value for x in scalars(v)] if isinstance(value, list) else [json.dumps(value)]
+
+    files = table(spark, DATA, "manifest_files")
+    raw, typed = {}, ("schema_version", "project_name", "main_title", "author", "cover_date", "source_file", "toc_depth")
+    for r in files.collect():
+        try:
+            raw[r.manifest_id] = parse(r.raw_json)
+        except NotJson:
+            continue
+    raw = {k: v for k, v in raw.items() if isinstance(v, dict)}
+    got = {r.manifest_id: r for r in consistent_manifests(files, schema_changes(files)).collect()}
+    assert set(got) == set(raw)
+    for k, document in raw.items():
+        row = got[k].asDict(True)
+        kept = scalars([row[c] for c in typed]) + scalars(row["documents"]) + scalars([json.loads(v) for v in row["rest"].values()])
+        assert not Counter(scalars(document)) - Counter(kept), k
+
+    deep = "[" * 30_000 + "]" * 30_000
+    odd = '{"fonts": {"text": "F"}, "cover": {"title": "T", "date": {"year": 2025, "era": "x"}, "sub_title": null}, "toc_depth": "two", "a/b": {"_comment": 1, "c": [1, {"d": 2}], "e": {}}, "output": {"documents": [{"id": 7, "filename": "f", "parts": "toc", "toc": true}, "loose"]}, "source": {"tree": %s}}' % deep
+    make = spark.createDataFrame([(1, 1, "p", 1, odd), (2, 1, "q", 1, '{"output": "x"}')], "manifest_id long, producer_id long, project_key string, batch_no int, raw_json string")
+    rest = {r.manifest_id: r.rest for r in consistent_manifests(make).collect()}
+    assert rest[1].pop("/source/tree") == deep and rest[2] == {"/output": '"x"'}
+    assert rest[1] == {
+        "/fonts/body": '"F"', "/cover/date/year": "2025", "/cover/date/era": '"x"', "/cover/sub_title": "null", "/toc_depth": '"two"', "/a~1b/c": '[1, {"d": 2}]', "/a~1b/e": "{}",
+        "/output/documents/0/id": "7", "/output/documents/0/parts": '"toc"', "/output/documents/0/toc": "true", "/output/documents/1": '"loose"',
+    }
+
+
 def test_assignment_is_least():
     import random
 
