@@ -47,6 +47,12 @@ def json_leaves(files: DataFrame, keys: list[str], raw: str) -> DataFrame:
     return chosen.mapInArrow(read, schema)
 
 
+def later_nulls(leaves: DataFrame, by: list[str], layer: str) -> DataFrame:
+    """The leaves with refused: whether one is null in any but the first layer."""
+    first = leaves.groupBy(*by).agg(F.min(layer).alias("_first"))
+    return leaves.join(first, by).withColumn("refused", (F.col("kind") == "null") & (F.col(layer) > F.col("_first"))).drop("_first")
+
+
 def merge_layers(leaves: DataFrame, by: list[str], layer: str, refuse_null: bool = False) -> DataFrame:
     """by, pointer, kind, value, layer of the merged configuration (M01): each leaf with the layer it comes from.
 
@@ -56,8 +62,7 @@ def merge_layers(leaves: DataFrame, by: list[str], layer: str, refuse_null: bool
     """
     c = F.col
     if refuse_null:
-        first = leaves.groupBy(*by).agg(F.min(layer).alias("_first"))
-        leaves = leaves.join(first, by).withColumn("value", F.when((c("kind") == "null") & (c(layer) > c("_first")), F.raise_error(F.concat(F.lit("null at "), "pointer"))).otherwise(c("value"))).drop("_first")
+        leaves = later_nulls(leaves, by, layer).withColumn("value", F.when(c("refused"), F.raise_error(F.concat(F.lit("null at "), "pointer"))).otherwise(c("value"))).drop("refused")
     parts = F.split("pointer", "/")
     ancestors = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda n: F.array_join(F.slice(parts, 1, n + 1), "/"))
     opened = leaves.select(*by, c(layer).alias("_l"), "pointer", F.explode(F.when(c("pointer") != "", ancestors).otherwise(F.array().cast("array<string>"))).alias("_up"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sheaf.operators.drift import consistent_manifests
 from sheaf.operators.hierarchy import cycle_members, nearest_ancestor, preorder, resolve_chain
-from sheaf.operators.layers import json_leaves, merge_layers
+from sheaf.operators.layers import json_leaves, later_nulls, merge_layers
 from sheaf.operators.windows import latest
 from sheaf.plans.carriers import CURRENT, current_blocks, distinct_rows
 from sheaf.plans.joins import KEY, j11, u02
@@ -109,10 +109,15 @@ def m01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r04_inherited_packages")
 def r04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Format packages laid over the version before, null refused: each leaf with the version's number."""
+    """Format packages laid over the version before: each leaf with the version's number.
+
+    A null of the first version is a leaf; one of a later version is refused, changes nothing and is a row with a fault.
+    """
     rows = table(spark, sf_dir, "format_files").where("format_id is not null").select("format_id", "file_id", "raw_json")
-    kept = json_leaves(latest(rows, ["format_id", "file_id"], [c("raw_json")]), ["format_id", "file_id"], "raw_json").where("kind <> 'null'")
-    return merge_layers(kept, ["format_id"], "file_id", refuse_null=True)
+    leaves = later_nulls(json_leaves(latest(rows, ["format_id", "file_id"], [c("raw_json")]), ["format_id", "file_id"], "raw_json"), ["format_id"], "file_id")
+    merged = merge_layers(leaves.where("not refused").drop("refused"), ["format_id"], "file_id").withColumn("fault", F.lit(None).cast("string"))
+    refused = leaves.where("refused").select("format_id", "pointer", "kind", "value", c("file_id").alias("layer"), F.lit("null_refused").alias("fault"))
+    return merged.unionByName(refused)
 
 
 @query("m03_migrated_manifests")

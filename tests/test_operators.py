@@ -150,6 +150,17 @@ def test_layer_null_is_refused(spark):
         merge_layers(json_leaves(rows, ["g", "layer"], "raw"), ["g"], "layer", refuse_null=True).collect()
 
 
+def test_layer_null_is_a_row(spark, tmp_path):
+    from sheaf.plans.registry import queries
+
+    files = [(1, "f", '{"a": null, "b": {"x": 1, "y": null}, "c": 2}'), (2, "f", '{"b": {"x": null, "z": 3}, "c": null, "d": [null]}'), (3, "g", '{"a": null}'), (4, "g", "no json"), (5, "h", '{"a": 1}'), (6, "h", "null")]
+    spark.createDataFrame(files, "file_id long, format_id string, raw_json string").write.parquet(f"{tmp_path}/format_files.parquet")
+    got = {(r.format_id, r.pointer, r.value, r.layer, r.fault) for r in queries()["r04_inherited_packages"](spark, str(tmp_path)).collect()}
+    kept = {("f", "/a", "null", 1), ("f", "/b/x", "1", 1), ("f", "/b/y", "null", 1), ("f", "/c", "2", 1), ("f", "/b/z", "3", 2), ("f", "/d", "[null]", 2), ("g", "/a", "null", 3), ("h", "/a", "1", 5)}
+    refused = {("f", "/b/x", "null", 2), ("f", "/c", "null", 2), ("h", "", "null", 6)}
+    assert got == {(*r, None) for r in kept} | {(*r, "null_refused") for r in refused}
+
+
 def test_metrics(spark):
     make = lambda rows: spark.createDataFrame(rows, "label string, accepted string, candidates array<string>, prediction string")
     h1, h2, h3, none = "heading.1", "heading.2", "heading.3", None
