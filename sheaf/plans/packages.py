@@ -172,16 +172,30 @@ def f32(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.where(~c("slot").startswith("_comment")).select("manifest_id", "slot", F.trim("font").alias("font"))
 
 
+def _page_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "field_observations").where("command = 'PAGEREF'").withColumn("p", c("cached_value").try_cast("int"))
+
+
+def _labelled(rows: DataFrame) -> DataFrame:
+    """obs_id, expected, status of page references with page p."""
+    style = F.when(c("story") == "body", "decimal").otherwise("lowerRoman")
+    expected = F.when(c("p") >= 1, S.page_number(c("p"), style))
+    return rows.select("obs_id", expected.alias("expected"), S.record_status(F.lit(None).cast("string"), c("cached_value"), expected).alias("status")).distinct()
+
+
 _ROMAN = "['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'][(p % 1000 // 100)::int + 1] || ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][(p % 100 // 10)::int + 1] || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][(p % 10)::int + 1]"
 
 
 @query("w12_page_labels", f"select distinct obs_id, case when story = 'body' then p::varchar else {_ROMAN} end expected, case when story = 'body' then 'verified' when p is null then 'unverified' else 'mismatch' end status from (select *, try_cast(cached_value as int) p from field_observations where command = 'PAGEREF') where p between 1 and 999")
 def w12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measured pages labelled in the style of their part - decimal in bodies, small Roman elsewhere - against what is shown."""
-    rows = table(spark, sf_dir, "field_observations").where("command = 'PAGEREF'").withColumn("p", c("cached_value").try_cast("int")).where("p between 1 and 999")
-    style = F.when(c("story") == "body", "decimal").otherwise("lowerRoman")
-    expected = S.page_number(c("p"), style)
-    return rows.select("obs_id", expected.alias("expected"), S.record_status(F.lit(None).cast("string"), c("cached_value"), expected).alias("status")).distinct()
+    return _labelled(_page_references(spark, sf_dir).where("p between 1 and 999"))
+
+
+@query("w12_page_records")
+def w12_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of every page reference: without a page of 1 or more there is no expected label, and nothing is verified."""
+    return _labelled(_page_references(spark, sf_dir))
 
 
 @query("w21_draft_fields", "select source_sha256, count(*) n_references, count_if(coalesce(cached_value, '') <> '?')::bigint n_not_draft from (select distinct * from field_observations) where command = 'PAGEREF' group by all")
