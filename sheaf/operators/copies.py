@@ -125,10 +125,12 @@ def assignment(left: list[tuple], right: list[tuple], left_n: list[int], right_n
 def copy_differences(a: DataFrame, b: DataFrame, key: str, fields: dict[str, Column], version: str | None = None, names: tuple[str, str] = ("a", "b")) -> DataFrame:
     """key, field_name, diff_kind: rows of keys on one side only, and each field that differs between paired rows.
 
-    fields maps a field's name to its form, the same for both copies; null equals only null. With version, only the
-    rows with a key's latest version count (nulls are the earliest), all of them if several tie. Repeated rows count
-    once, rows without key not at all. If a key has more rows on one side, the rows left over are in no pair and
-    differ in nothing. Two empty copies give no rows.
+    fields maps a field's name to its form, the same for both copies; null equals only null. Rows without key do not
+    count, rows repeated in all columns count once. Without version all other rows count, those alike in the fields as
+    often as they are there; if a key of both copies has more rows on one side, those in no pair are told by a row
+    `surplus_` and that side's name. With version, only the rows with a key's latest version count (nulls are the
+    earliest), all of them if several tie; these are versions of one row, so rows alike in the fields count once and
+    those in no pair differ in nothing. Two empty copies give no rows.
     """
     width = len(fields)
     digests = [F.unhex(F.md5(null_safe(form))).alias(f"_{i}") for i, form in enumerate(fields.values())]
@@ -136,13 +138,14 @@ def copy_differences(a: DataFrame, b: DataFrame, key: str, fields: dict[str, Col
     at = F.col(version) if version else F.lit(0)
 
     def side(rows: DataFrame, mark: int) -> DataFrame:
-        return rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.coalesce(at.cast("timestamp").cast("double") if version else at, F.lit(float("-inf"))).alias("_at"), F.lit(mark).alias("_side"), *digests)
+        # maps can't be compared as they are; without version whole rows decide what is repeated
+        whole = [] if version else [(F.array_sort(F.map_entries(c)) if t.startswith("map") else F.col(c)).alias(f"_w{i}") for i, (c, t) in enumerate(rows.dtypes)]
+        return rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.coalesce(at.cast("timestamp").cast("double") if version else at, F.lit(float("-inf"))).alias("_at"), F.lit(mark).alias("_side"), *digests, *whole).transform(lambda r: r if version else r.distinct().select("_key", "_at", "_side", *own))
 
     rows = side(a, 0).unionByName(side(b, 1))
     if version:
         latest = rows.groupBy("_key", "_side").agg(F.max("_at").alias("_at"))
-        rows = rows.join(latest, ["_key", "_side", "_at"], "left_semi")
-    rows = rows.distinct()
+        rows = rows.join(latest, ["_key", "_side", "_at"], "left_semi").distinct()
     in_side = lambda s: F.coalesce(F.sum((F.col("_side") == s).cast("int")), F.lit(0))
     counted = rows.groupBy("_key", *own).agg(in_side(0).alias("na"), in_side(1).alias("nb"))
     left = counted.select("_key", *own, F.greatest(F.col("na") - F.col("nb"), F.lit(0)).alias("la"), F.greatest(F.col("nb") - F.col("na"), F.lit(0)).alias("lb"), "na", "nb")
@@ -162,6 +165,8 @@ def copy_differences(a: DataFrame, b: DataFrame, key: str, fields: dict[str, Col
     kind = dict(rows.dtypes)["_key"]
     paired = left.where("la > 0 or lb > 0").join(many, "_key", "left_semi").groupBy("_key").applyInPandas(pair, f"_key {kind}, i int")
     fields_of = single.unionByName(paired).select("_key", label[F.col("i")].alias("field_name"), F.lit("differs").alias("diff_kind"))
+    if not version:
+        lone = lone.unionByName(per_key.where("na > 0 and nb > 0 and la <> lb").select("_key", F.lit("row").alias("field_name"), F.when(F.col("la") > F.col("lb"), f"surplus_{names[0]}").otherwise(f"surplus_{names[1]}").alias("diff_kind")))
     return lone.unionByName(fields_of).distinct().select(F.col("_key").alias(key), "field_name", "diff_kind")
 
 

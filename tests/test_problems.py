@@ -297,3 +297,12 @@ def test_copies_corner_cases(spark):
     want = {(3, f, "differs") for f in fields} | {(4, "missing_occurrences", "differs"), (5, "row", "only_prepared"), (6, "row", "only_delivered"), (7, "missing_occurrences", "differs"), (7, "paragraph_total", "differs")}
     assert got == want
     assert copy_differences(one.limit(0), two.limit(0), "inv_id", inventory_fields(), "extracted_at").count() == 0
+
+
+def test_copies_by_multiplicity(spark):
+    x, y, z = ({"x": 1}, ["a"], ["m"], 1, T(1)), ({"x": 2}, ["b"], ["n"], 2, T(1)), ({"x": 1}, ["a"], ["m"], 5, T(1))
+    a = [(1, *x, "p"), (1, *y, "p"), (2, *x, "p"), (2, *x, "q"), (3, *x, "p"), (3, *x, "p"), (4, *x, "p"), (5, *x, "p"), (5, *x, "q"), (6, *x, "p"), (7, *x, "p"), (7, *x, "q"), (7, *y, "p")]
+    b = [(1, *x, "p"), (2, *x, "p"), (3, *x, "p"), (4, *x, "p"), (4, *y, "p"), (4, *z, "p"), (5, *x, "r"), (5, *z, "p"), (7, *z, "p"), (7, *x, "p")]
+    one, two = spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA)
+    got = {tuple(r) for r in copy_differences(one, two, "inv_id", inventory_fields()).collect()}
+    assert got == {(1, "row", "surplus_a"), (2, "row", "surplus_a"), (4, "row", "surplus_b"), (5, "paragraph_total", "differs"), (6, "row", "only_a"), (7, "paragraph_total", "differs"), (7, "row", "surplus_a")}
