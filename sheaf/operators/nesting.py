@@ -3,7 +3,8 @@
 The automaton has a state for every place that can hold an object of interest. It goes down from the root: a state and
 a key, or any element, give the state of the part. Going up, the shape of an object - which of its parts are there and
 of what kind - decides its variant. All objects go into one table of what they share (file, pointer, pointer of the
-enclosing object, kind, variant, depth, label); each variant's typed columns are a table of its own over the same keys.
+enclosing object, kind, variant, depth, label); each kind's typed columns are a table of its own over the same keys, in
+which the variant is a column: objects of one kind are not routed to a table for each of their variants.
 
 Files are read one by one where they lie; nothing is shuffled before the final removal of repeated files.
 """
@@ -40,6 +41,12 @@ MANIFEST = {
     "children": State({}, elements="node"),
     "node": State({"children": "children"}, emits="outline_node", label="title"),
 }
+#: The same with the rules by which nodes of documents find headings; p3_found asks for labelled nodes only.
+RULES = MANIFEST | {
+    "node": State({"children": "children", "outline_rules": "rules"}, emits="outline_node", label="title"),
+    "rules": State({}, elements="rule"),
+    "rule": State({}, emits="outline_rule", label="pattern"),
+}
 #: The places of the page, roles and variants in a format package.
 FORMAT = {
     "root": State({"page": "page", "roles": "roles"}),
@@ -52,9 +59,10 @@ FORMAT = {
 #: States that one object stands in for a list of one.
 SINGLE = {"children": "node"}
 
-#: Typed columns by kind: of the tables that the variants are routed to.
+#: Typed columns by kind, of the tables that the objects are routed to.
 TYPED = {
     "outline_node": {"title": "string", "type": "string", "file": "string", "level": "int", "include_in_toc": "boolean"},
+    "outline_rule": {"level": "int", "pattern": "string"},
     "page": {"width_mm": "double", "width_unit": "string", "height_mm": "double", "margin_top_mm": "double", "orientation": "string"},
     "role": {"style": "string", "outline_level": "int"},
     "variant": {"style": "string", "when": "string"},

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sheaf.operators.copies import copy_differences, inventory_fields
 from sheaf.operators.drift import consistent_manifests, schema_changes
-from sheaf.operators.nesting import FORMAT, MANIFEST, flat_objects, labelled_objects, typed_table
+from sheaf.operators.nesting import FORMAT, MANIFEST, RULES, flat_objects, labelled_objects, typed_table
 from sheaf.operators.references import Parents, References, orphan_references
 from sheaf.plans.registry import query
 from sheaf.session import table
@@ -81,7 +81,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _register_typed() -> None:
-    for what, name, file_id, states in (("outline_node", "manifest_files", "manifest_id", MANIFEST), *((k, "format_files", "file_id", FORMAT) for k in ("page", "role", "variant"))):
+    for what, name, file_id, states in (("outline_node", "manifest_files", "manifest_id", MANIFEST), ("outline_rule", "manifest_files", "manifest_id", RULES), *((k, "format_files", "file_id", FORMAT) for k in ("page", "role", "variant"))):
 
         def run(spark: SparkSession, sf_dir: str, what=what, name=name, file_id=file_id, states=states) -> DataFrame:
             return typed_table(flat_objects(table(spark, sf_dir, name), file_id, "raw_json", states), what)

@@ -102,6 +102,16 @@ def test_nesting_against_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
 
 
+def test_outline_rules_are_flattened(spark, tmp_path):
+    from sheaf.plans.registry import queries
+
+    text = '{"source": {"tree": [{"level": 1, "title": "a", "outline_rules": [{"level": 2, "pattern": "^x"}, {"level": "no"}], "children": {"title": "b", "outline_rules": "[{\\"pattern\\": \\"y\\", \\"level\\": 3}]"}}]}}'
+    spark.createDataFrame([(1, text), (1, text), (2, "[1")], "manifest_id long, raw_json string").write.parquet(f"{tmp_path}/manifest_files.parquet")
+    got = {tuple(r) for r in queries()["p3_outline_rules"](spark, str(tmp_path)).select("file_id", "node_pointer", "parent_pointer", "variant", "depth", "level", "pattern").collect()}
+    at = "/source/tree/0"
+    assert got == {(1, f"{at}/outline_rules/0", at, "string", 1, 2, "^x"), (1, f"{at}/outline_rules/1", at, "absent", 1, None, None), (1, f"{at}/children/outline_rules/0", f"{at}/children", "string", 2, 3, "y")}
+
+
 def test_nesting_corner_cases(spark):
     text = '{"children": ' * 1500 + '{"title": "end"}' + "}" * 1500
     files = [(1, None), (2, ""), (3, "[1"), (4, '{"source": {"tree": [' + text + "]}}"), (5, '{"source": "{\\"tree\\": [{\\"title\\": \\"a\\", \\"children\\": \\"[{\\\\\\"title\\\\\\": 1}]\\"}]}"}'), (6, '{"source": {"tree": null}, "x": NaN}'), (7, '{"source": {"tree": [{"title": null}, 5, "x"]}}')]
