@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -268,14 +270,32 @@ def s25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(twice, ["source_sha256", "target"], "left").select("obs_id", fault.alias("fault"))
 
 
+def _outside(file: str | None) -> bool:
+    """Whether a path leaves the folder it is relative to."""
+    path = posixpath.normpath(file or "")
+    return path.startswith("/") or path == ".." or path.startswith("../")
+
+
+def _compiles(pattern: str | None) -> bool:
+    try:
+        re.compile(pattern or "")
+    except (re.error, OverflowError, RecursionError):
+        return False
+    return True
+
+
 @query("s06_tree_faults")
 def s06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outline nodes whose level is not their depth, that have no title, or that are folders without children."""
-    from sheaf.operators.nesting import MANIFEST, flat_objects, typed_table
-
-    nodes = typed_table(flat_objects(table(spark, sf_dir, "manifest_files"), "manifest_id", "raw_json", MANIFEST), "outline_node")
-    faults = F.array_compact(F.array(F.when(c("level") != c("depth") + 1, "level"), F.when(F.coalesce("title", F.lit("")) == "", "title"), F.when((c("type") == "folder") & ~c("variant").contains("children:list") & ~c("variant").contains("children:single"), "empty_folder")))
-    return nodes.select("file_id", "node_pointer", F.explode(faults).alias("fault"))
+    """Outline nodes whose level is not their depth, that have no title, that are folders without children, or whose
+    file lies outside the source's folder; and rules without a pattern that compiles, or of a level above their node's."""
+    from sheaf.operators.nesting import RULES, flat_objects, typed_table
+
+    flat = flat_objects(table(spark, sf_dir, "manifest_files"), "manifest_id", "raw_json", RULES)
+    nodes, rules = typed_table(flat, "outline_node"), typed_table(flat, "outline_rule")
+    faults = F.array_compact(F.array(F.when(c("level") != c("depth") + 1, "level"), F.when(F.coalesce("title", F.lit("")) == "", "title"), F.when((c("type") == "folder") & ~c("variant").contains("children:list") & ~c("variant").contains("children:single"), "empty_folder"), F.when((c("type") != "folder") & F.udf(_outside, "boolean")("file"), "file_outside")))
+    broken = ~c("variant").startswith("string") | ~F.udf(_compiles, "boolean")("pattern")
+    of_rules = F.array_compact(F.array(F.when(broken, "pattern"), F.when(c("level").isNull() | (c("level") < c("depth")), "rule_level")))
+    return nodes.select("file_id", "node_pointer", F.explode(faults).alias("fault")).unionByName(rules.select("file_id", "node_pointer", F.explode(of_rules).alias("fault")))
 
 
 @query("k03_build_record")

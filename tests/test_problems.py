@@ -112,6 +112,17 @@ def test_outline_rules_are_flattened(spark, tmp_path):
     assert got == {(1, f"{at}/outline_rules/0", at, "string", 1, 2, "^x"), (1, f"{at}/outline_rules/1", at, "absent", 1, None, None), (1, f"{at}/children/outline_rules/0", f"{at}/children", "string", 2, 3, "y")}
 
 
+def test_faults_of_rules_and_files(spark, tmp_path):
+    from sheaf.plans.registry import queries
+
+    node = lambda file, *rules: {"level": 1, "title": "t", "type": "docx_outline", "file": file, "outline_rules": list(rules)}
+    tree = [node("a/../b.docx", {"level": 1, "pattern": "^[0-9]+ "}), node("../b.docx", {"level": 0, "pattern": "(?P<n>x)(?P=n)"}), node("/b.docx", {"level": 2, "pattern": "("}), node("a/../../b.docx", {"level": 1, "pattern": 5}, {"pattern": "x"}), {"level": 1, "title": "t", "type": "folder", "file": "/x", "children": [{"level": 2, "title": "u", "type": "docx_outline", "file": "..b", "outline_rules": [{"level": 1, "pattern": "x"}]}]}]
+    spark.createDataFrame([(1, json.dumps({"source": {"tree": tree}}))], "manifest_id long, raw_json string").write.parquet(f"{tmp_path}/manifest_files.parquet")
+    got = sorted((r.node_pointer.removeprefix("/source/tree/"), r.fault) for r in queries()["s06_tree_faults"](spark, str(tmp_path)).collect())
+    want = [("1", "file_outside"), ("1/outline_rules/0", "rule_level"), ("2", "file_outside"), ("2/outline_rules/0", "pattern"), ("3", "file_outside"), ("3/outline_rules/0", "pattern"), ("3/outline_rules/1", "rule_level"), ("4/children/0/outline_rules/0", "rule_level")]
+    assert got == want
+
+
 def test_nesting_corner_cases(spark):
     text = '{"children": ' * 1500 + '{"title": "end"}' + "}" * 1500
     files = [(1, None), (2, ""), (3, "[1"), (4, '{"source": {"tree": [' + text + "]}}"), (5, '{"source": "{\\"tree\\": [{\\"title\\": \\"a\\", \\"children\\": \\"[{\\\\\\"title\\\\\\": 1}]\\"}]}"}'), (6, '{"source": {"tree": null}, "x": NaN}'), (7, '{"source": {"tree": [{"title": null}, 5, "x"]}}')]
