@@ -2,204 +2,282 @@
 
 Texts are folded to one look and one letter case and cut into units: words, and for Chinese items single characters.
 A unit gets a typed placeholder if it is a number, a unit of measure behind a number, or a name; every run of as many
-units as the report asks for is hashed over placeholders and plain units. Windows of items and documents meet by this
-template hash. A pair of windows is verbatim if all units agree, and re-parameterised if the placeholders of one
-correspond one to one to those of the other. Names are told without letter case: the words that the items share or
-write small are plain, every other word is a name, in items and documents alike, so a verbatim copy always has its
-item's template.
-
-Items are the query set and held in blocks of bounded size; documents are read once a block, in bounded slices, and
-never shuffled.
+units as the report asks for is hashed over placeholders and plain units, its template. Windows of items and documents
+meet in a hash join of templates. A pair of windows is verbatim if their units agree, too, and re-parameterised if the
+placeholders of one correspond one to one to those of the other: the pattern of which slots repeat which is the same.
+
+For verbatim windows each unit has its own place. For re-parameterised ones neighbouring numbers, and neighbouring names,
+are one slot, so that `1200` fits `1,300` or `twelve`, and a name of one word one of two; at least half of such a window
+must be plain. Names are told without letter case: words that two items share or one writes small are plain, every other
+word is a name; Chinese characters are plain in pairs that two items share or in long runs. What is plain is found once over all
+items, so a verbatim copy has its item's template.
+
+Documents are read once, whatever the number of items, and never shuffled: a filter of fixed size tells which of their
+windows can meet one of an item, and only these windows, as four numbers, are joined.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm.lookalike import fold_codes, sliced, to_codes
-from sheaf.llm.tokens import HAN, OTHER, Units, characters_of, folded, kinds, scatter, words_of
-from sheaf.session import table
+from sheaf.llm.tokens import FACTOR, HAN, UNDO, Units, characters_of, folded, inside, kinds, powers, scatter, words_of
+from sheaf.session import cut, table
 
 WORDS, CHARACTERS = 18, 40
-#: Items held at once; a larger query set is run block by block against all documents.
-BLOCK = 5_000
-#: Units of measure that may stand behind a number.
-UNITS = ("mm", "cm", "m", "km", "pt", "px", "kg", "g", "mg", "l", "ml", "s", "ms", "min", "h", "kb", "mb", "gb", "pages", "seiten", "percent", "prozent")
-NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-STEP = np.uint64(0x100000001B3)
-
-
-def held(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
-    if not len(sorted_set):
-        return np.zeros(len(values), dtype=bool)
-    return sorted_set[np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)] == values
-
-
-def templates(units: Units, plain: np.ndarray, measures: np.ndarray, names: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The template value of each unit and whether it is a slot."""
-    value = np.where(units.digits, NUMBER, units.hash)
-    slot = units.digits.copy()
-    if names:
-        behind = np.zeros(len(value), dtype=bool)
-        behind[1:] = units.digits[:-1] & (units.row[1:] == units.row[:-1]) & held(units.hash[1:], measures)
-        name = ~units.digits & ~behind & ~held(units.hash, plain)
-        value = np.where(behind, UNIT, np.where(name, NAME, value))
-        slot |= behind | name
-    return value, slot
-
-
-def windows(value: np.ndarray, row: np.ndarray, size: int) -> np.ndarray:
-    """A hash of every run of size units; where it crosses into another text the caller must not look."""
-    count = max(len(value) - size + 1, 0)
-    total = np.zeros(count, dtype=np.uint64)
-    for i in range(size):
-        total = total * STEP + value[i : i + count]
-    return scatter(total)
-
-
-def whole(row: np.ndarray, size: int) -> np.ndarray:
-    count = max(len(row) - size + 1, 0)
-    return row[:count] == row[size - 1 : size - 1 + count]
-
-
-class Side(NamedTuple):
-    """The windows of one block of items, by word or by character; sorted by template."""
-
-    template: np.ndarray
-    item: np.ndarray
-    place: np.ndarray
-    hash: np.ndarray  # of every unit of the items, one after another
-    text: list[str]
-
-
-class Questions(NamedTuple):
-    plain: np.ndarray
-    measures: np.ndarray
-    words: Side
-    characters: Side
-
-
-def hash_of(words: tuple[str, ...]) -> np.ndarray:
-    return np.sort(words_of(*folded(pa.array(words))).hash)
-
-
-def questions(ids: list[int], texts: list[str], langs: list[str | None]) -> Questions:
-    """What documents are compared with. A Chinese item has a language tag of Chinese or, without one, mostly Chinese characters."""
-    raw = pa.array(texts, pa.string())
-    codes, row, kind = folded(raw)
-    units = words_of(codes, row, kind)
-    # a word is plain if two items have it or one writes it small; capitals are looked up in texts folded with case
-    small_codes, small_bounds = fold_codes(*to_codes(raw))
-    small_row = np.repeat(np.arange(len(raw)), np.diff(small_bounds))
-    cased = words_of(small_codes, small_row, kinds()[small_codes])
-    small = cased.hash[held(cased.hash, np.unique(units.hash))]  # folding case leaves them as they are
-    both = np.unique(np.stack([units.hash, units.row.astype(np.uint64)], 1), axis=0)[:, 0] if len(units.hash) else units.hash
-    value, count = np.unique(both, return_counts=True)
-    plain = np.unique(np.concatenate([value[count > 1], small]))
-    measures = hash_of(UNITS)
-    han = np.bincount(row[kind == HAN], minlength=len(texts))
-    letters = np.bincount(row[kind != OTHER], minlength=len(texts))
-    chinese = np.array([(lang or "").lower().startswith(("zh", "cn", "chi")) or not lang and 2 * han[i] > letters[i] for i, lang in enumerate(langs)], dtype=bool)
-
-    def side(units: Units, size: int, names: bool, wanted: np.ndarray) -> Side:
-        value, _ = templates(units, plain, measures, names)
-        usable = np.flatnonzero(whole(units.row, size))
-        usable = usable[wanted[units.row[usable]]]
-        made = windows(value, units.row, size)[usable]
-        by = np.argsort(made, kind="stable")
-        text = [codes[a:b].astype("<u4").tobytes().decode("utf-32-le") for a, b in zip(units.start, units.end)]
-        return Side(made[by], np.array(ids, dtype=np.int64)[units.row[usable[by]]], usable[by], units.hash, text)
-
-    return Questions(plain, measures, side(units, WORDS, True, ~chinese), side(characters_of(codes, row, kind), CHARACTERS, False, chinese))
-
-
-def compare(units: Units, asked: Side, q: Questions, size: int, names: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Row, item and whether verbatim, of window pairs with one template and consistent slots."""
-    value, slot = templates(units, q.plain, q.measures, names)
-    if len(value) < size or not len(asked.template):
-        return
-    made = windows(value, units.row, size)
-    low = np.searchsorted(asked.template, made)
-    hit = np.flatnonzero((asked.template[np.minimum(low, len(asked.template) - 1)] == made) & whole(units.row, size))
-    low, high = low[hit], np.searchsorted(asked.template, made[hit], side="right")
-    ends = np.cumsum(high - low)
-    cut_at = [0, *(np.flatnonzero(np.diff(ends // 100_000)) + 1), len(hit)]
-    for a, b in zip(cut_at[:-1], cut_at[1:]):
-        many = (high - low)[a:b]
-        at = np.repeat(hit[a:b], many)
-        which = np.repeat(low[a:b], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        span = np.arange(size)
-        mine, theirs = units.hash[at[:, None] + span], asked.hash[asked.place[which][:, None] + span]
-        same = (mine == theirs).all(1)
-        fits = same.copy()
-        open_ = np.flatnonzero(~same)
-        if len(open_):
-            good = ((mine[open_] == theirs[open_]) | slot[at[open_][:, None] + span]).all(1)
-            open_ = open_[good]
-            for shift in range(1, size):  # slots equal within one window must be equal within the other
-                mine_, theirs_ = mine[open_], theirs[open_]
-                agree = ((mine_[:, shift:] == mine_[:, :-shift]) == (theirs_[:, shift:] == theirs_[:, :-shift])).all(1)
-                open_ = open_[agree]
-            fits[open_] = True
-        for i in np.flatnonzero(same):  # hashes agree: the units themselves decide
-            k, place = at[i], asked.place[which[i]]
-            fits[i] = all(asked.text[place + j] == units.codes[units.start[k + j] : units.end[k + j]].astype("<u4").tobytes().decode("utf-32-le") for j in range(size))
-        yield units.row[at[fits]], asked.item[which[fits]], same[fits]
-
-
-def matches(texts: pa.Array, q: Questions) -> pd.DataFrame:
-    """row, item_id, verbatim and the number of document windows, for each text and item that share a template window."""
-    found = []
-    for first, part in sliced(texts):
-        codes, row, kind = folded(part)
-        for units, side, size, names in ((words_of(codes, row, kind), q.words, WORDS, True), (characters_of(codes, row, kind), q.characters, CHARACTERS, False)):
-            for rows, items, same in compare(units, side, q, size, names):
-                found.append(pd.DataFrame({"row": rows + first, "item_id": items, "verbatim": same}))
-    if not found:
-        return pd.DataFrame({"row": np.zeros(0, np.int64), "item_id": np.zeros(0, np.int64), "verbatim": np.zeros(0, bool), "n": np.zeros(0, np.int64)})
-    return pd.concat(found).groupby(["row", "item_id", "verbatim"]).size().reset_index(name="n")
-
-
-def leak_windows(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, verbatim, n: how many window pairs a document and an item share, verbatim or re-parameterised.
+#: The longest run of Chinese characters that can be a name.
+NAME_CHARACTERS = 6
+#: Bits of a filter, as a power of two: at most 2 M cells of 64 bits go to the driver and to each executor, whatever the items.
+FILTER = 27
+# Units of measure that may stand behind a number, in three languages, and numbers written as words.
+MEASURES = (
+    "nm µm mm cm dm m km in inch inches ft feet yd yards mile miles pt px em twips mg g kg t lb lbs oz ml cl dl l litres liters gal s ms min h hr hrs second seconds minute minutes hour hours day days week weeks month months year years "
+    "b kb mb gb tb bit bits byte bytes hz khz mhz ghz v kv a ma w kw j kj k c f pa kpa bar usd eur gbp dollars euros percent page pages line lines dpi "
+    "seiten seite zeilen blatt blätter sekunden minuten stunden tage wochen monate jahre prozent zoll liter gramm kilogramm meter zentimeter millimeter kilometer"
+).split()
+NUMBERS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen "
+    "null zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend million milliarde"
+).split()
+NUMERALS = "〇零一二三四五六七八九十百千万亿两"
+PLAIN, NUMBER, NAME, MEASURE = range(4)
+PLACEHOLDERS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
+
+
+class Filter(NamedTuple):
+    """A set of 64-bit hashes by their first bits: what is in it is found, what is not mostly is not, everywhere alike."""
+
+    cell: np.ndarray
+    bits: np.ndarray
+
+    def opened(self) -> np.ndarray:
+        whole = np.zeros(1 << FILTER - 6, dtype=np.uint64)
+        whole[self.cell] = self.bits
+        return whole
+
+
+def held(values: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    at = values >> np.uint64(64 - FILTER)
+    return (whole[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def filter_of(hashes: DataFrame, column: str) -> Filter:
+    """Of a column of 64-bit hashes; built by an aggregate, of which each cell comes to the driver as one number."""
+    at = F.shiftrightunsigned(column, 64 - FILTER)
+    cells = hashes.select(F.shiftright(at, 6).cast("int").alias("cell"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - FILTER}) & 63 as int))").alias("bit"))
+    rows = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+    return Filter(rows.column("cell").to_numpy(), rows.column("bits").to_numpy().view(np.uint64))
+
+
+@lru_cache(maxsize=1)
+def fixed_words() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the measures, of the numbers written as words, and of the Chinese numerals."""
+    hash_of = lambda words: words_of(*folded(pa.array(list(words)))).hash
+    return hash_of(MEASURES), hash_of(NUMBERS), scatter(np.array([ord(x) for x in NUMERALS], dtype=np.uint64))
+
+
+def neighbours(units: Units) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each pair of neighbouring characters of one text, and the place of its first one."""
+    at = np.flatnonzero(units.row[1:] == units.row[:-1])
+    return scatter(units.hash[at] * np.uint64(FACTOR) + units.hash[at + 1]), at
+
+
+class Template(NamedTuple):
+    """Units and slots of texts, one after another."""
+
+    row: np.ndarray
+    value: np.ndarray  # a placeholder or the unit itself
+    exact: np.ndarray
+    slot: np.ndarray
+
+
+def typed(units: Units, plain: np.ndarray, characters: bool) -> np.ndarray:
+    """What each unit is: plain, a number, a name or a measure."""
+    measures, numbers, numerals = fixed_words()
+    what = np.where(units.digits | np.isin(units.hash, numerals if characters else numbers), NUMBER, PLAIN).astype(np.int8)
+    if characters:
+        pair, at = neighbours(units)
+        shared = held(pair, plain)
+        known = what == NUMBER
+        known[at[shared]] = known[at[shared] + 1] = True
+        # a run of unknown characters is a name if it is short
+        edge = np.ones(len(known), dtype=bool)
+        edge[1:] = (known[1:] != known[:-1]) | (units.row[1:] != units.row[:-1])
+        start = np.flatnonzero(edge)
+        size = np.diff(np.append(start, len(known)))
+        what[np.repeat(size <= NAME_CHARACTERS, size) & ~known] = NAME
+    else:
+        behind = np.zeros(len(what), dtype=bool)
+        behind[1:] = (what[:-1] == NUMBER) & (units.row[1:] == units.row[:-1])
+        behind &= np.isin(units.hash, measures)
+        what[(what == PLAIN) & ~held(units.hash, plain)] = NAME
+        what[behind] = MEASURE
+    return what
+
+
+def template(units: Units, plain: np.ndarray, characters: bool, spans: bool) -> Template:
+    """With spans neighbouring numbers, and neighbouring names, are one slot."""
+    what = typed(units, plain, characters)
+    value = np.where(what == PLAIN, units.hash, PLACEHOLDERS[what])
+    if not spans or not len(what):
+        return Template(units.row, value, units.hash, what != PLAIN)
+    first = np.ones(len(what), dtype=bool)
+    first[1:] = (what[1:] != what[:-1]) | (what[1:] == PLAIN) | (what[1:] == MEASURE) | (units.row[1:] != units.row[:-1])
+    start = np.flatnonzero(first)
+    place = np.arange(len(what)) - np.repeat(start, np.diff(np.append(start, len(what))))
+    exact = scatter(np.add.reduceat(scatter(units.hash + place.astype(np.uint64)), start))
+    return Template(units.row[start], value[start], exact, what[start] != PLAIN)
+
+
+def windows(values: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of size values; where it crosses into another text the caller must not look."""
+    n = len(values)
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values * powers(FACTOR, n), dtype=np.uint64)])
+    return scatter((total[size:] - total[: n - size + 1]) * powers(UNDO, n)[: n - size + 1])
+
+
+def patterns(t: Template, at: np.ndarray, size: int) -> np.ndarray:
+    """For the windows that begin at given places a hash of which slots repeat which."""
+    slots = np.flatnonzero(t.slot)
+    by = slots[np.lexsort((slots, t.exact[slots]))]
+    back = np.zeros(len(t.slot), dtype=np.int64)  # how far before a slot the same one stands
+    again = np.flatnonzero((t.exact[by[1:]] == t.exact[by[:-1]]) & (t.row[by[1:]] == t.row[by[:-1]])) + 1
+    back[by[again]] = by[again] - by[again - 1]
+    made = np.empty(len(at), dtype=np.uint64)
+    span, weight = np.arange(size), powers(FACTOR, size)
+    for low in range(0, len(at), 50_000):
+        far = back[at[low : low + 50_000, None] + span]
+        made[low : low + 50_000] = (np.where(far <= span, far, 0).astype(np.uint64) * weight).sum(1, dtype=np.uint64)
+    return scatter(made)
+
+
+#: Salts of the kinds of windows: words, or characters, and with or without spans.
+KINDS = {(characters, spans): scatter(np.array([1 + 2 * characters + spans], dtype=np.uint64))[0] for characters in (False, True) for spans in (False, True)}
+
+
+def window_columns(texts: pa.Array, plain: np.ndarray, spans: tuple[bool, ...], characters: np.ndarray | None, wanted: np.ndarray | None) -> Iterator[list[np.ndarray]]:
+    """Row, place, template, units, pattern and whether it has spans, of windows of texts.
+
+    characters: by text whether its windows are of characters or of words; None: both. wanted: the filter of templates.
+    """
+    codes, bounds = folded(texts)
+    for of_characters, units, size in ((False, words_of(codes, bounds), WORDS), (True, characters_of(codes, bounds), CHARACTERS)):
+        for merged in spans:
+            t = template(units, plain, of_characters, merged)
+            if len(t.row) < size:
+                continue
+            made = windows(t.value, size) ^ KINDS[of_characters, merged]
+            good = t.row[: len(made)] == t.row[size - 1 :]
+            if characters is not None:
+                good &= characters[t.row[: len(made)]] == of_characters
+            if wanted is not None:
+                good &= held(made, wanted)
+            if merged:
+                slots = np.concatenate([[0], np.cumsum(t.slot)])
+                good &= 2 * (slots[size:] - slots[: len(made)]) <= size
+            at = np.flatnonzero(good)
+            if len(at):
+                # only the texts with a window go on
+                have = np.zeros(len(texts), dtype=bool)
+                have[t.row[at]] = True
+                some = np.flatnonzero(have[t.row])
+                own, new = Template(*(c[some] for c in t)), np.searchsorted(some, at)
+                same = windows(own.exact, size)[new]
+                yield [t.row[at], at, made[at], same, patterns(own, new, size), np.full(len(at), merged)]
+
+
+ROWS = "id long, place long, template long, units long, pattern long, spans boolean"
+
+
+def window_rows(ids: pa.Array, columns: list[np.ndarray]) -> pa.RecordBatch:
+    row, place, *hashes, merged = columns
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(place.astype(np.int64)), *(pa.array(h.view(np.int64)) for h in hashes), pa.array(merged)], names=["id", "place", "template", "units", "pattern", "spans"])
+
+
+def chinese(texts: pa.Array, langs: pa.Array) -> np.ndarray:
+    """Whether an item is Chinese: by a language tag, or without one by mostly Chinese characters."""
+    codes, bounds = folded(texts)
+    row = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    count = lambda mask: np.bincount(row[mask], minlength=len(texts))
+    mostly = 2 * count(kinds()[codes] == HAN) > count(inside()[codes])
+    return np.array([(lang or "").lower().startswith(("zh", "cn", "chi")) or not lang and m for lang, m in zip(langs.to_pylist(), mostly)], dtype=bool)
+
+
+def plain_units(items: DataFrame) -> Filter:
+    """Words that two items have or one writes small, and pairs of Chinese characters that two items have."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, part in sliced(batch.column(1)):
+                codes, bounds = folded(part)
+                units = words_of(codes, bounds)
+                cased = words_of(*fold_codes(*to_codes(part), gaps=False))
+                small = cased.hash[np.isin(cased.hash, units.hash)]  # folding case leaves them as they are
+                letters = characters_of(codes, bounds)
+                pair, at = neighbours(letters)
+                rows, made = np.concatenate([units.row, letters.row[at]]), np.concatenate([units.hash, pair])
+                ids = batch.column(0).slice(first, len(part)).take(pa.array(np.append(rows, np.zeros(len(small), dtype=rows.dtype))))
+                flag = np.append(np.zeros(len(rows), dtype=bool), np.ones(len(small), dtype=bool))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.append(made, small).view(np.int64)), pa.array(flag)], names=["id", "unit", "small"])
+
+    rows = items.select("item_id", "item_text").mapInArrow(read, "id long, unit long, small boolean")
+    some = rows.groupBy("unit").agg(F.max("small").alias("small"), F.min("id").alias("a"), F.max("id").alias("b")).where("small or a < b")
+    return filter_of(some, "unit")
+
+
+def leak_windows(documents: DataFrame, items: DataFrame, spans: tuple[bool, ...] = (False, True)) -> DataFrame:
+    """doc_id, item_id, place, spans, verbatim: each window of a document that agrees with one of an item, verbatim or
+    re-parameterised; spans tells in which cut of units, with or without neighbouring slots in one.
 
     documents has doc_id and text, items item_id, item_text and lang; other columns are not read. Null and empty texts
-    and texts shorter than a window share nothing; repeated rows count once; without items or documents there are no rows.
+    and texts shorter than a window share nothing; repeated rows give repeated windows; without items or documents
+    there are no rows.
     """
     spark = documents.sparkSession
-    asked = items.where(F.col("item_text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "item_text", "lang").distinct()
-    blocks = -(-asked.count() // BLOCK) or 1
-    made = []
-    for block in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id").collect()
-        shared = spark.sparkContext.broadcast(questions(*([r[i] for r in rows] for i in range(3))))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hits = matches(batch.column(1), shared.value)
-                doc = batch.column(0).take(pa.array(hits["row"].to_numpy(np.int64)))
-                yield pa.RecordBatch.from_arrays([doc, *(pa.array(hits[c].to_numpy()) for c in ("item_id", "verbatim", "n"))], names=["doc_id", "item_id", "verbatim", "n"])
-
-        made.append(documents.where(F.length("text") >= WORDS).select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, verbatim boolean, n long"))
-    out = made[0]
-    for x in made[1:]:
-        out = out.unionByName(x)
-    return out.groupBy("doc_id", "item_id", "verbatim").agg(F.max("n").alias("n"))
+    asked = items.where("length(item_text) > 0 and item_id is not null").select("item_id", "item_text", "lang").distinct()
+    plain = spark.sparkContext.broadcast(plain_units(asked))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = plain.value.opened()
+        for batch in batches:
+            for first, part in sliced(batch.column(1)):
+                for columns in window_columns(part, known, spans, chinese(part, batch.column(2).slice(first, len(part))), None):
+                    yield window_rows(batch.column(0).slice(first, len(part)), columns)
+
+    questions = cut(asked.mapInArrow(ask, ROWS).distinct())
+    wanted = spark.sparkContext.broadcast(filter_of(questions, "template"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, met = plain.value.opened(), wanted.value.opened()
+        for batch in batches:
+            for first, part in sliced(batch.column(1)):
+                for columns in window_columns(part, known, spans, None, met):
+                    yield window_rows(batch.column(0).slice(first, len(part)), columns)
+
+    passages = documents.where(F.length("text") >= WORDS).select("doc_id", "text").mapInArrow(run, ROWS)
+    left = questions.select(F.col("id").alias("item_id"), "template", "pattern", F.col("units").alias("own")).distinct()
+    return passages.join(left, ["template", "pattern"]).select(F.col("id").alias("doc_id"), "item_id", "place", "spans", (F.col("units") == F.col("own")).alias("verbatim"))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and an item with a verbatim window."""
-    return leak_windows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).where("verbatim").select("doc_id", "item_id")
+    pairs = leak_windows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), (False,))
+    return pairs.where("verbatim").select("doc_id", "item_id").distinct()
+
+
+def reworded_pairs(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id and n_windows: pairs without a verbatim window whose templates agree with consistent slots, and in how many places."""
+    places = leak_windows(documents, items).groupBy("doc_id", "item_id", "place", "spans").agg(F.max("verbatim").alias("verbatim"))
+    pairs = places.groupBy("doc_id", "item_id").agg(F.max(F.col("verbatim") & ~F.col("spans")).alias("v"), F.sum(F.col("spans").cast("long")).alias("n_windows"))
+    return pairs.where("not v and n_windows > 0").select("doc_id", "item_id", "n_windows")
 
 
 def reworded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs without a verbatim window whose templates agree with consistent slots, and on how many windows."""
-    pairs = leak_windows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
-    return pairs.groupBy("doc_id", "item_id").agg(F.max("verbatim").alias("v"), F.max("n").alias("n_windows")).where("not v").select("doc_id", "item_id", "n_windows")
+    return reworded_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))

@@ -39,8 +39,16 @@ LOOKALIKE = {
     # Greek capital letters
     "Α": "A", "Β": "B", "Ϲ": "C", "Ε": "E", "Η": "H", "Ι": "I", "Ϳ": "J", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O",
     "Ρ": "P", "Τ": "T", "Χ": "X", "Υ": "Y", "Ζ": "Z",
+    # Armenian letters
+    "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "Օ": "O", "Տ": "S", "Ս": "U", "Լ": "L",
+    # Cherokee capital letters
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮢ": "R",
+    "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    # Lisu capital letters
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M",
+    "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
     # others
-    "օ": "o", "ɡ": "g", "‐": "-", "‑": "-",
+    "ѵ": "v", "Ѵ": "V", "ɡ": "g", "ɑ": "a", "‐": "-", "‑": "-",
 }
 
 #: Ranges whose compatibility decomposition is drawn like the character itself.
@@ -74,14 +82,18 @@ class Tables(NamedTuple):
     length: np.ndarray  # by code point: the length of its expansion
     flat: np.ndarray
     order: np.ndarray  # by code point: its combining class
+    lone: np.ndarray  # by code point: its form beside others of the kind, where it has one code point of its own
+    hard: np.ndarray  # by code point: whether it has none, as marks, jamo, expansions and what is dropped
     pair_keys: np.ndarray  # sorted starter << 21 | mark
     pair_made: np.ndarray
 
 
-def _expand(char: str) -> list[str]:
-    """What a character is drawn as: repeated until nothing changes."""
+def _expand(char: str, lines: bool = False) -> list[str]:
+    """What a character is drawn as: repeated until nothing changes. With lines the end of a line stays one."""
     if char in LOOKALIKE:
         return [LOOKALIKE[char]]
+    if lines and char == "\n":
+        return [char]
     if unicodedata.category(char) in ("Zs", "Zl", "Zp") or char in "\t\n\v\f\r\x85":
         return [" "]
     tag, _, rest = unicodedata.decomposition(char).rpartition("> ")
@@ -90,9 +102,9 @@ def _expand(char: str) -> list[str]:
     return [y for x in rest.split() for y in _expand(chr(int(x, 16)))]
 
 
-@lru_cache(maxsize=2)
-def tables(caseless: bool = False) -> Tables:
-    """Built once a process from the interpreter's character data; caseless folds letter case too."""
+@lru_cache(maxsize=3)
+def tables(caseless: bool = False, lines: bool = False) -> Tables:
+    """Built once a process from the interpreter's character data; caseless folds letter case too, lines leaves their ends."""
     target = np.arange(TOP, dtype=np.uint32)
     start = np.full(TOP, -1, dtype=np.int32)
     length = np.ones(TOP, dtype=np.uint8)
@@ -109,9 +121,9 @@ def tables(caseless: bool = False) -> Tables:
             if within(code, UNSEEN) or category in ("Cf", "Cc") and char not in "\t\n\v\f\r\x85" and not within(code, SEEN_FORMAT):
                 target[code] = DROP
                 continue
-            drawn = _expand(char)
+            drawn = _expand(char, lines)
             if caseless:
-                drawn = [y for x in "".join(drawn).casefold() for y in _expand(x)]
+                drawn = [y for x in "".join(drawn).casefold() for y in _expand(x, lines)]
             if len(drawn) > 1:
                 start[code], length[code] = len(flat), len(drawn)
                 flat += map(ord, drawn)
@@ -122,7 +134,14 @@ def tables(caseless: bool = False) -> Tables:
                 a, b = (int(x, 16) for x in parts)
                 pairs[a << 21 | b] = code
     keys = np.array(sorted(pairs), dtype=np.uint64)
-    return Tables(target, start, length, np.array(flat, dtype=np.uint32), order, keys, np.array([pairs[int(k)] for k in keys], dtype=np.uint32))
+    lone, hard = target.copy(), (target == DROP) | (start >= 0)
+    for code in np.flatnonzero(start >= 0):
+        whole = unicodedata.normalize("NFC", "".join(map(chr, flat[start[code] : start[code] + length[code]])))
+        if len(whole) == 1:
+            lone[code], hard[code] = ord(whole), False
+    hard |= order[np.minimum(lone, TOP - 1)] > 0
+    hard[L_BASE : T_BASE + T_COUNT] = True
+    return Tables(target, start, length, np.array(flat, dtype=np.uint32), order, lone, hard, keys, np.array([pairs[int(k)] for k in keys], dtype=np.uint32))
 
 
 def compose(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,40 +191,68 @@ def compose(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes, keep
 
 
-def fold_codes(codes: np.ndarray, bounds: np.ndarray, caseless: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The form of every row: codes of all rows one after another, row i from bounds[i] to bounds[i + 1]."""
-    t, rows = tables(caseless), len(bounds) - 1
-    row = np.repeat(np.arange(rows), np.diff(bounds))
+def squeezed(codes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One gap where several stand, none at either end of a row."""
+    gap = codes == SPACE
+    if not gap.any():
+        return codes, row
+    ahead = np.empty(len(codes), dtype=bool)  # a gap, or nothing, stands before
+    ahead[0], ahead[1:] = True, gap[:-1] | (row[1:] != row[:-1])
+    keep = ~(gap & ahead)
+    codes, row, gap = codes[keep], row[keep], gap[keep]
+    keep = np.ones(len(codes), dtype=bool)
+    if len(codes):
+        keep[-1] = not gap[-1]
+        keep[:-1] = ~(gap[:-1] & (row[1:] != row[:-1]))
+    return codes[keep], row[keep]
+
+
+def expanded(codes: np.ndarray, row: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """Targets and expansions in place of code points, without what is not seen, marks composed."""
     grown = np.flatnonzero(t.start[codes] >= 0)
+    out = t.target[codes]
     if len(grown):
         length = t.length[codes].astype(np.int64)
         end = np.cumsum(length)
-        out = np.repeat(t.target[codes], length)
+        out = np.repeat(out, length)
         begin, many = end[grown] - length[grown], length[grown]
         step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         out[np.repeat(begin, many) + step] = t.flat[np.repeat(t.start[codes[grown]], many) + step]
         row = np.repeat(row, length)
-    else:
-        out = t.target[codes]
     seen = out != DROP
     out, row = out[seen], row[seen]
-    if len(out):
-        first = np.empty(len(out), dtype=bool)
-        first[0], first[1:] = True, row[1:] != row[:-1]
-        out, keep = compose(out, first)
-        if not keep.all():
-            out, row = out[keep], row[keep]
-        gap = out == SPACE
-        if gap.any():
-            ahead = np.empty(len(out), dtype=bool)  # a gap, or nothing, stands before
-            ahead[0], ahead[1:] = True, gap[:-1] | (row[1:] != row[:-1])
-            keep = ~(gap & ahead)
-            out, row, gap = out[keep], row[keep], gap[keep]
-            keep = np.ones(len(out), dtype=bool)
-            if len(out):
-                keep[-1] = not gap[-1]
-                keep[:-1] = ~(gap[:-1] & (row[1:] != row[:-1]))
-            out, row = out[keep], row[keep]
+    if not len(out):
+        return out, row
+    first = np.empty(len(out), dtype=bool)
+    first[0], first[1:] = True, row[1:] != row[:-1]
+    out, keep = compose(out, first)
+    return out[keep], row[keep]
+
+
+def fold_codes(codes: np.ndarray, bounds: np.ndarray, caseless: bool = False, gaps: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The form of every row: codes of all rows one after another, row i from bounds[i] to bounds[i + 1].
+
+    Rows whose code points each have a form of their own are one gather; only the others are expanded and composed.
+    Without gaps these are left as wide as they were, and ends of lines stay.
+    """
+    t, rows = tables(caseless, not gaps), len(bounds) - 1
+    peculiar = np.flatnonzero(t.hard[codes])
+    if not len(peculiar):
+        out, ends = t.lone[codes], bounds
+    else:
+        hard = np.zeros(rows, dtype=bool)
+        hard[np.searchsorted(bounds, peculiar, side="right") - 1] = True
+        size = np.diff(bounds)
+        inside = np.repeat(hard, size)
+        made, row = expanded(codes[inside], np.repeat(np.flatnonzero(hard), size[hard]), t)
+        size = np.where(hard, np.bincount(row, minlength=rows), size)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(hard, size)
+        out = np.empty(ends[-1], dtype=np.uint32)
+        out[at], out[~at] = made, t.lone[codes[~inside]]
+    if not gaps or not len(out):
+        return out, ends
+    out, row = squeezed(out, np.repeat(np.arange(rows), np.diff(ends)))
     return out, np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))])
 
 
@@ -215,10 +262,9 @@ def to_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     texts = texts.fill_null("") if texts.null_count else texts
     _, offsets, data = texts.buffers()
     at = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, dtype=np.int64)
-    raw = data.to_pybytes()[at[0] : at[-1]] if data is not None else b""
-    octets = np.frombuffer(raw, dtype=np.uint8)
-    count = np.concatenate([[0], np.cumsum((octets & 0xC0) != 0x80)])
-    return np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), dtype=np.uint32), count[at - at[0]]
+    raw = data.slice(at[0], at[-1] - at[0]).to_pybytes() if data is not None else b""
+    size = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+    return np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), dtype=np.uint32), np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
 
 
 def to_texts(codes: np.ndarray, bounds: np.ndarray, nulls: np.ndarray | None = None) -> pa.Array:

@@ -11,12 +11,12 @@ import pyarrow as pa
 
 from sheaf.llm.lookalike import SCANNED, TOP, fold_codes, to_codes
 
-OTHER, LETTER, DIGIT, HAN = 0, 1, 2, 3
+OTHER, LETTER, DIGIT, HAN, END = 0, 1, 2, 3, 4
 
 
 @lru_cache(maxsize=1)
 def kinds() -> np.ndarray:
-    """By code point: part of no word, a letter or its mark, a digit, or a Chinese character."""
+    """By code point: part of no word, a letter or its mark, a digit, a Chinese character, or the end of a sentence."""
     kind = np.zeros(TOP, dtype=np.uint8)
     for low, high in SCANNED:
         for code in range(low, high):
@@ -26,9 +26,16 @@ def kinds() -> np.ndarray:
     kind[0x3007] = HAN
     for low, high in ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0x20000, 0x323B0)):
         kind[low:high] = HAN
+    kind[[ord(x) for x in ".!?;\n。！？；"]] = END
     return kind
 
 
+@lru_cache(maxsize=1)
+def inside() -> np.ndarray:
+    """By code point: whether it is part of a word."""
+    return (kinds() != OTHER) & (kinds() != END)
+
+
 def scatter(x: np.ndarray) -> np.ndarray:
     """Spreads 64-bit values so that sums of them collide only by chance."""
     x = x.astype(np.uint64)
@@ -37,6 +44,30 @@ def scatter(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: A factor of odd 64-bit numbers that repeats late, and its inverse: words are hashed by their places in the batch, then moved to 0.
+FACTOR = 0x5851F42D4C957F2D
+UNDO = pow(FACTOR, -1, 1 << 64)
+
+
+@lru_cache(maxsize=1)
+def values() -> np.ndarray:
+    """By code point a 64-bit value."""
+    return scatter(np.arange(TOP, dtype=np.uint64) + np.uint64(1))
+
+
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(factor: int, n: int) -> np.ndarray:
+    """The first n powers of a factor, kept for the next batch."""
+    have = _powers.get(factor, np.ones(1, dtype=np.uint64))
+    while len(have) < n:  # doubled: the known ones times the next one
+        have = np.concatenate([have, have * np.uint64(pow(factor, len(have), 1 << 64))])
+    if len(have) <= 1 << 23:  # longer ones serve one long text
+        _powers[factor] = have
+    return have[:n]
+
+
 class Units(NamedTuple):
     row: np.ndarray  # the text each unit belongs to
     hash: np.ndarray
@@ -46,57 +77,67 @@ class Units(NamedTuple):
     codes: np.ndarray
 
 
-def folded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points in one look and case, the row of each, and what each is."""
-    codes, bounds = fold_codes(*to_codes(texts), caseless=True)
-    return codes, np.repeat(np.arange(len(texts)), np.diff(bounds)), kinds()[codes]
+def folded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points in one look and case, gaps as wide as they were, and the bounds of rows."""
+    return fold_codes(*to_codes(texts), caseless=True, gaps=False)
 
 
-def words_of(codes: np.ndarray, row: np.ndarray, kind: np.ndarray) -> Units:
-    """Runs of letters and digits."""
-    inside = kind != OTHER
-    edge = np.ones(len(codes), dtype=bool)
-    edge[1:] = (row[1:] != row[:-1]) | ~inside[:-1]
-    start = np.flatnonzero(inside & edge)
+def runs(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each run of true places within a row."""
+    edge = np.zeros(len(inside) + 1, dtype=bool)
+    edge[bounds] = True
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1] | edge[1:-1]
+    ends[:-1] &= ~inside[1:] | edge[1:-1]
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return start, end, np.repeat(np.arange(len(bounds) - 1), np.diff(np.searchsorted(start, bounds)))
+
+
+def over(operation: np.ufunc, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """An operation over each stretch; none of them is empty."""
     if not len(start):
-        empty = np.zeros(0, dtype=np.int64)
-        return Units(empty, empty.astype(np.uint64), empty.astype(bool), empty, empty, codes)
-    stop = np.ones(len(codes), dtype=bool)
-    stop[:-1] = (row[1:] != row[:-1]) | ~inside[1:]
-    end = np.flatnonzero(inside & stop) + 1
-    size = end - start
-    own = codes[inside].astype(np.uint64)
-    first = np.cumsum(size) - size
-    place = (np.arange(len(own)) - np.repeat(first, size)).astype(np.uint64)
-    return Units(row[start], scatter(np.add.reduceat(scatter(own + (place << np.uint64(21))), first)), np.minimum.reduceat(np.where(kind[inside] == DIGIT, 1, 0), first) == 1, start, end, codes)
-
-
-def characters_of(codes: np.ndarray, row: np.ndarray, kind: np.ndarray) -> Units:
+        return np.zeros(0, dtype=data.dtype)
+    at = np.stack([start, end], 1).ravel()
+    return operation.reduceat(data, at[:-1] if at[-1] == len(data) else at)[::2]
+
+
+def hashed(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of code points, wherever it stands."""
+    return scatter(over(np.add, values()[codes] * powers(FACTOR, len(codes)), start, end) * powers(UNDO, len(codes))[start])
+
+
+def words_of(codes: np.ndarray, bounds: np.ndarray) -> Units:
+    """Runs of letters and digits."""
+    start, end, row = runs(inside()[codes], bounds)
+    return Units(row, hashed(codes, start, end), over(np.logical_and, kinds()[codes] == DIGIT, start, end), start, end, codes)
+
+
+def characters_of(codes: np.ndarray, bounds: np.ndarray) -> Units:
     """Single letters, digits and Chinese characters, of texts that have any of the last."""
-    chinese = np.zeros(int(row[-1]) + 1 if len(row) else 0, dtype=bool)
+    kind = kinds()[codes]
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    chinese = np.zeros(len(bounds) - 1, dtype=bool)
     chinese[row[kind == HAN]] = True
-    at = np.flatnonzero((kind != OTHER) & chinese[row]) if len(row) else np.zeros(0, dtype=np.int64)
+    at = np.flatnonzero(inside()[codes] & chinese[row])
     return Units(row[at], scatter(codes[at]), kind[at] == DIGIT, at, at + 1, codes)
 
 
-def reading_units(codes: np.ndarray, row: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of what a reader knows or not: words of letters, and pairs of neighbouring Chinese characters."""
-    words = words_of(codes, row, np.where(kind == LETTER, kind, OTHER))
-    pair = np.flatnonzero((kind[:-1] == HAN) & (kind[1:] == HAN) & (row[:-1] == row[1:])) if len(codes) else np.zeros(0, dtype=np.int64)
-    pairs = scatter((codes[pair].astype(np.uint64) << np.uint64(32)) + codes[pair + 1])
-    rows, values = np.concatenate([words.row, row[pair]]), np.concatenate([words.hash, pairs])
-    by = np.argsort(rows, kind="stable")
-    return rows[by], values[by]
-
-
-def sentences_of(texts: pa.Array) -> np.ndarray:
-    """How many sentences each text has: stretches with a letter or digit between full stops, marks and line ends."""
-    codes, bounds = to_codes(texts)
-    row = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    ends = np.isin(codes, np.array([ord(x) for x in ".!?;\n。！？；"], dtype=np.uint32))
-    edge = np.ones(len(codes), dtype=bool)
-    edge[1:] = ends[:-1] | (row[1:] != row[:-1])
-    stretch = np.cumsum(edge) - 1
-    full = np.flatnonzero((kinds()[codes] != OTHER) & ~ends)
-    _, first = np.unique(stretch[full], return_index=True)
-    return np.bincount(row[full][first], minlength=len(texts))
+def reading_units(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and hash of what a reader knows or not, words of letters and pairs of neighbouring Chinese characters; and how
+    many sentences each row has: stretches with a letter or digit between full stops, marks and line ends."""
+    kind = kinds()[codes]
+    start, end, row = runs(kind == LETTER, bounds)
+    made = hashed(codes, start, end)
+    chinese = kind == HAN
+    if chinese.any():
+        both = chinese[:-1] & chinese[1:]
+        between = bounds[(bounds > 0) & (bounds < len(codes))]
+        both[between - 1] = False
+        pair = np.flatnonzero(both)
+        row = np.concatenate([row, np.searchsorted(bounds, pair, side="right") - 1])
+        made = np.concatenate([made, scatter((codes[pair].astype(np.uint64) << np.uint64(32)) + codes[pair + 1])])
+    first, _, of = runs((kind != OTHER) & (kind != END), bounds)
+    stretch = np.searchsorted(np.flatnonzero(kind == END), first)
+    new = np.ones(len(first), dtype=bool)
+    new[1:] = (stretch[1:] != stretch[:-1]) | (of[1:] != of[:-1])
+    return row, made, np.bincount(of[new], minlength=len(bounds) - 1)
