@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.operators.copies import copy_differences, inventory_fields
+from sheaf.operators.copies import copy_balance, copy_differences, inventory_fields
 from sheaf.operators.drift import consistent_manifests, schema_changes
 from sheaf.operators.nesting import FORMAT, MANIFEST, RULES, flat_objects, labelled_objects, typed_table
 from sheaf.operators.references import Parents, References, orphan_references
@@ -131,15 +131,14 @@ def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistent_manifests(files, schema_changes(files))
 
 
-_COPY_SQL = """
-with both_copies as (
-  select 'a' side, inv_id, extracted_at, paragraph_counts, media_hashes, missing_occurrences, paragraph_total from inventory_prepared
-  union all select 'b', inv_id, extracted_at, paragraph_counts, media_hashes, missing_occurrences, paragraph_total from inventory_delivered),
-latest as (
-  select distinct side, inv_id,
+_FORMS_SQL = """
     case when paragraph_counts is not null then list_sort(list_transform(list_filter(map_entries(paragraph_counts), lambda x: x.value is null or x.value <> 0), lambda x: x.key || chr(0) || coalesce(x.value::varchar, '-'))) end c,
     case when media_hashes is not null then list_sort(list_distinct(list_transform(media_hashes, lambda x: lower(x)))) end m,
-    list_sort(missing_occurrences) o, paragraph_total t
+    list_sort(missing_occurrences) o, paragraph_total t"""
+_COPY_SQL = """
+with both_copies as (select 'a' side, * from (select distinct * from inventory_prepared) union all by name select 'b' side, * from (select distinct * from inventory_delivered)),
+latest as (
+  select distinct side, inv_id, """ + _FORMS_SQL + """
   from both_copies where inv_id is not null
   qualify extracted_at is not distinct from max(extracted_at) over (partition by side, inv_id)),
 paired as (select coalesce(a.inv_id, b.inv_id) inv_id, a.inv_id ia, b.inv_id ib, a.c ac, b.c bc, a.m am, b.m bm, a.o ao, b.o bo, a.t at_, b.t bt
@@ -167,3 +166,24 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many inventories differ in each field."""
     return _differences(spark, sf_dir).groupBy("field_name", "diff_kind").agg(F.count(F.lit(1)).alias("n_inventories"))
+
+
+#: Every order of the larger side's rows is tried for the smaller side's, which keys of a few rows bear.
+_BALANCE_SQL = f"""
+with recursive r as (select 'a' side, inv_id, {_FORMS_SQL} from (select distinct * from inventory_prepared) union all select 'b', inv_id, {_FORMS_SQL} from (select distinct * from inventory_delivered)),
+counted as (select inv_id, c, m, o, t, count(*) filter (side = 'a') na, count(*) filter (side = 'b') nb from r where inv_id is not null group by all),
+keys as (select inv_id, sum(least(na, nb)) cancelled, sum(greatest(na - nb, 0)) la, sum(greatest(nb - na, 0)) lb from counted group by 1 having sum(na) > 0 and sum(nb) > 0),
+opened as (select inv_id, c, m, o, t, 'a' side, unnest(range(na - nb)) from counted where na > nb union all select inv_id, c, m, o, t, 'b', unnest(range(nb - na)) from counted where nb > na),
+sided as (select o.*, (o.side = 'a') = (k.la <= k.lb) small, row_number() over (partition by inv_id, side) i from opened o join keys k using (inv_id)),
+walk(inv_id, i, used, cost) as (
+  select inv_id, 0::bigint, []::bigint[], 0 from keys
+  union all select w.inv_id, a.i, list_append(w.used, b.i), w.cost + (a.c is distinct from b.c)::int + (a.m is distinct from b.m)::int + (a.o is distinct from b.o)::int + (a.t is distinct from b.t)::int
+  from walk w join sided a on a.inv_id = w.inv_id and a.small and a.i = w.i + 1 join sided b on b.inv_id = w.inv_id and not b.small and not list_contains(w.used, b.i))
+select k.inv_id, k.cancelled::bigint n_cancelled, least(k.la, k.lb)::bigint n_pairs, (select min(cost) from walk w where w.inv_id = k.inv_id and w.i = least(k.la, k.lb))::bigint n_differing, abs(k.la - k.lb)::bigint n_surplus from keys k
+"""
+
+
+@query("p5_pairs", _BALANCE_SQL)
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All versions of each inventory, paired between the copies so that the pairs differ in the fewest fields."""
+    return copy_balance(table(spark, sf_dir, "inventory_prepared"), table(spark, sf_dir, "inventory_delivered"), "inv_id", inventory_fields())

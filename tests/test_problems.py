@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheaf.functions.jsontree import NotJson, _deep, parse
-from sheaf.operators.copies import assignment, copy_differences, inventory_fields
+from sheaf.operators.copies import agreeing, assignment, copy_balance, copy_differences, inventory_fields
 from sheaf.operators.drift import consistent_manifests, schema_changes
 from sheaf.operators.nesting import FORMAT, MANIFEST, flat_objects, labelled_objects, typed_table
 from sheaf.operators.references import Parents, References, orphan_references
@@ -287,6 +287,37 @@ def test_assignment_is_least():
         assert sum(cost(left[i], right[j]) for i, j, _ in pairs) == min(sum(map(cost, small, q)) for q in itertools.permutations(large, len(small)))
 
 
+def test_hubs_are_few():
+    """One field is the same everywhere, ten differ: no set of fields is met twice, none that one side lacks."""
+    left = [("x", *range(i, i + 10)) for i in range(40)]
+    right = [("x", *range(i + 1000, i + 1009), i + 9) for i in range(40)]
+    hubs = list(agreeing(left, right))
+    assert sorted(h[0] for h in hubs) == [9] * 40 + [10]
+    wide = [tuple(range(25)), tuple([-1, *range(1, 25)])]
+    assert len(list(agreeing(wide, [(0, *range(1, 24), -2), (-1, *range(1, 24), -3)]))) == 3
+    assert sum(n for *_, n in assignment(wide * 1, [(0, *range(1, 24), -2)], [3, 1], [2])) == 2
+
+
+def test_planted_copies_by_key(spark):
+    """Keys with several rows on each side, some of them alike, against every way of pairing."""
+    import random
+
+    random.seed(11)
+    cost = lambda a, b: sum(x != y for x, y in zip(a, b))
+    made, want = ([], []), {}
+    for key in range(60):
+        sides = [[(random.choice([None, 1, 2]), random.choice("ab"), random.choice("xyz")) for _ in range(random.randint(1, 5))] for _ in "ab"]
+        for side, rows in enumerate(sides):
+            made[side].extend((key, *row, f"{key}/{n}") for n, row in enumerate(rows))
+        one, two = (Counter(rows) for rows in sides)
+        left, right = list((one - two).elements()), list((two - one).elements())
+        small, large = sorted((left, right), key=len)
+        want[key] = ((one & two).total(), len(small), min(sum(map(cost, small, q)) for q in itertools.permutations(large, len(small))), len(large) - len(small))
+    frames = [spark.createDataFrame(rows + rows[:9], "k int, f int, g string, h string, note string") for rows in made]
+    got = {r[0]: tuple(r[1:]) for r in copy_balance(*frames, "k", {c: F.col(c) for c in "fgh"}).collect()}
+    assert got == want and sum(v[1] > 1 for v in want.values()) > 20
+
+
 SCHEMA = "inv_id long, paragraph_counts map<string,int>, media_hashes array<string>, missing_occurrences array<string>, paragraph_total int, extracted_at timestamp, note string"
 
 
