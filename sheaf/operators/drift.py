@@ -13,6 +13,7 @@ defaults and casts between the known schema versions. What the typed columns do
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -125,6 +126,24 @@ def schema_changes(files: DataFrame) -> DataFrame:
     return renamed.unionByName(removed).unionByName(added).unionByName(retyped)
 
 
+def schema_versions(files: DataFrame) -> DataFrame:
+    """producer_id, batch_no, version, fingerprint, n_paths: the fingerprint of each batch and its number among the producer's.
+
+    A fingerprint is the digest of a batch's paths and the types each takes; version counts the producer's different
+    fingerprints in order of their first batch, so a batch that goes back to an earlier schema has that one's number.
+    Batches count as in schema_changes.
+    """
+    c = F.col
+    prints = leaves(files).groupBy("producer_id", "batch_no", "path").agg(F.array_sort(F.collect_set("type")).alias("types")).where("path <> ''")
+    line = F.concat("path", F.lit(":"), F.array_join("types", ","))
+    batches = leaves(files).where("path = ''").select("producer_id", "batch_no").distinct()
+    made = prints.groupBy("producer_id", "batch_no").agg(F.md5(F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("fingerprint"), F.count(F.lit(1)).alias("n_paths"))
+    made = cut(batches.join(made, ["producer_id", "batch_no"], "left").select("producer_id", "batch_no", F.coalesce("fingerprint", F.md5(F.lit(""))).alias("fingerprint"), F.coalesce("n_paths", F.lit(0)).alias("n_paths")))
+    first = made.groupBy("producer_id", "fingerprint").agg(F.min("batch_no").alias("_first"))
+    number = first.select("producer_id", "fingerprint", F.row_number().over(Window.partitionBy("producer_id").orderBy("_first")).alias("version"))
+    return made.join(number, ["producer_id", "fingerprint"]).select("producer_id", "batch_no", c("version"), "fingerprint", "n_paths")
+
+
 #: Migration steps in the order in which a file goes through them: what, from path or default, to path.
 MIGRATION: tuple[tuple[str, Any, str], ...] = (
     ("rename", "cover.title", "cover.main_title"),
@@ -206,6 +225,21 @@ def _move(document: dict, path: str, to: str, nulls: list[str]) -> bool:
     return room
 
 
+#: A whole number, however written: `3`, `"3"`, `"v3"`, `3.0`.
+WHOLE = re.compile(r'[ "]*[vV]?(-?[0-9]{1,10})(?:\.0+)?[ "]*')
+
+
+def _whole(value: Any) -> int | None:
+    """The whole number of 32 bits that a value stands for, if it does for one."""
+    found = WHOLE.fullmatch(scalar_text(value)) if not isinstance(value, (dict, list, bool)) else None
+    number = int(found[1]) if found else None
+    return number if number is not None and -(1 << 31) <= number < 1 << 31 else None
+
+
+def _two_digits(value: Any) -> str:
+    return f"{int(value):02d}" if isinstance(value, int) or isinstance(value, float) and value.is_integer() else str(value)
+
+
 def remaining(document: dict) -> list[tuple[str, str]]:
     """JSON pointer and JSON text of each leaf that the typed columns do not hold as it is; comment keys are none.
 
@@ -225,7 +259,7 @@ def remaining(document: dict) -> list[tuple[str, str]]:
                     held = k in ("id", "filename") and isinstance(v, str) or k == "parts" and isinstance(v, list) and all(isinstance(p, str) for p in v)
                     if not held and not k.startswith(COMMENT):
                         out.append((pointer(pointer(at, i), k), json_text(v)))
-        elif not (at in TEXTS and isinstance(value, str) or at in NUMBERS and type(value) is int):
+        elif not (at in TEXTS and isinstance(value, str) or at in NUMBERS and type(value) is int and _whole(value) is not None):
             out.append((at, json_text(value)))
     return out
 
@@ -243,11 +277,13 @@ def migrated(document: dict, renames: list[tuple[str, str]] = ()) -> tuple[list[
         have = _get(document, path)
         if step == "default" and have is None:
             _put(document, path, what)
-        elif step == "cast" and what == "integer" and have is not None and type(have) is not int:
-            text = scalar_text(have).strip('" ')
-            _put(document, path, int(text) if text.lstrip("-").isdigit() else None)
+        elif step == "cast" and what == "integer" and have is not None and (type(have) is not int or _whole(have) is None):
+            _put(document, path, _whole(have))
+            if _whole(have) is None:
+                done.append(f"reject {path} {json_text(have)}")
+                continue
         elif step == "cast" and what == "text" and isinstance(have, dict):
-            _put(document, path, "-".join(f"{int(have[k]):02d}" if isinstance(have.get(k), (int, float)) else str(have[k]) for k in ("year", "month", "day") if k in have))
+            _put(document, path, "-".join(_two_digits(have[k]) for k in ("year", "month", "day") if k in have))
         elif step == "documents":
             single = _get(document, what)
             entries = have if isinstance(have, list) else [{"id": "main", "filename": single}] if isinstance(single, str) else []
@@ -270,14 +306,11 @@ def migrated(document: dict, renames: list[tuple[str, str]] = ()) -> tuple[list[
     return done, rest
 
 
-#: Renames up to this number are broadcast; more are joined by shuffling the files.
-BROADCAST_RENAMES = 200_000
-
-
 def consistent_manifests(files: DataFrame, changes: DataFrame | None = None) -> DataFrame:
     """One row for each manifest that is a JSON object, in the latest form, with the migration steps that changed it.
 
-    rest: by JSON pointer, the JSON text of everything else in the manifest, after renames and before casts.
+    rest: by JSON pointer, the JSON text of everything else in the manifest, after renames and before casts. A value that
+    is no whole number where one is due is rejected: a step names it, rest has it, and the default stands.
     changes: of schema_changes; with it renames that only one producer made are undone, too. Null and broken files have
     no row, repeated files one.
     """
@@ -305,7 +338,6 @@ def consistent_manifests(files: DataFrame, changes: DataFrame | None = None) ->
     if changes is None:
         own = own.withColumn("renames", F.lit(None).cast("array<struct<batch_no:int,old_path:string,new_path:string>>"))
     else:
-        found = cut(changes.where("change_kind = 'renamed'"))
-        chains = found.groupBy("producer_id").agg(F.array_sort(F.collect_list(F.struct("batch_no", "old_path", "new_path"))).alias("renames"))
-        own = own.join(F.broadcast(chains) if found.count() <= BROADCAST_RENAMES else chains, "producer_id", "left").select("manifest_id", "producer_id", "project_key", "batch_no", "raw_json", "renames")
+        chains = changes.where("change_kind = 'renamed'").groupBy("producer_id").agg(F.array_sort(F.collect_list(F.struct("batch_no", "old_path", "new_path"))).alias("renames"))
+        own = own.join(chains, "producer_id", "left").select("manifest_id", "producer_id", "project_key", "batch_no", "raw_json", "renames")
     return own.mapInArrow(migrate, TABLE).distinct().withColumn("rest", F.map_from_entries("rest"))

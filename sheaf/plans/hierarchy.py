@@ -120,10 +120,57 @@ def r04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.unionByName(refused)
 
 
-@query("m03_migrated_manifests")
+def _whole_sql(path: str) -> str:
+    at = f"json_extract(j, '{path}')"
+    text = f"nullif(regexp_extract(case when json_type({at}) in ('VARCHAR', 'DOUBLE', 'UBIGINT', 'BIGINT') then json_extract_string(j, '{path}') end, '^[ \"]*[vV]?(-?[0-9]{{1,10}})(\\.0+)?[ \"]*$', 1), '')"
+    return f"try_cast({text} as int)"
+
+
+def _filled(path: str) -> str:
+    return f"coalesce(json_type(j, '{path}'), 'NULL') <> 'NULL'"
+
+
+def _renamed(old: str, new: str) -> str:
+    return f"case when {_filled('$.' + old)} and not {_filled('$.' + new)} then 'rename {new}' end"
+
+
+def _cast(path: str) -> str:
+    """The step of a whole number: none for one as it is."""
+    raw = f"json_extract(j, '$.{path}')"
+    return f"case when {_filled('$.' + path)} and not (json_type({raw}) in ('UBIGINT', 'BIGINT') and {_whole_sql('$.' + path)} is not null) then case when {_whole_sql('$.' + path)} is null then 'reject {path} ' || {raw}::varchar else 'cast {path}' end end, case when {_whole_sql('$.' + path)} is null then 'default {path}' end"
+
+
+_TEXT = "case when json_type(j, '{0}') in ('OBJECT', 'ARRAY') then null else json_extract_string(j, '{0}') end"
+_MIGRATED = f"""with m as (select distinct manifest_id, raw_json::json j from manifest_files where json_valid(raw_json) and json_type(raw_json) = 'OBJECT'),
+  d as (select manifest_id, case when json_type(j, '$.output.documents') = 'ARRAY' then json_extract(j, '$.output.documents[*]') when json_type(j, '$.output.compiled_document') = 'VARCHAR' then [json_object('id', 'main', 'filename', json_extract(j, '$.output.compiled_document'))] else [] end docs,
+    json_type(j, '$.output.documents') = 'ARRAY' and len(list_filter(json_extract(j, '$.output.documents[*]'), lambda x: coalesce(json_type(x, '$.parts'), '') <> 'ARRAY')) = 0 as kept from m)"""
+
+
+@query(
+    "m03_migrated_manifests",
+    _MIGRATED
+    + f""" select manifest_id, coalesce({_whole_sql("$.schema_version")}, 2) schema_version, {_TEXT.format("$.project_name")} project_name, coalesce({_TEXT.format("$.cover.main_title")}, {_TEXT.format("$.cover.title")}) main_title, coalesce({_TEXT.format("$.cover.author")}, {_TEXT.format("$.cover.prepared_by")}) author,
+      case when json_type(j, '$.cover.date') = 'OBJECT' then array_to_string(list_transform(list_filter([json_extract_string(j, '$.cover.date.year'), json_extract_string(j, '$.cover.date.month'), json_extract_string(j, '$.cover.date.day')], lambda x: x is not null), lambda x: case when length(x) < 2 then '0' || x else x end), '-') else {_TEXT.format("$.cover.date")} end cover_date,
+      coalesce({_TEXT.format("$.source.file")}, {_TEXT.format("$.source.path")}) source_file, coalesce({_whole_sql("$.toc_depth")}, 3) toc_depth,
+      list_filter([{_renamed("cover.title", "cover.main_title")}, {_renamed("cover.prepared_by", "cover.author")}, {_renamed("fonts.heading_1", "fonts.h1")}, {_renamed("fonts.text", "fonts.body")}, {_renamed("source.path", "source.file")}, {_cast("schema_version")}, {_cast("toc_depth")}, case when json_type(j, '$.cover.date') = 'OBJECT' then 'cast cover.date' end, case when not coalesce(kept, false) then 'documents output.documents' end], lambda x: x is not null) steps
+      from m join d using (manifest_id)""",
+)
 def m03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Manifests in the latest form."""
-    return consistent_manifests(table(spark, sf_dir, "manifest_files")).drop("producer_id", "project_key", "batch_no")
+    """The typed columns of manifests in the latest form and the steps that brought each there."""
+    return consistent_manifests(table(spark, sf_dir, "manifest_files")).drop("producer_id", "project_key", "batch_no", "documents", "rest")
+
+
+@query(
+    "m03_migrated_documents",
+    _MIGRATED
+    + """ select manifest_id, (ord - 1)::int ord, json_extract_string(x, '$.id') id, json_extract_string(x, '$.filename') filename,
+      case json_type(x, '$.parts') when 'VARCHAR' then list_filter(list_transform(string_split(json_extract_string(x, '$.parts'), ','), lambda p: trim(p)), lambda p: p <> '') when 'ARRAY' then list_transform(list_filter(json_extract(x, '$.parts[*]'), lambda p: json_type(p) = 'VARCHAR'), lambda p: json_extract_string(p, '$')) else ['cover', 'toc', 'body'] end parts
+      from (select manifest_id, unnest(docs) x, generate_subscripts(docs, 1) ord from d)""",
+)
+def m03_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deliveries of manifests in the latest form, one row each, with the parts each has."""
+    made = consistent_manifests(table(spark, sf_dir, "manifest_files"))
+    return made.select("manifest_id", F.posexplode("documents").alias("ord", "d")).select("manifest_id", "ord", c("d.id").alias("id"), c("d.filename").alias("filename"), c("d.parts").alias("parts"))
 
 
 @query("m04_decision_starters", f"with {CURRENT} select source_sha256, coalesce(p_style_id, '') as style, case when count(*) > 1 then 'pending' else 'skip' end decision from current_blocks group by all")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.operators.copies import copy_balance, copy_differences, inventory_fields
-from sheaf.operators.drift import consistent_manifests, schema_changes
+from sheaf.operators.drift import consistent_manifests, schema_changes, schema_versions
 from sheaf.operators.nesting import FORMAT, MANIFEST, RULES, flat_objects, labelled_objects, typed_table
 from sheaf.operators.references import Parents, References, orphan_references
 from sheaf.plans.registry import query
@@ -124,6 +124,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_changes(table(spark, sf_dir, "manifest_files"))
 
 
+_VERSIONS_SQL = (
+    _CHANGES_SQL[: _CHANGES_SQL.index("sides as (")]
+    + """made as (select f.producer_id, f.batch_no, md5(coalesce(string_agg(p.path || ':' || array_to_string(p.kinds, ','), chr(10) order by p.path || ':' || array_to_string(p.kinds, ',')), '')) fingerprint, count(p.path) n_paths from (select distinct producer_id, batch_no from files) f left join prints p using (producer_id, batch_no) group by all)
+    select producer_id, batch_no, version, fingerprint, n_paths from made join (select producer_id, fingerprint, row_number() over (partition by producer_id order by b)::int as version from (select producer_id, fingerprint, min(batch_no) b from made group by all)) using (producer_id, fingerprint)"""
+)
+
+
+@query("p4_versions", _VERSIONS_SQL)
+def p4_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schema's version in each batch of a producer, by its fingerprint."""
+    return schema_versions(table(spark, sf_dir, "manifest_files"))
+
+
 @query("p4_table")
 def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All manifests in one form, each with the steps that brought it there."""

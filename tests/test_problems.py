@@ -273,6 +273,27 @@ def test_no_leaf_of_a_manifest_is_lost(spark):
     }
 
 
+def test_values_that_no_cast_takes(spark):
+    """Whole numbers however written are cast; all else is named by a step, kept in rest and replaced by the default."""
+    from sheaf.operators.drift import schema_versions
+
+    texts = ['"--5"', '"²"', '"2.0"', '"v3"', "99999999999", "1e999", "true", "4.0", "4.5", "[1]", '" 6 "', "null"]
+    rows = [(n, 1, "p", n % 2, f'{{"schema_version": {t}, "toc_depth": 3, "cover": {{"date": {{"year": 1e999, "month": 2.0, "day": "x"}}}}, "output": {{"documents": []}}}}') for n, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "manifest_id long, producer_id long, project_key string, batch_no int, raw_json string")
+    got = {r.manifest_id: r for r in consistent_manifests(frame).collect()}
+    assert [got[n].schema_version for n in range(len(texts))] == [2, 2, 2, 3, 2, 2, 2, 4, 2, 2, 6, 2]
+    rejected = {0, 1, 4, 5, 6, 8, 9}
+    for n, t in enumerate(texts):
+        steps = [x for x in got[n].steps if "schema_version" in x]
+        if n in rejected:
+            assert steps[0].startswith("reject schema_version") and steps[1] == "default schema_version" and "/schema_version" in got[n].rest
+        else:
+            assert steps == (["default schema_version"] if t == "null" else ["cast schema_version"])
+    assert got[0].steps[0] == 'reject schema_version "--5"' and got[0].cover_date == "inf-02-x"
+    versions = spark.createDataFrame([(1, b, "p", j) for b, j in ((1, '{"a": 1}'), (2, '{"a": "x"}'), (4, '{"a": 2}'), (5, "{"), (6, "{}"))], "producer_id long, batch_no int, project_key string, raw_json string")
+    assert sorted((r.batch_no, r.version, r.n_paths) for r in schema_versions(versions).collect()) == [(1, 1, 1), (2, 2, 1), (4, 1, 1), (6, 3, 0)]
+
+
 def test_assignment_is_least():
     import random
 
