@@ -119,10 +119,11 @@ def scalar_text(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False)
 
 
-def json_text(value: Any) -> str:
-    """The JSON text of a value of any depth."""
+def json_text(value: Any, compact: bool = False) -> str:
+    """The JSON text of a value of any depth; compact without gaps."""
+    comma, colon = (",", ":") if compact else (", ", ": ")
     try:
-        return json.dumps(value, ensure_ascii=False)
+        return json.dumps(value, ensure_ascii=False, separators=(comma, colon))
     except RecursionError:
         pass
     out, waiting = [], [(False, value)]  # whether it is a text already, and the text or value
@@ -131,10 +132,10 @@ def json_text(value: Any) -> str:
         if written:
             out.append(part)
         elif isinstance(part, dict):
-            members = [x for n, (k, v) in enumerate(part.items()) for x in ((True, f"{', ' * (n > 0)}{json.dumps(k, ensure_ascii=False)}: "), (False, v))]
+            members = [x for n, (k, v) in enumerate(part.items()) for x in ((True, f"{comma * (n > 0)}{json.dumps(k, ensure_ascii=False)}{colon}"), (False, v))]
             waiting += [(True, "}"), *reversed(members), (True, "{")]
         elif isinstance(part, list):
-            members = [x for n, v in enumerate(part) for x in ((True, ", " * (n > 0)), (False, v))]
+            members = [x for n, v in enumerate(part) for x in ((True, comma * (n > 0)), (False, v))]
             waiting += [(True, "]"), *reversed(members), (True, "[")]
         else:
             out.append(json.dumps(part, ensure_ascii=False))

@@ -1,10 +1,11 @@
 """Nested files as related flat tables, by a tree automaton over object shapes.
 
 The automaton has a state for every place that can hold an object of interest. It goes down from the root: a state and
-a key, or any element, give the state of the part. Going up, the shape of an object - which of its parts are there and
-of what kind - decides its variant. All objects go into one table of what they share (file, pointer, pointer of the
-enclosing object, kind, variant, depth, label); each kind's typed columns are a table of its own over the same keys, in
-which the variant is a column: objects of one kind are not routed to a table for each of their variants.
+a key, or any element, give the state of the part. Going up, the shape of an object - the type of its label, which of its
+parts are there and of what kind - decides its variant. All objects share the keys of one common table: file, pointer,
+pointer of the enclosing object, kind, variant and depth. Each variant is routed to a typed table of its own over these
+keys, in which the label has the type that it has in this variant; the tables of a kind share the kind's typed columns.
+What no typed column holds as it is, arrays and objects included, stands beside them as JSON, so no member is lost.
 
 Files are read one by one where they lie; nothing is shuffled before the final removal of repeated files.
 """
@@ -16,10 +17,11 @@ from dataclasses import dataclass
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.functions.jsontree import NotJson, kind, parse, pointer
+from sheaf.functions.jsontree import NotJson, json_text, kind, parse, pointer
+from sheaf.session import cut
 
 
 @dataclass(frozen=True)
@@ -59,7 +61,7 @@ FORMAT = {
 #: States that one object stands in for a list of one.
 SINGLE = {"children": "node"}
 
-#: Typed columns by kind, of the tables that the objects are routed to.
+#: Typed columns by kind; the tables of its variants share them.
 TYPED = {
     "outline_node": {"title": "string", "type": "string", "file": "string", "level": "int", "include_in_toc": "boolean"},
     "outline_rule": {"level": "int", "pattern": "string"},
@@ -68,9 +70,15 @@ TYPED = {
     "variant": {"style": "string", "when": "string"},
 }
 
-COLUMNS = "file_id long, node_pointer string, parent_pointer string, kind string, variant string, depth int, labelled boolean, fields map<string,string>"
+#: The type of a label's column in the tables of variants, by its type in the variant; elsewhere the label has no column.
+LABEL_TYPES = {"string": "string", "plain": "string", "number": "double", "boolean": "boolean", "object": "double"}
+#: Python types that a typed column holds as they are.
+HOLDS = {"string": (str,), "int": (int,), "double": (int, float), "boolean": (bool,)}
+UNLABELLED = ("absent", "null")
+
+COLUMNS = "file_id long, node_pointer string, parent_pointer string, kind string, variant string, depth int, fields map<string,string>, rest string"
 _ARROW = pa.schema(
-    [("file_id", pa.int64()), *((c, pa.string()) for c in ("node_pointer", "parent_pointer", "kind", "variant")), ("depth", pa.int32()), ("labelled", pa.bool_()), ("fields", pa.map_(pa.string(), pa.string()))]
+    [("file_id", pa.int64()), *((c, pa.string()) for c in ("node_pointer", "parent_pointer", "kind", "variant")), ("depth", pa.int32()), ("fields", pa.map_(pa.string(), pa.string())), ("rest", pa.string())]
 )
 
 
@@ -91,15 +99,31 @@ def _scalar(value: Any) -> str:
     return str(value).lower() if isinstance(value, bool) else str(value)
 
 
-def shape(value: dict, state: State) -> str:
+def parts_of(value: dict, state: State) -> dict[str, Any]:
+    """The nested parts of an object that are objects or lists, in order of their keys."""
+    return {key: part for key in sorted(state.members) if key in value and isinstance(part := _opened(value[key]), (dict, list))}
+
+
+def shape(value: dict, state: State, parts: dict[str, Any]) -> str:
     """The variant of an object by its own shape: what its label and its nested parts are."""
     label = kind(value.get(state.label)) if state.label in value else "absent"
-    below = [f"{key}:{'single' if isinstance(part, dict) else 'list' if part else 'empty'}" for key in sorted(state.members) if isinstance(part := _opened(value.get(key)), (dict, list))]
-    return "+".join([label, *below])
+    return "+".join([label, *(f"{key}:{'single' if isinstance(part, dict) else 'list' if part else 'empty'}" for key, part in parts.items())])
+
+
+def members_of(value: dict, what: str, parts: dict[str, Any]) -> tuple[list[tuple[str, str]], str]:
+    """Scalars of an object as text, and the JSON of all members but its parts that no typed column holds as it is."""
+    fields = {k: _scalar(v) for k, v in value.items() if v is not None and not isinstance(v, (dict, list))}
+    width = value.get("width_mm")
+    if what == "page" and isinstance(width, dict):
+        fields |= {"width_mm": _scalar(width.get("value")), "width_unit": _scalar(width.get("unit"))}
+    columns = TYPED[what]
+    held = lambda k, v: k in columns and isinstance(v, HOLDS[columns[k]]) and (not isinstance(v, bool) or columns[k] == "boolean")
+    rest = {k: value[k] for k in sorted(value) if value[k] is not None and k not in parts and not held(k, value[k])}
+    return list(fields.items()), json_text(rest, compact=True)
 
 
-def objects(document: Any, states: dict[str, State]) -> Iterator[tuple[str, str, str, str, int, bool, list[tuple[str, str]]]]:
-    """Every object that a state emits, in document order, whatever the depth."""
+def objects(document: Any, states: dict[str, State], members: bool = True) -> Iterator[tuple[str, str, str, str, int, list[tuple[str, str]], str]]:
+    """Every object that a state emits, in document order, whatever the depth: pointer, parent, kind, variant, depth, and its members if wanted."""
     waiting = [("root", _opened(document), "", "", 0)]
     while waiting:
         name, value, at, parent, depth = waiting.pop()
@@ -109,11 +133,8 @@ def objects(document: Any, states: dict[str, State]) -> Iterator[tuple[str, str,
             state = states[name]
         if state.emits and (isinstance(value, dict) or state.plain and isinstance(value, str)):
             own = value if isinstance(value, dict) else {state.label: value}
-            fields = [(k, _scalar(v)) for k, v in own.items() if v is not None and not isinstance(v, (dict, list))]
-            width = own.get("width_mm")
-            if state.emits == "page" and isinstance(width, dict):
-                fields += [("width_mm", _scalar(width.get("value"))), ("width_unit", _scalar(width.get("unit")))]
-            yield at, parent, state.emits, shape(own, state) if isinstance(value, dict) else "plain", depth, own.get(state.label) is not None, list(dict(fields).items())
+            parts = parts_of(own, state)
+            yield at, parent, state.emits, shape(own, state, parts) if isinstance(value, dict) else "plain", depth, *(members_of(own, state.emits, parts) if members else ([], "{}"))
             parent, depth = at, depth + 1
         below = []
         if isinstance(value, dict):
@@ -123,39 +144,75 @@ def objects(document: Any, states: dict[str, State]) -> Iterator[tuple[str, str,
         waiting += reversed(below)
 
 
-def flat_objects(files: DataFrame, file_id: str, raw: str, states: dict[str, State]) -> DataFrame:
+def flat_objects(files: DataFrame, file_id: str, raw: str, states: dict[str, State], members: bool = True) -> DataFrame:
     """One row per object of interest, with its place and that of the enclosing object (empty: none).
 
-    Files that are null, empty or not JSON have no objects; repeated files count once; other columns are not read.
+    Files that are null, empty or not JSON have no objects; repeated files give repeated rows; other columns are not
+    read. Without members fields and rest are empty.
     """
 
     def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[dict] = []
+            columns: list[list] = [[] for _ in _ARROW]
             size = 0
-            for number, text in zip(batch.column(0), batch.column(1)):
+            for number, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 try:
                     document = parse(text.as_py())
                 except NotJson:
                     continue
-                for at, parent, what, variant, depth, labelled, fields in objects(document, states):
-                    rows.append({"file_id": number.as_py(), "node_pointer": at, "parent_pointer": parent, "kind": what, "variant": variant, "depth": depth, "labelled": labelled, "fields": fields})
-                    size += 200 + len(at) + len(parent)  # pointers of deep files are long
+                for found in objects(document, states, members):
+                    for column, value in zip(columns, (number, *found)):
+                        column.append(value)
+                    size += 200 + len(found[0]) + len(found[1]) + len(found[-1])  # pointers of deep files are long
                     if size >= 1 << 22:
-                        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-                        rows, size = [], 0
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
+                        columns, size = [[] for _ in _ARROW], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
     return files.where(F.col(raw).isNotNull()).select(F.col(file_id).cast("long").alias("file_id"), raw).mapInArrow(flatten, COLUMNS)
 
 
+def label_type() -> Column:
+    """The type of the label in a variant."""
+    return F.substring_index("variant", "+", 1)
+
+
 def labelled_objects(manifests: DataFrame, formats: DataFrame) -> DataFrame:
-    """file_table, file_id, node_pointer and parent_pointer of every object with a label."""
-    sides = [flat_objects(files, file_id, "raw_json", states).withColumn("file_table", F.lit(name)) for files, file_id, states, name in ((manifests, "manifest_id", MANIFEST, "manifest_files"), (formats, "file_id", FORMAT, "format_files"))]
-    return sides[0].unionByName(sides[1]).where("labelled").select("file_table", "file_id", "node_pointer", "parent_pointer").distinct()
+    """file_table, file_id, node_pointer and parent_pointer of every object whose variant has a label: the common keys of those variants' tables."""
+    sides = [flat_objects(files, file_id, "raw_json", states, members=False).withColumn("file_table", F.lit(name)) for files, file_id, states, name in ((manifests, "manifest_id", MANIFEST, "manifest_files"), (formats, "file_id", FORMAT, "format_files"))]
+    return sides[0].unionByName(sides[1]).where(~label_type().isin(*UNLABELLED)).select("file_table", "file_id", "node_pointer", "parent_pointer").distinct()
 
 
 def typed_table(flat: DataFrame, what: str) -> DataFrame:
-    """The rows of one kind with its typed columns; a value that is not of the type is null."""
+    """The rows of one kind, all its variants, with its typed columns and the rest; a value that is not of the type is null there and stands in the rest."""
     own = [F.col("fields")[c].try_cast(t).alias(c) for c, t in TYPED[what].items()]
-    return flat.where(F.col("kind") == what).select("file_id", "node_pointer", "parent_pointer", "variant", "depth", *own).distinct()
+    return flat.where(F.col("kind") == what).select("file_id", "node_pointer", "parent_pointer", "variant", "depth", *own, "rest").distinct()
+
+
+def labels() -> dict[str, str]:
+    """By kind the member that is its label."""
+    return {s.emits: s.label for s in (*RULES.values(), *FORMAT.values()) if s.emits}
+
+
+def label_table(flat: DataFrame, what: str, label: str) -> DataFrame:
+    """The rows of those variants of a kind whose label is of one type, with the label in that type; without one it has no column."""
+    own = TYPED[what] | ({labels()[what]: LABEL_TYPES[label]} if label in LABEL_TYPES else {})
+    if label not in LABEL_TYPES:
+        own = {c: t for c, t in own.items() if c != labels()[what]}
+    rows = flat.where((F.col("kind") == what) & (label_type() == label))
+    return rows.select("file_id", "node_pointer", "parent_pointer", "variant", "depth", *[F.col("fields")[c].try_cast(t).alias(c) for c, t in own.items()], "rest").distinct()
+
+
+def variant_tables(flat: DataFrame) -> dict[tuple[str, str], DataFrame]:
+    """A typed table for each kind and structural variant that occurs, over the common keys; flat is read once.
+
+    Their number is bounded by the automaton, whatever the files: label types times what each nested part can be.
+    """
+    held = cut(flat)
+    there = sorted(tuple(r) for r in held.select("kind", "variant").distinct().collect())
+    return {(what, variant): label_table(held.where(F.col("variant") == variant), what, variant.split("+")[0]).drop("variant") for what, variant in there}
+
+
+def write_variants(flat: DataFrame, folder: str) -> None:
+    """Routes every object to the folder of its kind and variant in one pass: `kind=.../variant=...`."""
+    flat.write.partitionBy("kind", "variant").parquet(folder)

