@@ -14,11 +14,13 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,26 +93,30 @@ class Encoder:
                 token = ids.pop()
                 at -= size[token]
 
+    def unknown(self, word: str) -> list[int]:
+        raw = word.encode("utf-8")
+        own = self.piece(raw.decode("latin-1"))
+        if len(raw) <= REMEMBERED_BYTES:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[word] = own
+        return own
+
     def encode(self, text: str | None) -> list[int]:
-        ids: list[int] = []
-        known = self.known
-        for word in self.split.findall(text or ""):
-            own = known.get(word)
-            if own is None:
-                raw = word.encode("utf-8")
-                own = self.piece(raw.decode("latin-1"))
-                if len(raw) <= REMEMBERED_BYTES:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[word] = own
-            ids += own
-        return ids
+        words = self.split.findall(text or "")
+        made = list(map(self.known.get, words))
+        if None in made:
+            made = [self.unknown(word) if own is None else own for word, own in zip(words, made)]
+        return list(chain.from_iterable(made))
 
     def decode(self, ids: np.ndarray) -> bytes:
-        ids = np.asarray(ids, dtype=np.int64)
+        return self.decoded(np.asarray(ids, dtype=np.int64))[0].tobytes()
+
+    def decoded(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids, one after another, and how many each has."""
         low, size = self.offset[ids], self.offset[ids + 1] - self.offset[ids]
         step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        return self.blob[np.repeat(low, size) + step].tobytes()
+        return self.blob[np.repeat(low, size) + step], size
 
 
 @lru_cache(maxsize=4)
@@ -142,7 +148,15 @@ def decode_column(path: str):
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(path)
         for lists in batches:
-            yield pa.array([None if x is None else own.decode(np.array(x, dtype=np.int64)).decode("utf-8", "replace") for x in lists.to_pylist()], pa.string())
+            octets, size = own.decoded(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+            count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(count)])]
+            nulls = None if not lists.null_count else pc.is_valid(lists).buffers()[1]
+            raw = pa.Array.from_buffers(pa.large_binary(), len(lists), [nulls, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(octets)])
+            try:
+                yield raw.cast(pa.string())
+            except pa.ArrowInvalid:  # ids that are no encoding of a text
+                yield pa.array([None if x is None else x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
 
     decode.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(decode, StringType())

@@ -2,12 +2,13 @@
 
 import base64
 import random
+from collections import Counter
 from pathlib import Path
 
 import pytest
 import tiktoken
 
-from sheaf.llm.bpe import PATTERN, VOCABULARY, Encoder, decode_column, encode_texts, ids
+from sheaf.llm.bpe import PATTERN, VOCABULARY, Encoder, decode_column, encode_texts, ids, token_counts
 from sheaf.session import tokenizer_dir
 
 PATH = f"{tokenizer_dir()}/{VOCABULARY}"
@@ -40,13 +41,29 @@ def test_pieces_are_what_merging_gives(both):
     assert own.decode([]) == b"" and PATTERN
 
 
+def own_text(token):
+    return Encoder(PATH).parts[token].decode("utf-8", "replace")
+
+
 def test_queries(spark, both):
     _, other = both
     data = "/root/testdata/sf0.001"
     got = {r.doc_id: r.ids for r in ids(spark, data).collect()}
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
     assert got == {d: other.encode_ordinary(t) if t else [] for d, t in texts.items()} and None in texts.values()
+    larger = "/root/testdata/sf0.01"  # every document of it, by the library that replays merges
+    rows = spark.read.parquet(f"{larger}/documents.parquet").select("doc_id", "lang", "source", "text").collect()
+    want = {r.doc_id: other.encode_ordinary(r.text) if r.text else [] for r in rows}
+    assert {r.doc_id: r.ids for r in ids(spark, larger).collect()} == want and len(want) == len(rows)
+    counts = Counter()
+    for r in rows:
+        for n, k in ((1, 0), (len(want[r.doc_id]), 1), (len(r.text or ""), 2)):
+            counts[r.lang, r.source, k] += n
+    for r in token_counts(spark, larger).collect():
+        assert (r.n_docs, r.n_tokens, r.n_chars or 0, r.round_trip) == (*(counts[r.lang, r.source, k] for k in range(3)), True)
     rows = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "a b", "x"), (3, "a b", "x")], "doc_id long, text string, ids string").drop("ids")
     made = encode_texts(rows).withColumn("back", decode_column(PATH)("ids"))
     assert sorted((r.doc_id, r.ids, r.back) for r in made.collect()) == [(1, [], ""), (2, [], ""), (3, [64, 275], "a b"), (3, [64, 275], "a b")]
     assert encode_texts(rows.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None,), ([],), ([64],), ([9673, 64],), ([447],)], "ids array<int>")  # the last one is half a character
+    assert [r[0] for r in odd.select(decode_column(PATH)("ids")).collect()] == [None, "", "a", own_text(9673) + "a", "\ufffd"]
