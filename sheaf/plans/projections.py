@@ -6,8 +6,10 @@ import posixpath
 import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from sheaf.functions import scalars as S
 from sheaf.operators.candidates import ranked_candidates
@@ -15,6 +17,7 @@ from sheaf.operators.matching import first_contained, first_rule
 from sheaf.operators.windows import numbered, ranked_position
 from sheaf.plans.carriers import CURRENT, current_blocks, distinct_rows
 from sheaf.plans.joins import ASSIGNED, assigned
+from sheaf.plans.problems import _OBJECTS_SQL
 from sheaf.plans.registry import query
 from sheaf.plans.scalars import SP, sql_strip
 from sheaf.plans.windows import ORDERED, ordered
@@ -234,14 +237,6 @@ def s05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current_blocks(spark, sf_dir).where("structure_type = 'paragraph'").select(*KEY, first_rule(c("visible_text"), list(RULES)).alias("rule_level"), c("visible_text").alias("title")).where("rule_level is not null")
 
 
-@query("s07_marked_headings", f"with {CURRENT} select {_K}, coalesce(regexp_extract(visible_text, '^(\\d+(?:\\.\\d+)?) (.*)$', 1) || ' - ' || regexp_extract(visible_text, '^(\\d+(?:\\.\\d+)?) (.*)$', 2), visible_text) as title from (select {_K}, visible_text from current_blocks where outline_source = 'direct' and regexp_matches(visible_text, '^\\d+(?:\\.\\d+)? '))")
-def s07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings marked directly, their title put together from the groups of a pattern."""
-    pattern = r"^(\d+(?:\.\d+)?) (.*)$"
-    rows = current_blocks(spark, sf_dir).where((c("outline_source") == "direct") & c("visible_text").rlike(r"^\d+(?:\.\d+)? "))
-    return rows.select(*KEY, F.concat(F.regexp_extract("visible_text", pattern, 1), F.lit(" - "), F.regexp_extract("visible_text", pattern, 2)).alias("title"))
-
-
 @query("s23_project_matches", "with p as (select distinct project_key from manifest_files where project_key is not null) select project_key, case when lower(project_key) = '1-1' then 1 when contains(lower(project_key), '1-1') then 2 end tier from p where contains(lower(project_key), '1-1')")
 def s23(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projects that match a name exactly, or else contain it."""
@@ -270,8 +265,7 @@ def s25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(twice, ["source_sha256", "target"], "left").select("obs_id", fault.alias("fault"))
 
 
-def _outside(file: str | None) -> bool:
-    """Whether a path leaves the folder it is relative to."""
+def _leaves(file: str | None) -> bool:
     path = posixpath.normpath(file or "")
     return path.startswith("/") or path == ".." or path.startswith("../")
 
@@ -284,7 +278,30 @@ def _compiles(pattern: str | None) -> bool:
     return True
 
 
-@query("s06_tree_faults")
+@F.arrow_udf(BooleanType())
+def outside(files: pa.Array) -> pa.Array:
+    """Whether a path leaves the folder it is relative to; each different one is looked at once a batch."""
+    known = files.dictionary_encode()
+    return pa.array([_leaves(x) for x in known.dictionary.to_pylist()] + [False], pa.bool_()).take(known.indices.fill_null(len(known.dictionary)))
+
+
+@F.arrow_udf(BooleanType())
+def compiles(patterns: pa.Array) -> pa.Array:
+    """Whether a pattern can be compiled; each different one is tried once a batch, null as an empty one."""
+    known = patterns.dictionary_encode()
+    return pa.array([_compiles(x) for x in known.dictionary.to_pylist()] + [True], pa.bool_()).take(known.indices.fill_null(len(known.dictionary)))
+
+
+@query(
+    "s06_tree_faults",
+    _OBJECTS_SQL.split("--")[0].rstrip()
+    + r""", n as (select manifest_id file_id, pointer, value v, (length(pointer) - length(replace(pointer, '/children', ''))) // 9 depth, json_extract_string(value, '$.type') kind from nodes),
+    r as (select manifest_id file_id, pointer || '/outline_rules/' || unnest(range(json_array_length(value, '$.outline_rules')::bigint)) pointer, unnest(json_extract(value, '$.outline_rules[*]')) v, (length(pointer) - length(replace(pointer, '/children', ''))) // 9 + 1 depth from nodes where json_type(value, '$.outline_rules') = 'ARRAY')
+    select distinct file_id, pointer node_pointer, fault from (
+      select file_id, pointer, unnest([case when try_cast(json_extract_string(v, '$.level') as int) <> depth + 1 then 'level' end, case when coalesce(json_extract_string(v, '$.title'), '') = '' then 'title' end,
+        case when kind = 'folder' and coalesce(json_type(v, '$.children') <> 'OBJECT' and json_array_length(v, '$.children') = 0, true) then 'empty_folder' end, case when kind <> 'folder' and regexp_matches(json_extract_string(v, '$.file'), '^/|^\.\.(/|$)') then 'file_outside' end]) fault from n
+      union all select file_id, pointer, unnest([case when coalesce(json_type(v, '$.pattern'), '') <> 'VARCHAR' then 'pattern' end, case when coalesce(try_cast(json_extract_string(v, '$.level') as int), -1) < depth then 'rule_level' end]) from r) where fault is not null""",
+)
 def s06(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outline nodes whose level is not their depth, that have no title, that are folders without children, or whose
     file lies outside the source's folder; and rules without a pattern that compiles, or of a level above their node's."""
@@ -292,13 +309,26 @@ def s06(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     flat = flat_objects(table(spark, sf_dir, "manifest_files"), "manifest_id", "raw_json", RULES)
     nodes, rules = typed_table(flat, "outline_node"), typed_table(flat, "outline_rule")
-    faults = F.array_compact(F.array(F.when(c("level") != c("depth") + 1, "level"), F.when(F.coalesce("title", F.lit("")) == "", "title"), F.when((c("type") == "folder") & ~c("variant").contains("children:list") & ~c("variant").contains("children:single"), "empty_folder"), F.when((c("type") != "folder") & F.udf(_outside, "boolean")("file"), "file_outside")))
-    broken = ~c("variant").startswith("string") | ~F.udf(_compiles, "boolean")("pattern")
+    faults = F.array_compact(F.array(F.when(c("level") != c("depth") + 1, "level"), F.when(F.coalesce("title", F.lit("")) == "", "title"), F.when((c("type") == "folder") & ~c("variant").contains("children:list") & ~c("variant").contains("children:single"), "empty_folder"), F.when((c("type") != "folder") & outside("file"), "file_outside")))
+    broken = ~c("variant").startswith("string") | ~compiles("pattern")
     of_rules = F.array_compact(F.array(F.when(broken, "pattern"), F.when(c("level").isNull() | (c("level") < c("depth")), "rule_level")))
     return nodes.select("file_id", "node_pointer", F.explode(faults).alias("fault")).unionByName(rules.select("file_id", "node_pointer", F.explode(of_rules).alias("fault")))
 
 
-@query("k03_build_record")
+@query("k03_build_inputs", "select source_sha256, count(*) n_rows from (select distinct * from blocks) where source_sha256 is not null group by all")
+def k03_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that a build reads, with their number of rows."""
+    from sheaf.sources.files import build_inputs
+
+    return build_inputs(distinct_rows(spark, sf_dir, "blocks"))
+
+
+@query(
+    "k03_build_record",
+    """with h as (select distinct source_sha256 s from blocks where source_sha256 is not null), l as (select s[:3] p, count(*) n, sha256(string_agg(s, chr(10) order by s)) h from h group by 1),
+    k as (select case when cached_value is null then 'not_run' else 'passed' end status, count(*) n from (select distinct * from field_observations) group by 1)
+    select coalesce(sum(n), 0)::bigint inputs, sha256(coalesce(string_agg(h, chr(10) order by p), '')) digest, (select '{' || string_agg('"' || status || '":' || n, ',' order by status) || '}' from k) checks from l""",
+)
 def k03(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row that records the inputs and the fields by whether they have a value."""
     from sheaf.sources.files import build_record

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from sheaf.plans import aggregates, hierarchy, joins, packages, problems, projections, scalars, windows  # noqa: F401
+    from sheaf.plans import aggregates, contents, hierarchy, joins, packages, problems, projections, scalars, windows  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -43,6 +43,13 @@ def outline_of_files(files: DataFrame) -> DataFrame:
     return placed.select("folder", "name", "type", "seq", node_title(c("raw"), F.lit(2), c("seq")).alias("title"))
 
 
+def single_documents(files: DataFrame) -> DataFrame:
+    """S03 for many folders at once: folder, name and fault; the only document of each folder, else no name but none or several as fault."""
+    own = F.lower("name").endswith(".docx") & ~F.col("name").startswith("~$")
+    counted = files.groupBy("folder").agg(F.count_if(own).alias("n"), F.min(F.when(own, F.col("name"))).alias("first"))
+    return counted.select("folder", F.when(F.col("n") == 1, F.col("first")).alias("name"), F.when(F.col("n") == 0, "none").when(F.col("n") > 1, "several").alias("fault"))
+
+
 def only_document(files: DataFrame, name: str | None = None) -> DataFrame:
     """The named document, else the only one there is; an error if there are none or several."""
     found = files.where(F.col("name") == name if name else F.lower("name").endswith(".docx") & ~F.col("name").startswith("~$"))
@@ -128,15 +135,27 @@ def write_records(rows: DataFrame, path: str, overwrite: bool = False) -> None:
     rows.write.mode("overwrite" if overwrite else "errorifexists").json(path)
 
 
+def build_inputs(inputs: DataFrame) -> DataFrame:
+    """source_sha256 and n_rows of each input, the list that a build record's digest is made of."""
+    return inputs.where("source_sha256 is not null").groupBy("source_sha256").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def build_record(inputs: DataFrame, checks: DataFrame) -> DataFrame:
-    """One row of JSON: a digest of the inputs' hashes and the checks by status. Inputs are counted, not listed.
+    """One row: inputs, their number, digest, and checks, the number of checks by status as JSON.
 
-    inputs has source_sha256; the digest does not depend on their order or repetition.
+    inputs has source_sha256; the digest does not depend on their order or repetition: hashes are listed in order by
+    their first three characters, each list is hashed, and the hashes of the lists, in order, are hashed again.
     """
     hashes = inputs.select("source_sha256").where("source_sha256 is not null").distinct()
-    digest = hashes.agg(F.count(F.lit(1)).alias("inputs"), F.bit_xor(F.xxhash64("source_sha256")).alias("digest"))
-    status = checks.groupBy("status").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("checks"))
-    return digest.withColumn("_j", F.lit(1)).join(status.withColumn("_j", F.lit(1)), "_j").select(F.to_json(F.struct("inputs", "digest", "checks")).alias("record"))
+    listed_ = hashes.groupBy(F.substring("source_sha256", 1, 3).alias("_p")).agg(F.count(F.lit(1)).alias("_n"), F.sha2(F.array_join(F.array_sort(F.collect_list("source_sha256")), "\n"), 256).alias("_h"))
+    digest = listed_.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("inputs"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_h"))), lambda x: x["_h"]), "\n"), 256).alias("digest"))
+    status = checks.groupBy("status").agg(F.count(F.lit(1)).alias("n")).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n"))))).alias("checks"))
+    return digest.withColumn("_j", F.lit(1)).join(status.withColumn("_j", F.lit(1)), "_j").select("inputs", "digest", "checks")
+
+
+def failure_records(failures: DataFrame, key: str, error: str, message: str) -> DataFrame:
+    """K06 for many inputs: key and record, the JSON of what went wrong with each; rows without error have none."""
+    return failures.where(F.col(error).isNotNull()).select(key, F.to_json(F.struct(F.col(error).alias("error"), F.col(message).alias("message"))).alias("record"))
 
 
 def write_failure(path: str, error: BaseException, details: dict | None = None) -> None:
@@ -145,23 +164,21 @@ def write_failure(path: str, error: BaseException, details: dict | None = None)
         json.dump({"error": type(error).__name__, "message": str(error), **(details or {})}, file, ensure_ascii=False)
 
 
-def build_outline(spark: SparkSession, strategy: str, path: str, rules: list[tuple[str, int]] | None = None) -> DataFrame:
+def build_outline(spark: SparkSession, strategy: str, path: str, rules: list[tuple[str, int, str]] | None = None) -> DataFrame:
     """The outline of a source by its strategy; an unknown strategy or an empty outline is an error.
 
     directory_tree: the files of a folder. docx_document: headings of packages by outline level. highlighted_docx: their
-    paragraphs by the first of rules. explicit_tree: the nodes of manifests.
+    marked paragraphs, by rules. explicit_tree: the nodes of manifests.
     """
-    from sheaf.operators.matching import first_rule
     from sheaf.operators.nesting import MANIFEST, flat_objects, typed_table
-    from sheaf.sources.packages import read_packages, typed
+    from sheaf.sources.packages import MARK_RULES, marked_headings, read_packages, typed
 
     if strategy == "directory_tree":
         made = outline_of_files(listed(spark, path))
     elif strategy == "docx_document":
         made = typed(read_packages(spark, path), "block").where("outline_level is not null").select("source_sha256", "ord", F.col("outline_level").alias("level"), F.col("visible_text").alias("title"))
     elif strategy == "highlighted_docx":
-        level = first_rule(F.col("visible_text"), rules or [])
-        made = typed(read_packages(spark, path), "block").select("source_sha256", "ord", level.alias("level"), F.col("visible_text").alias("title")).where("level is not null")
+        made = marked_headings(read_packages(spark, path), MARK_RULES if rules is None else tuple(rules))
     elif strategy == "explicit_tree":
         files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("manifest_id"), F.decode("content", "UTF-8").alias("raw_json"))
         made = typed_table(flat_objects(files, "manifest_id", "raw_json", MANIFEST), "outline_node")

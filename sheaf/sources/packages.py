@@ -2,7 +2,7 @@
 
 `package_records` has one row per fact: source_sha256, part_uri, kind, ord and a map of the fact's fields. The functions
 below it are typed views of one kind each. Only the standard zip and XML readers are used; a file that breaks a safety
-limit or is no package gives one row of kind `fault` and nothing else, never an exception.
+limit, is no package or has a part that cannot be read gives one row of kind `fault` and nothing else, never an exception.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import io
 import posixpath
 import re
 import zipfile
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -49,7 +50,8 @@ def package_fault(infos: list[zipfile.ZipInfo], limits: Limits) -> str | None:
     if len(infos) > limits.parts:
         return "too_many_parts"
     for info in infos:
-        if info.filename.startswith("/") or ".." in info.filename:
+        steps = info.filename.replace("\\", "/").split("/")
+        if ".." in steps or steps[0] in ("", ".") or ":" in steps[0]:
             return "path_escape"
         if info.file_size > limits.part:
             return "part_too_large"
@@ -126,13 +128,21 @@ def field_rows(paragraph: ET.Element) -> Iterator[tuple[str, str]]:
                     field["shown"] += [t.text or "" for t in run.iter(W + "t")]
 
 
+def marks_of(p: ET.Element) -> set[str]:
+    """The colours with which a paragraph is shaded or any of its runs is highlighted or shaded, in small letters."""
+    shades = [p.find(f"{W}pPr/{W}shd"), *p.findall(f"{W}r/{W}rPr/{W}shd")]
+    lights = p.findall(f"{W}r/{W}rPr/{W}highlight")
+    found = {s.get(W + "fill") for s in shades if s is not None} | {h.get(W + "val") for h in lights}
+    return {colour.lower() for colour in found if colour}
+
+
 def paragraph_fields(p: ET.Element, names: dict[str, str], levels: dict[str, str]) -> dict[str, str | None]:
     """A paragraph's text, styles, outline level and its source, runs and protected objects."""
     properties = p.find(W + "pPr")
     style, direct = value(properties, "pStyle"), value(properties, "outlineLvl")
     runs = list(p.iter(W + "r"))
     first = runs[0].find(W + "rPr") if runs else None
-    level = str(int(direct) + 1) if direct and direct.isdigit() else levels.get(style or "")
+    level = str(int(direct) + 1) if direct and direct.isdecimal() else levels.get(style or "")
     fonts = first.find(W + "rFonts") if first is not None else None
     return {
         "structure_type": "paragraph",
@@ -141,11 +151,12 @@ def paragraph_fields(p: ET.Element, names: dict[str, str], levels: dict[str, str
         "p_style_id": style,
         "p_style_name": names.get(style or ""),
         "outline_level": level,
-        "outline_source": "direct" if direct and direct.isdigit() else "style" if level else None,
+        "outline_source": "direct" if direct and direct.isdecimal() else "style" if level else None,
         "runs_count": str(len(runs)),
         "protected_objects": ",".join(sorted({PROTECTED[x.tag] for x in p.iter() if x.tag in PROTECTED})),
+        "marks": ",".join(sorted(marks_of(p))),
         "alignment": value(properties, "jc"),
-        "size_pt": str(float(size) / 2) if (size := value(first, "sz")) and size.isdigit() else None,
+        "size_pt": str(float(size) / 2) if (size := value(first, "sz")) and size.isdecimal() else None,
         "bold": toggled(first, "b"),
         "italic": toggled(first, "i"),
         "latin": fonts.get(W + "ascii") if fonts is not None else None,
@@ -190,8 +201,19 @@ def section_fields(section: ET.Element) -> dict[str, str | None]:
     }
 
 
-def records(content: bytes, limits: Limits) -> Iterator[tuple[str, str, int, dict[str, str | None]]]:
-    """part_uri, kind, ord and fields of everything in one package."""
+#: What unreadable parts raise: broken archives and XML, encrypted parts, methods that are not known, numbers that are none.
+UNREADABLE = (zipfile.BadZipFile, zlib.error, ET.ParseError, OSError, EOFError, RuntimeError, NotImplementedError, ValueError, KeyError, OverflowError)
+
+
+def records(content: bytes, limits: Limits) -> list[tuple[str, str, int, dict[str, str | None]]]:
+    """part_uri, kind, ord and fields of everything in one package; of one that cannot be read in whole, only its fault."""
+    try:
+        return list(contents(content, limits))
+    except UNREADABLE as error:
+        return [("", "fault", 0, {"fault": "unreadable xml" if isinstance(error, ET.ParseError) else "unreadable part"})]
+
+
+def contents(content: bytes, limits: Limits) -> Iterator[tuple[str, str, int, dict[str, str | None]]]:
     try:
         package = zipfile.ZipFile(io.BytesIO(content))
     except (zipfile.BadZipFile, OSError):
@@ -207,11 +229,7 @@ def records(content: bytes, limits: Limits) -> Iterator[tuple[str, str, int, dic
         parts = {i.filename: package.read(i) for i in infos if not i.is_dir()}
     for n, info in enumerate(infos):
         yield info.filename, "part", n, {"size": str(info.file_size), "compressed": str(info.compress_size)}
-    try:
-        trees = {name: ET.fromstring(raw) for name, raw in parts.items() if name.endswith((".xml", ".rels"))}
-    except ET.ParseError as error:
-        yield "", "fault", 0, {"fault": f"xml {error}"}
-        return
+    trees = {name: ET.fromstring(raw) for name, raw in parts.items() if name.endswith((".xml", ".rels"))}
     # relationships of the main part
     targets: dict[str, str] = {}
     for n, relation in enumerate(trees.get("word/_rels/document.xml.rels", ET.Element("none")).iter(RELATION)):
@@ -230,9 +248,9 @@ def records(content: bytes, limits: Limits) -> Iterator[tuple[str, str, int, dic
         key, properties, run = style.get(W + "styleId") or "", style.find(W + "pPr"), style.find(W + "rPr")
         names[key], based[key] = value(style, "name"), value(style, "basedOn")
         level = value(properties, "outlineLvl")
-        own[key] = str(int(level) + 1) if level and level.isdigit() else None
+        own[key] = str(int(level) + 1) if level and level.isdecimal() else None
         size, fonts = value(run, "sz"), run.find(W + "rFonts") if run is not None else None
-        yield "word/styles.xml", "style", n, {"style_id": key, "style_type": style.get(W + "type"), "name": names[key], "based_on": based[key], "next_style": value(style, "next"), "outline_level": own[key], "size_pt": str(float(size) / 2) if size and size.isdigit() else None, "bold": toggled(run, "b"), "italic": toggled(run, "i"), "alignment": value(properties, "jc"), "latin": fonts.get(W + "ascii") if fonts is not None else None}
+        yield "word/styles.xml", "style", n, {"style_id": key, "style_type": style.get(W + "type"), "name": names[key], "based_on": based[key], "next_style": value(style, "next"), "outline_level": own[key], "size_pt": str(float(size) / 2) if size and size.isdecimal() else None, "bold": toggled(run, "b"), "italic": toggled(run, "i"), "alignment": value(properties, "jc"), "latin": fonts.get(W + "ascii") if fonts is not None else None}
     levels: dict[str, str] = {}
     for key in own:
         at, seen = key, set()
@@ -290,9 +308,9 @@ def records(content: bytes, limits: Limits) -> Iterator[tuple[str, str, int, dic
                 yield part, "table", n, {"row_count": str(len(rows)), "col_count": str(max(map(len, cells), default=0)), "grid_widths": ",".join(widths), "cell_texts": "\x1f".join(t for row in cells for t in row)}
     # notes (S16), numbering (S18), features that are only counted
     for kind in ("footnote", "endnote"):
-        for note in trees.get(f"word/{kind}s.xml", ET.Element("none")).iter(W + kind):
+        for n, note in enumerate(trees.get(f"word/{kind}s.xml", ET.Element("none")).iter(W + kind)):
             if (number := note.get(W + "id")) not in (None, "-1", "0"):
-                yield f"word/{kind}s.xml", "note", int(number), {"story_type": kind, "text": re.sub(r"\s+", "", "".join(t.text or "" for t in note.iter(W + "t")))}
+                yield f"word/{kind}s.xml", "note", n, {"note_id": number, "story_type": kind, "text": re.sub(r"\s+", "", "".join(t.text or "" for t in note.iter(W + "t")))}
     numbering = trees.get("word/numbering.xml")
     if numbering is not None:
         abstract = {x.get(W + "abstractNumId"): x.find(W + "lvl") for x in numbering.findall(W + "abstractNum")}
@@ -342,7 +360,7 @@ TYPES = {
     "media": {"local_index": "int"},
 }
 FIELDS = {
-    "block": ("element_path", "structure_type", "story_type", "visible_text", "text_hash", "p_style_id", "p_style_name", "outline_level", "outline_source", "runs_count", "protected_objects", "alignment", "size_pt", "bold", "italic", "latin", "east_asia"),
+    "block": ("element_path", "structure_type", "story_type", "visible_text", "text_hash", "p_style_id", "p_style_name", "outline_level", "outline_source", "runs_count", "protected_objects", "marks", "alignment", "size_pt", "bold", "italic", "latin", "east_asia"),
     "run": ("element_path", "span_start", "span_end", "direct_bold", "direct_italic", "r_style_id"),
     "style": ("style_id", "style_type", "name", "based_on", "next_style", "outline_level", "size_pt", "bold", "italic", "alignment", "latin"),
     "section": ("section_type", "width_mm", "height_mm", "orientation", "margin_top_mm", "margin_bottom_mm", "margin_left_mm", "margin_right_mm", "header_distance_mm", "footer_distance_mm", "page_start", "page_format", "different_first_page"),
@@ -354,7 +372,7 @@ FIELDS = {
     "hyperlink": ("element_path", "target"),
     "media": ("element_path", "fingerprint", "local_index", "host_text"),
     "table": ("row_count", "col_count", "grid_widths", "cell_texts"),
-    "note": ("story_type", "text"),
+    "note": ("note_id", "story_type", "text"),
     "numbering": ("num_id", "format", "level_text", "start"),
     "unsupported": ("feature", "count"),
     "relationship": ("id", "target", "external", "resolves"),
@@ -367,7 +385,7 @@ def typed(found: DataFrame, kind: str) -> DataFrame:
     """The rows of one kind with typed columns, lists as arrays."""
     def column(name: str) -> F.Column:
         text = F.col("data")[name]
-        if name in ("protected_objects", "grid_widths"):
+        if name in ("protected_objects", "marks", "grid_widths"):
             items = F.filter(F.split(text, ","), lambda x: x != "")
             return (items.cast("array<int>") if name == "grid_widths" else items).alias(name)
         if name == "cell_texts":
@@ -379,6 +397,30 @@ def typed(found: DataFrame, kind: str) -> DataFrame:
     return found.where(F.col("kind") == kind).select("source_sha256", part, "ord", *own)
 
 
+#: Colours that mark a heading, and the rules by which its level and title are told: pattern of two groups, level, what joins the groups.
+MARKS = ("yellow", "ffff00", "ff0")
+MARK_RULES = ((r"^([一二三四五六七八九十]+)[、.\s\p{Z}]*(.*)", 1, "、"), (r"^(\p{Nd}+)[、.\s\p{Z}]*(.*)", 2, "."))
+
+
+def marked_headings(found: DataFrame, rules: tuple[tuple[str, int, str], ...] = MARK_RULES, colours: tuple[str, ...] = MARKS, replacements: dict[str, str] | None = None) -> DataFrame:
+    """source_sha256, ord, level and title of the paragraphs of a body that are shaded or highlighted in one of the colours.
+
+    The first rule whose pattern a text matches gives the level and joins the two groups to the title; without one a
+    heading is of level 1 and keeps its text. Paragraphs in tables, headers and footers, and without text, are none.
+    """
+    trim = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    body = typed(found, "block").where((F.col("story_type") == "body") & F.col("element_path").rlike(r"^/w:document/w:body/w:p\[\d+\]$"))
+    rows = body.where(F.arrays_overlap("marks", F.array(*map(F.lit, colours)))).select("source_sha256", "ord", trim("visible_text").alias("text")).where("text <> ''")
+    text = F.col("text")
+    for old, new in (replacements or {}).items():
+        text = F.when(F.col("text") == old, new).otherwise(text)
+    made = F.struct(F.lit(1).alias("level"), F.col("text").alias("title"))
+    for pattern, level, between in reversed(rules):
+        title = F.concat(F.regexp_extract("text", pattern, 1), F.lit(between), trim(F.regexp_extract("text", pattern, 2)))
+        made = F.when(F.col("text").rlike(pattern), F.struct(F.lit(level).alias("level"), title.alias("title"))).otherwise(made)
+    return rows.withColumn("text", text).select("source_sha256", "ord", made.alias("h")).select("source_sha256", "ord", "h.level", "h.title")
+
+
 def effective_bindings(found: DataFrame) -> DataFrame:
     """The header and footer part of every section: its own, else that of the section before."""
     from sheaf.operators.windows import running

@@ -8,8 +8,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from sheaf.sources.files import build_record, font_faces, font_index, listed, load_configuration, only_document, outline_of_files, read_json, write_failure, write_records
-from sheaf.sources.packages import Limits, effective_bindings, inventory, package_records, read_packages, typed
+from sheaf.sources.files import build_inputs, build_record, failure_records, font_faces, font_index, listed, load_configuration, only_document, outline_of_files, read_json, single_documents, write_failure, write_records
+from sheaf.sources.packages import Limits, effective_bindings, inventory, marked_headings, package_records, read_packages, typed
 
 NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"'
 STYLES = f'<w:styles {NS}><w:style w:type="paragraph" w:styleId="H1"><w:name w:val="heading 1"/><w:pPr><w:outlineLvl w:val="0"/></w:pPr><w:rPr><w:sz w:val="32"/><w:b/></w:rPr></w:style><w:style w:type="paragraph" w:styleId="Sub"><w:name w:val="sub"/><w:basedOn w:val="H1"/></w:style><w:style w:type="paragraph" w:styleId="Loop"><w:name w:val="loop"/><w:basedOn w:val="Loop"/></w:style></w:styles>'
@@ -20,6 +20,11 @@ BODY = f"""<w:document {NS}><w:body>
 <w:tbl><w:tblGrid><w:gridCol w:w="100"/><w:gridCol w:w="200"/></w:tblGrid><w:tr><w:tc><w:p><w:r><w:t>A</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:drawing><a:blip r:embed="rId2"/></w:drawing></w:r></w:p></w:tc></w:tr></w:tbl>
 <w:p><w:pPr><w:sectPr><w:headerReference w:type="default" r:id="rId1"/><w:pgSz w:w="11906" w:h="16838"/></w:sectPr></w:pPr></w:p>
 <w:p><w:pPr><w:outlineLvl w:val="2"/></w:pPr><w:fldSimple w:instr="SEQ Figure"><w:r><w:t>1</w:t></w:r></w:fldSimple></w:p>
+<w:p><w:pPr><w:shd w:val="clear" w:fill="FFFF00"/></w:pPr><w:r><w:t> 三、 Marked </w:t></w:r></w:p>
+<w:p><w:r><w:rPr><w:highlight w:val="Yellow"/></w:rPr><w:t>12. Lit</w:t></w:r></w:p>
+<w:p><w:r><w:rPr><w:shd w:fill="ff0"/></w:rPr><w:t>No rule</w:t></w:r></w:p>
+<w:p><w:r><w:rPr><w:highlight w:val="green"/></w:rPr><w:t>3. Green</w:t></w:r></w:p>
+<w:p><w:r><w:rPr><w:highlight w:val="yellow"/></w:rPr><w:t> </w:t></w:r></w:p>
 <w:sectPr><w:pgSz w:w="16838" w:h="11906" w:orient="landscape"/><w:titlePg/></w:sectPr></w:body></w:document>"""
 RELS = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="header1.xml"/><Relationship Id="rId2" Target="media/i.png"/><Relationship Id="rId3" Target="gone.xml"/><Relationship Id="rId4" Target="http://x" TargetMode="External"/></Relationships>'
 PARTS = {
@@ -28,7 +33,7 @@ PARTS = {
     "word/_rels/document.xml.rels": RELS,
     "word/header1.xml": f"<w:hdr {NS}><w:p><w:r><w:t>Top</w:t></w:r></w:p></w:hdr>",
     "word/media/i.png": "image",
-    "word/footnotes.xml": f'<w:footnotes {NS}><w:footnote w:id="0"/><w:footnote w:id="2"><w:p><w:r><w:t>a note</w:t></w:r></w:p></w:footnote></w:footnotes>',
+    "word/footnotes.xml": f'<w:footnotes {NS}><w:footnote w:id="0"/><w:footnote w:id="x1"><w:p><w:r><w:t>a note</w:t></w:r></w:p></w:footnote></w:footnotes>',
     "word/numbering.xml": f'<w:numbering {NS}><w:abstractNum w:abstractNumId="7"><w:lvl w:ilvl="0"><w:start w:val="3"/><w:numFmt w:val="upperLetter"/><w:lvlText w:val="%1)"/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="7"/></w:num></w:numbering>',
     "word/theme/theme1.xml": '<a:theme xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><a:majorFont><a:latin typeface="Major"/></a:majorFont></a:theme>',
     "word/glossary.xml": f"<w:x {NS}><w:object/><w:object/></w:x>",
@@ -49,12 +54,38 @@ def found(spark, tmp_path_factory):
         z.writestr("../x", "x")
     with zipfile.ZipFile(folder / "bomb.docx", "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("word/document.xml", " " * 5_000_000)
+    with zipfile.ZipFile(folder / "dots.docx", "w") as z:  # dots in a name lead nowhere
+        for name, text in PARTS.items():
+            z.writestr(name.replace("glossary", "a..b"), text)
+    whole = (folder / "a.docx").read_bytes()
+    at = whole.index(b"word/numbering.xml") + 60
+    (folder / "crc.docx").write_bytes(whole[:at] + bytes([whole[at] ^ 1]) + whole[at + 1 :])
+    with zipfile.ZipFile(folder / "xml.docx", "w") as z:
+        for name, text in PARTS.items():
+            z.writestr(name, text[:-5] if name == "word/footnotes.xml" else text)
+    with zipfile.ZipFile(folder / "number.docx", "w") as z:
+        for name, text in PARTS.items():
+            z.writestr(name, text.replace('w:outlineLvl w:val="2"', 'w:outlineLvl w:val="²"'))
     return read_packages(spark, str(folder)).cache()
 
 
+@pytest.fixture(scope="module")
+def one(found):
+    return found.where("path like '%/a.docx'")
+
+
 def test_faults(found):
     faults = {r.path.rsplit("/", 1)[1]: r.data["fault"] for r in found.where("kind = 'fault'").collect()}
-    assert faults == {"broken.docx": "no_package", "bare.docx": "missing word/styles.xml", "escape.docx": "path_escape", "bomb.docx": "compression_ratio"}
+    assert faults == {"broken.docx": "no_package", "bare.docx": "missing word/styles.xml", "escape.docx": "path_escape", "bomb.docx": "compression_ratio", "crc.docx": "unreadable part", "xml.docx": "unreadable xml"}
+    assert found.where("path like '%crc.docx' or path like '%xml.docx'").count() == 2  # nothing but the fault
+    assert found.where("path like '%dots.docx' and kind = 'block'").count() == found.where("path like '%number.docx' and kind = 'block'").count() > 0
+
+
+def test_marked_headings(one):
+    got = [(r.level, r.title) for r in marked_headings(one).orderBy("ord").collect()]
+    assert got == [(1, "三、Marked"), (2, "12.Lit"), (1, "No rule")]
+    got = {(r.level, r.title) for r in marked_headings(one, ((r"^(No) (.*)", 4, "-"),), ("green", "ff0"), {"3. Green": "No more"}).collect()}
+    assert got == {(4, "No-rule"), (4, "No-more")}
 
 
 def test_limits(spark):
@@ -62,7 +93,8 @@ def test_limits(spark):
     assert package_records(spark.createDataFrame(content, "path string, content binary"), Limits(parts=0)).first().data["fault"] == "no_package"
 
 
-def test_blocks(found):
+def test_blocks(one):
+    found = one
     blocks = {r.element_path: r for r in typed(found, "block").collect()}
     body = "/w:document/w:body"
     head = blocks[f"{body}/w:p[1]"]
@@ -75,13 +107,14 @@ def test_blocks(found):
     assert blocks["/w:hdr/w:p[1]"].story_type == "header"
 
 
-def test_facts(found):
+def test_facts(one):
+    found = one
     assert [(r.command, r.target, r.cached_value, r.instruction) for r in typed(found, "field").orderBy("ord").collect()] == [("PAGEREF", "mark", "12", "PAGEREF  mark \\h"), ("SEQ", None, "1", "SEQ Figure")]
     assert [(r.width_mm, r.orientation, r.different_first_page) for r in typed(found, "section").orderBy("ord").collect()] == [(210.0, "portrait", False), (297.0, "landscape", True)]
     assert [(r.ord, r.part_uri) for r in typed(found, "section_ref").collect()] == [(0, "word/header1.xml")]
     assert sorted((r.section_index, r.part_uri, r.linked_to_previous) for r in effective_bindings(found).collect()) == [(0, "word/header1.xml", False), (1, "word/header1.xml", True)]
     assert typed(found, "media").first().fingerprint == hashlib.sha256(b"image").hexdigest()
-    assert typed(found, "note").first().text == "anote" and typed(found, "numbering").first()[3:] == ("1", "upperLetter", "%1)", 3)
+    assert typed(found, "note").first()[3:] == ("x1", "footnote", "anote") and typed(found, "numbering").first()[3:] == ("1", "upperLetter", "%1)", 3)
     assert [(r.feature, r["count"]) for r in typed(found, "unsupported").collect()] == [("ole_object", 2)]
     assert {r.id: r.resolves for r in typed(found, "relationship").collect()} == {"rId1": True, "rId2": True, "rId3": False, "rId4": True}
     assert typed(found, "table").first().grid_widths == [100, 200] and typed(found, "table").first().cell_texts == ["A", ""]
@@ -138,8 +171,15 @@ def test_sinks(spark, tmp_path):
         write_failure(str(tmp_path / "failure.json"), ValueError("y"))
     inputs = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "source_sha256 string")
     checks = spark.createDataFrame([("passed",), ("passed",), ("failed",)], "status string")
-    record = json.loads(build_record(inputs, checks).first().record)
-    assert record["inputs"] == 2 and record["checks"] == {"failed": 1, "passed": 2}
+    record = build_record(inputs, checks).first()
+    listed_ = hashlib.sha256("\n".join(hashlib.sha256(x).hexdigest() for x in (b"a", b"b")).encode()).hexdigest()
+    assert (record.inputs, record.digest, json.loads(record.checks)) == (2, listed_, {"failed": 1, "passed": 2})
+    assert build_record(inputs.limit(0), checks.limit(0)).first()[:] == (0, hashlib.sha256(b"").hexdigest(), "{}")
+    assert sorted(tuple(r) for r in build_inputs(inputs).collect()) == [("a", 2), ("b", 1)]
+    failed = spark.createDataFrame([(1, "E", "m"), (2, None, "m")], "id int, error string, message string")
+    assert [tuple(r) for r in failure_records(failed, "id", "error", "message").collect()] == [(1, '{"error":"E","message":"m"}')]
+    files = spark.createDataFrame([("f", "a.docx"), ("f", "~$a.docx"), ("g", "a.DOCX"), ("g", "b.docx"), ("h", "x.pdf")], "folder string, name string")
+    assert sorted(tuple(r) for r in single_documents(files).collect()) == [("f", "a.docx", None), ("g", None, "several"), ("h", None, "none")]
 
 
 def test_stream(spark, tmp_path):
@@ -153,17 +193,18 @@ def test_stream(spark, tmp_path):
     assert sorted((r.day.day, r.norm, r.n) for r in spark.table("bags").collect()) == [(1, "ab", 2), (1, "longer", 1), (2, "ab", 1)]
 
 
-def test_build_outline(spark, tmp_path, found):
+def test_build_outline(spark, tmp_path, one):
     from sheaf.sources.files import build_outline
 
-    folder = found.select("path").where("path like '%/a.docx'").first().path.removeprefix("file:").rsplit("/", 1)[0]
+    folder = one.select("path").first().path.removeprefix("file:").rsplit("/", 1)[0]
     assert [(r.level, r.title) for r in build_outline(spark, "docx_document", folder).orderBy("ord").collect()][0] == (1, "Head\ting")
-    assert build_outline(spark, "highlighted_docx", folder, [("^See", 2)]).first().level == 2
+    assert {r.level for r in build_outline(spark, "highlighted_docx", folder, [("^(No) (.*)", 5, " ")]).collect()} == {1, 5}
     assert build_outline(spark, "directory_tree", folder).where("name = 'a.docx'").count() == 1
+    (tmp_path / "none.json").write_text("{}")
     (tmp_path / "m.json").write_text('{"source": {"tree": [{"title": "x", "level": 1}]}}')
-    assert build_outline(spark, "explicit_tree", str(tmp_path)).first().title == "x"
+    assert build_outline(spark, "explicit_tree", str(tmp_path / "m.json")).first().title == "x"
     with pytest.raises(ValueError, match="empty"):
-        build_outline(spark, "highlighted_docx", folder, [("^nothing", 1)])
+        build_outline(spark, "explicit_tree", str(tmp_path / "none.json"))
     with pytest.raises(ValueError, match="strategy"):
         build_outline(spark, "other", folder)
 
