@@ -1,38 +1,60 @@
-"""Trees and reference graphs by pointer doubling: each round joins every row to the row it points at, so a chain of
-depth d takes log2(d) joins of the whole table, whatever its width. Rounds end when no row moves, or at the depth guard.
+"""Trees and reference graphs by pointer doubling: each round joins every row that still moves to the row it points at, so a
+chain of depth d takes log2(d) rounds, whatever its width. Rounds end when no row moves, or when there have been more
+steps than there are rows, which only a cycle allows; no depth is too great.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from math import ceil, log2
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.session import cut
+from sheaf.session import cut, without_constraints
 
-MAX_DEPTH = 1024
 
+def doubled(state: DataFrame, node: str, combine: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """state with every row moved to the end of its chain: _next is null there, or still set on and before cycles.
 
-def resolve_chain(nodes: DataFrame, node: str, parent: str, attributes: list[str], max_depth: int = MAX_DEPTH) -> DataFrame:
+    state has node, _next (null at an end) and the columns of combine, each a function of a row's own value and that of
+    the row it points at. Only rows that still move are computed and written again.
+    """
+    c = F.col
+    with without_constraints(state.sparkSession):
+        whole = cut(state)
+        rounds = ceil(log2(whole.count() + 1)) + 1
+        moving, done = whole.where("_next is not null"), [whole.where("_next is null")]
+        for _ in range(rounds):
+            if moving.isEmpty():
+                break
+            every = reduce(DataFrame.unionByName, done, moving)
+            far = every.select(c(node).alias("_n"), c("_next").alias("_far"), *[c(k).alias(f"_f_{k}") for k in combine])
+            stepped = cut(moving.join(far, c("_next") == c("_n")).select(node, c("_far").alias("_next"), *[f(c(k), c(f"_f_{k}")).alias(k) for k, f in combine.items()]))
+            moving = stepped.where("_next is not null")
+            done.append(stepped.where("_next is null"))
+    return reduce(DataFrame.unionByName, done, moving)
+
+
+def pointing(nodes: DataFrame, node: str, parent: str, *columns: Column | str) -> DataFrame:
+    """node, _next and columns: a parent that is null or not in the table is no pointer."""
+    known = nodes.select(F.col(node).alias("_there")).where("_there is not null")
+    return nodes.where(F.col(node).isNotNull()).join(known, F.col(parent) == F.col("_there"), "left").select(node, F.col("_there").alias("_next"), *columns)
+
+
+def resolve_chain(nodes: DataFrame, node: str, parent: str, attributes: list[str]) -> DataFrame:
     """node, depth, root, cyclic and attributes: each attribute from the node or its nearest ancestor that has one.
 
-    A parent that is null or not in the table ends the chain (R01 to R04). Nodes that reach no end within max_depth
-    steps are cyclic: their root is null and their attributes are what the walk met. node must be unique.
+    A parent that is null or not in the table ends the chain (R01 to R04). Nodes that reach no end are cyclic: their
+    depth and root are null and their attributes are what the walk met. node must be unique.
     """
     c = F.col
-    known = nodes.select(c(node).alias("_there")).where("_there is not null")
-    state = nodes.where(c(node).isNotNull()).select(node, c(parent).alias("_next"), *attributes)
-    state = state.join(known, c("_next") == c("_there"), "left").select(node, c("_there").alias("_next"), *attributes)
-    state = cut(state.select(node, "_next", F.when(c("_next").isNull(), c(node)).alias("root"), F.when(c("_next").isNotNull(), 1).otherwise(0).alias("depth"), *attributes))
-    for _ in range(ceil(log2(max_depth)) + 1):
-        if state.where("_next is not null").isEmpty():
-            break
-        far = state.select(c(node).alias("_n"), c("_next").alias("_far"), c("root").alias("_root"), c("depth").alias("_depth"), *[c(a).alias(f"_{a}") for a in attributes])
-        joined = state.join(far, c("_next") == c("_n"), "left")
-        state = cut(joined.select(node, c("_far").alias("_next"), F.coalesce("root", "_root").alias("root"), F.least(c("depth") + F.coalesce("_depth", F.lit(0)), F.lit(2 * max_depth)).cast("int").alias("depth"), *[F.coalesce(a, f"_{a}").alias(a) for a in attributes]))
-    cyclic = c("_next").isNotNull()
-    return state.select(node, F.when(~cyclic, c("depth")).alias("depth"), "root", cyclic.alias("cyclic"), *attributes)
+    ends = c("_next").isNull()
+    state = pointing(nodes, node, parent, *attributes).withColumns({"root": F.when(ends, c(node)), "depth": F.when(ends, 0).otherwise(1).cast("long")})
+    first = lambda own, far: F.coalesce(own, far)
+    state = doubled(state, node, {"root": first, "depth": lambda own, far: own + far} | {a: first for a in attributes})
+    return state.select(node, F.when(ends, c("depth")).cast("int").alias("depth"), F.when(ends, c("root")).alias("root"), (~ends).alias("cyclic"), *attributes)
 
 
 def cycle_members(edges: DataFrame, source: str, target: str) -> DataFrame:
@@ -50,22 +72,19 @@ def cycle_members(edges: DataFrame, source: str, target: str) -> DataFrame:
     return step.select(c(target).alias(source)).distinct()
 
 
-def preorder(nodes: DataFrame, node: str, parent: str, order: str, max_depth: int = 64) -> DataFrame:
+def preorder(nodes: DataFrame, node: str, parent: str, order: str) -> DataFrame:
     """node, level and path: the ordinals from the root down; sorted by path, parents come before their children.
 
-    nodes must be a forest no deeper than max_depth. Levels are joined one after another, each row once.
+    A root has no parent; nodes on or below a cycle, or below a parent that is not in the table, have no place and no
+    row. Paths grow by doubling, so a tree of any depth takes few rounds.
     """
     c = F.col
-    rows = nodes.select(c(node).alias("_id"), c(parent).alias("_up"), c(order).alias("_o"))
-    level = cut(rows.where("_up is null").select("_id", F.lit(1).alias("level"), F.array("_o").alias("path")))
-    done = level
-    for depth in range(2, max_depth + 2):
-        if level.isEmpty():
-            return done.select(c("_id").alias(node), "level", "path")
-        above = level.select(c("_id").alias("_up"), "path")
-        level = cut(rows.join(above, "_up").select("_id", F.lit(depth).alias("level"), F.concat("path", F.array("_o")).alias("path")))
-        done = done.unionByName(level)
-    raise ValueError(f"deeper than {max_depth} levels")
+    own = nodes.select(c(node).alias("_id"), c(parent).alias("_up"), c(order).alias("_o"))
+    ends = resolve_chain(own, "_id", "_up", []).where("not cyclic").select("_id", "root")
+    roots = own.where("_up is null").select(c("_id").alias("root"))
+    placed = own.join(ends.join(roots, "root").select("_id"), "_id")
+    state = doubled(pointing(placed, "_id", "_up", F.array("_o").alias("path")), "_id", {"path": lambda own, far: F.concat(far, own)})
+    return state.select(c("_id").alias(node), F.size("path").alias("level"), "path")
 
 
 def nearest_ancestor(rows: DataFrame, path: str, declared: DataFrame, declared_path: str, value: str, into: str, separator: str = "/") -> DataFrame:

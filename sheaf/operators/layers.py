@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -10,18 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.functions.jsontree import NotJson, kind, parse, pointer
+from sheaf.functions.jsontree import NotJson, json_text, kind, parse, pointer
 
 
 def leaves_of(document: Any) -> Iterator[tuple[str, str, str]]:
-    """JSON pointer, kind and JSON text of every leaf: a scalar, an array, null, or an empty object."""
+    """JSON pointer, kind and compact JSON text, members in the order written, of every leaf: a scalar, an array, null, or an empty object."""
     waiting = [("", document)]
     while waiting:
         at, value = waiting.pop()
         if isinstance(value, dict) and value:
             waiting += [(pointer(at, k), v) for k, v in value.items()]
         else:
-            yield at, kind(value), json.dumps(value, ensure_ascii=False, sort_keys=True)
+            yield at, kind(value), json_text(value, compact=True)
 
 
 def json_leaves(files: DataFrame, keys: list[str], raw: str) -> DataFrame:

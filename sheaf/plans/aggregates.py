@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sheaf.functions import scalars as S
 from sheaf.operators.clustering import CORE_ROLES, clusters, missing_roles, role_candidates
@@ -124,7 +125,7 @@ def labelled_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.lower("p_style_name")
     role = F.when(c("in_table"), "table.body").when(c("outline_level").isNotNull(), F.concat(F.lit("heading."), c("outline_level").cast("string"))).when(name == "title", "title").when(name.isin("caption", "quote"), name).otherwise("body")
     predicted = blocks.select("source_sha256", "part_uri", "element_path", role.alias("prediction"))
-    labels = distinct_rows(spark, sf_dir, "role_assignments").select("assignment_id", "source_sha256", "part_uri", "element_path", c("role").alias("label"), "provenance", "story_type", "level")
+    labels = distinct_rows(spark, sf_dir, "role_assignments", "assignment_id", "source_sha256", "part_uri", "element_path", "role", "provenance", "story_type", "level").select("assignment_id", "source_sha256", "part_uri", "element_path", c("role").alias("label"), "provenance", "story_type", "level")
     joined = labels.join(predicted, ["source_sha256", "part_uri", "element_path"], "left")
     return joined.withColumns({"accepted": F.when(c("prediction") != "body", c("prediction")), "candidates": F.array_compact(F.array(c("prediction"), F.lit("body")))})
 
@@ -179,7 +180,7 @@ def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One digest of each document's ordered fingerprints: of the digests of slices, so no document is collected whole."""
-    placed = numbered(distinct_rows(spark, sf_dir, "inventory_items"), ["source"], ["item_ord", "item_id"], "k", "item_ord")
+    placed = numbered(distinct_rows(spark, sf_dir, "inventory_items", "item_id", "item_ord", "source", "fingerprint"), ["source"], ["item_ord", "item_id"], "k", "item_ord")
     joined = lambda order, value: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]), "|"), 256)
     slices = placed.groupBy("source", F.floor((c("k") - 1) / 1024).alias("slice")).agg(joined("k", "fingerprint").alias("h"), F.count(F.lit(1)).alias("n"))
     return slices.groupBy("source").agg(joined("slice", "h").alias("digest"), F.sum("n").alias("n_items"))
@@ -207,7 +208,7 @@ def a15(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.when(c("target").isNull() & c("command").isin("REF", "PAGEREF"), 0).when(c("command").isin("DATE", "TOC"), 1).when(c("cached_value").isNull(), 2).otherwise(3)
     names = F.array(*map(F.lit, ("failed", "unsupported", "not_run", "passed")))
     failing = F.array_sort(F.collect_set(F.when(rank == 0, c("command"))))
-    return distinct_rows(spark, sf_dir, "field_observations").groupBy("source_sha256").agg(names[F.min(rank)].alias("status"), F.when(F.size(failing) > 0, failing).alias("failing"), F.count(F.lit(1)).alias("n"))
+    return distinct_rows(spark, sf_dir, "field_observations", "obs_id", "source_sha256", "command", "target", "cached_value").groupBy("source_sha256").agg(names[F.min(rank)].alias("status"), F.when(F.size(failing) > 0, failing).alias("failing"), F.count(F.lit(1)).alias("n"))
 
 
 @query("a16_plan_counts", f"with {CURRENT} select part_uri, story_type, count(*) n_blocks, count_if(outline_level is not null)::bigint n_headings, count_if(structure_type = 'section_break')::bigint n_breaks from current_blocks group by all")
@@ -249,8 +250,9 @@ def a18(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a22(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each font the first three styles that use it, and how many do."""
     pairs = style_fonts(spark, sf_dir).select(F.lower("font").alias("font_key"), "style").distinct()
-    placed = numbered(pairs, ["font_key"], ["style"], "k")
-    return placed.groupBy("font_key").agg(F.array_sort(F.collect_list(F.when(c("k") <= 3, c("style")))).alias("first_styles"), F.count(F.lit(1)).alias("n_styles"))
+    first = pairs.withColumn("k", F.row_number().over(Window.partitionBy("font_key").orderBy("style"))).where("k <= 3")  # all but three of each task are dropped before the shuffle
+    first = first.groupBy("font_key").agg(F.array_sort(F.collect_list("style")).alias("first_styles"))
+    return pairs.groupBy("font_key").agg(F.count(F.lit(1)).alias("n_styles")).join(first, "font_key").select("font_key", "first_styles", "n_styles")
 
 
 @query(

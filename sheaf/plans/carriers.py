@@ -40,6 +40,6 @@ DRAWN = (
 )
 
 
-def distinct_rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table without its repeated rows."""
-    return table(spark, sf_dir, name).distinct()
+def distinct_rows(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table without its repeated rows; its id is among them, so other columns need not be compared or sent."""
+    return table(spark, sf_dir, name).select(*columns).distinct()

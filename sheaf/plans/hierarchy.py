@@ -99,7 +99,20 @@ def r10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.join(current_blocks(spark, sf_dir).select("source_sha256", "element_path"), ["source_sha256", "element_path"], "left_anti").select("bookmark_id", c("element_path").alias("host_path"))
 
 
-@query("m01_merged_manifests")
+def _merged_sql(by: str, layer: str, rows: str) -> str:
+    """Leaves of layered files, and of those the ones that no later layer replaces, takes the place of or stands in."""
+    return f"""with recursive f as ({rows}),
+  walk(b, layer, pointer, value) as (select {by}, {layer}, '', raw_json::json from f where json_valid(raw_json)
+    union all select b, layer, pointer || '/' || replace(replace(k, '~', '~0'), '/', '~1'), json_extract(value, '$."' || k || '"') from (select *, unnest(json_keys(value)) k from walk where json_type(value) = 'OBJECT')),
+  l as (select distinct b, layer, pointer, value::varchar v, case json_type(value) when 'VARCHAR' then 'string' when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' else 'number' end kind from walk where json_type(value) <> 'OBJECT' or len(json_keys(value)) = 0)"""
+
+
+_KEPT_SQL = """, a as (select b, pointer, max(layer) own, arg_max({'k': kind, 'v': v}, layer) w, max(layer) filter (kind <> 'object') solid from kept group by all),
+  d as (select a.*, (select max(x.layer) from kept x where x.b = a.b and starts_with(x.pointer, a.pointer || '/')) below, (select max(x.layer) from kept x where x.b = a.b and x.kind <> 'object' and starts_with(a.pointer, x.pointer || '/')) above from a),
+  merged as (select b, pointer, w.k kind, w.v as value, own as layer from d where not (coalesce(above > own, false) or coalesce(below > own, false) or w.k = 'object' and coalesce(below > greatest(coalesce(solid, -1), coalesce(above, -1)), false)))"""
+
+
+@query("m01_merged_manifests", _merged_sql("project_key", "batch_no", "select * from manifest_files where project_key is not null and batch_no is not null qualify row_number() over (partition by project_key, batch_no order by manifest_id desc) = 1") + ", kept as (select * from l)" + _KEPT_SQL + " select b project_key, pointer, kind, value, layer from merged")
 def m01(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A project's manifests laid over each other by batch: each leaf with the batch that gave it."""
     rows = table(spark, sf_dir, "manifest_files").where("project_key is not null and batch_no is not null")
@@ -107,7 +120,13 @@ def m01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_layers(json_leaves(last, ["project_key", "batch_no"], "raw_json"), ["project_key"], "batch_no")
 
 
-@query("r04_inherited_packages")
+@query(
+    "r04_inherited_packages",
+    _merged_sql("format_id", "file_id", "select distinct format_id, file_id, raw_json from format_files where format_id is not null")
+    + ", t as (select b, min(layer) first from l group by 1), g as (select l.*, kind = 'null' and layer > first refused from l join t using (b)), kept as (select * from g where not refused)"
+    + _KEPT_SQL
+    + " select b format_id, pointer, kind, value, layer, null::varchar fault from merged union all select b, pointer, kind, v, layer, 'null_refused' from g where refused",
+)
 def r04(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format packages laid over the version before: each leaf with the version's number.
 
@@ -218,7 +237,7 @@ def m08(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def m09(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected against actual attributes of assigned blocks, by document and attribute."""
-    roles = distinct_rows(spark, sf_dir, "role_assignments").where("role is not null").select(*KEY, "role", "level").distinct()
+    roles = table(spark, sf_dir, "role_assignments").where("role is not null").select(*KEY, "role", "level").distinct()
     joined = roles.join(current_blocks(spark, sf_dir).select(*KEY, "outline_level", "p_style_name"), KEY)
     level = F.coalesce("level", F.lit(-1)) == F.coalesce("outline_level", F.lit(-1))
     title = (c("role") == "title") == F.coalesce(c("p_style_name") == "Title", F.lit(False))
@@ -244,5 +263,5 @@ def m10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected and mapped nodes of each document, and those never mapped."""
     expected = j11(spark, sf_dir).select(*KEY)
-    mapped = distinct_rows(spark, sf_dir, "role_assignments").select(*KEY).distinct().withColumn("hit", F.lit(1))
+    mapped = distinct_rows(spark, sf_dir, "role_assignments", *KEY).withColumn("hit", F.lit(1))
     return expected.join(mapped, KEY, "left").groupBy("source_sha256").agg(F.count(F.lit(1)).alias("expected"), F.count("hit").alias("mapped"), (F.count(F.lit(1)) - F.count("hit")).alias("missing"))

@@ -23,8 +23,8 @@ _ON = "a.source_sha256 = b.source_sha256 and a.part_uri = b.part_uri and a.eleme
 ASSIGNED = "assigned as (select distinct * from role_assignments)"
 
 
-def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinct_rows(spark, sf_dir, "role_assignments")
+def assigned(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return distinct_rows(spark, sf_dir, "role_assignments", "assignment_id", *columns)
 
 
 @query(
@@ -35,7 +35,7 @@ def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def j01(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assignments to unknown nodes, of changed texts, or with a bookmark used twice."""
-    rows, blocks = assigned(spark, sf_dir), current_blocks(spark, sf_dir).select(*KEY, c("text_hash").alias("now"), F.lit(True).alias("known"))
+    rows, blocks = assigned(spark, sf_dir, *KEY, "text_hash", "bookmark_name"), current_blocks(spark, sf_dir).select(*KEY, c("text_hash").alias("now"), F.lit(True).alias("known"))
     known = reduce(lambda a, b: a & b, [c(k).isNotNull() for k in KEY])
     checked = rows.where(known).select("assignment_id", *KEY, "text_hash").join(blocks, KEY, "left")
     node = checked.select("assignment_id", F.when(c("known").isNull(), "unknown_node").when(c("text_hash") != c("now"), "stale_text").alias("fault")).where("fault is not null")
@@ -51,7 +51,7 @@ def j01(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def j02(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many blocks of each document have a role, several, or none."""
-    counts = assigned(spark, sf_dir).groupBy(*KEY).agg(F.count(F.lit(1)).alias("k"))
+    counts = assigned(spark, sf_dir, *KEY).groupBy(*KEY).agg(F.count(F.lit(1)).alias("k"))
     joined = current_blocks(spark, sf_dir).select(*KEY).join(counts, KEY, "left")
     return joined.groupBy("source_sha256").agg(F.count(F.lit(1)).alias("n_blocks"), F.count("k").alias("n_bound"), F.count_if(c("k") > 1).alias("n_bound_twice"), (F.count(F.lit(1)) - F.count("k")).alias("n_uncovered"))
 
@@ -96,7 +96,7 @@ def j04(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The section - from one heading to the next - that each bookmark lies in."""
     blocks, starts = heads(spark, sf_dir)
-    marks = distinct_rows(spark, sf_dir, "bookmarks").select("bookmark_id", "source_sha256", c("host_path").alias("element_path"))
+    marks = distinct_rows(spark, sf_dir, "bookmarks", "bookmark_id", "source_sha256", "host_path").select("bookmark_id", "source_sha256", c("host_path").alias("element_path"))
     placed = marks.join(blocks.select("source_sha256", "element_path", "n"), ["source_sha256", "element_path"]).select("bookmark_id", "source_sha256", "n").distinct()
     return latest_before(placed, starts, ["source_sha256"], "n", "head", "section").select("bookmark_id", "source_sha256", "n", "section")
 
@@ -112,12 +112,21 @@ def j06(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Expected paragraphs by inventory and the texts of current blocks, both by normal text."""
     norm = lambda x: S.delete_space(c(x))
-    items = distinct_rows(spark, sf_dir, "inventory_items").where("kind = 'paragraph'").select(c("source").alias("source_sha256"), "item_id", c("item_ord").cast("long").alias("item_ord"), norm("content").alias("norm")).where(F.length("norm") > 1)
+    items = distinct_rows(spark, sf_dir, "inventory_items", "item_id", "item_ord", "source", "kind", "content").where("kind = 'paragraph'").select(c("source").alias("source_sha256"), "item_id", c("item_ord").cast("long").alias("item_ord"), norm("content").alias("norm")).where(F.length("norm") > 1)
     blocks = ordered(spark, sf_dir).select("source_sha256", "n", norm("visible_text").alias("norm")).where(F.length("norm") > 1)
     return items, blocks
 
 
-@query("j07_greedy_matches")
+#: One expected row after the other, each with the first actual row of its key behind the last match.
+_GREEDY = "with recursive " + ", ".join(
+    f"{side} as (select inv_id, unnest(missing_occurrences) occurrence, generate_subscripts(missing_occurrences, 1) - 1 place from (select * from (select distinct inv_id, extracted_at, missing_occurrences from {name}) qualify row_number() over (partition by inv_id order by extracted_at desc nulls last, to_json(missing_occurrences)::varchar desc nulls last) = 1))"
+    for side, name in (("e", "inventory_prepared"), ("a", "inventory_delivered"))
+) + """, walk(inv_id, place, occurrence, matched, back) as (
+  select distinct inv_id, -1::bigint, null::varchar, null::bigint, -1::bigint from e
+  union all select w.inv_id, e.place, e.occurrence, min(a.place), coalesce(min(a.place), w.back) from walk w join e on e.inv_id = w.inv_id and e.place = w.place + 1 left join a on a.inv_id = w.inv_id and a.occurrence = e.occurrence and a.place > w.back group by w.inv_id, e.place, e.occurrence, w.back)"""
+
+
+@query("j07_greedy_matches", _GREEDY + " select inv_id, place, occurrence, matched from walk where place >= 0")
 def j07(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delivered paragraph keys matched in order, each with the first one behind the match before."""
     pages = lambda name: distinct_pairs(spark, sf_dir, name)
@@ -137,8 +146,8 @@ def distinct_pairs(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 )
 def j08(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items and assignments paired by the ordinal of their text; what is left over stays single."""
-    items = distinct_rows(spark, sf_dir, "inventory_items").where("fingerprint is not null and source is not null")
-    roles = assigned(spark, sf_dir).select(c("source_sha256").alias("source"), c("text_hash").alias("fingerprint"), "assignment_id").where("fingerprint is not null and source is not null")
+    items = distinct_rows(spark, sf_dir, "inventory_items", "item_id", "item_ord", "source", "fingerprint").where("fingerprint is not null and source is not null")
+    roles = assigned(spark, sf_dir, "source_sha256", "text_hash").select(c("source_sha256").alias("source"), c("text_hash").alias("fingerprint"), "assignment_id").where("fingerprint is not null and source is not null")
     return by_occurrence(items, roles, ["source", "fingerprint"], ["item_ord", "item_id"], ["assignment_id"], "item_id", "assignment_id", "item_ord", "assignment_id")
 
 
@@ -180,7 +189,7 @@ def j10(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every block with its role - assigned last, else by its place - and its index in the document and in the role."""
-    roles = assigned(spark, sf_dir).where("role is not null").groupBy(*KEY).agg(F.max_by("role", "assignment_id").alias("given"))
+    roles = assigned(spark, sf_dir, *KEY, "role").where("role is not null").groupBy(*KEY).agg(F.max_by("role", "assignment_id").alias("given"))
     blocks = ordered(spark, sf_dir).select(*KEY, "n", "in_table").join(roles, KEY, "left")
     role = F.coalesce("given", F.when(c("in_table"), "table.body").otherwise("body"))
     placed = numbered(blocks.withColumn("role", role), ["source_sha256", "role"], ["n"], "k", "n")
@@ -209,8 +218,8 @@ _CONTENTS = f"""items as (select source source_sha256, item_id, item_ord, regexp
 )
 def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences used up by what the source holds, then by an allowance of two a text; the rest is extra."""
-    have = distinct_rows(spark, sf_dir, "inventory_items").where("source is not null and fingerprint is not null").groupBy("source", "fingerprint", "kind").agg(F.count(F.lit(1)).alias("have"))
-    given = assigned(spark, sf_dir).groupBy(c("source_sha256").alias("source"), c("text_hash").alias("fingerprint")).agg(F.count(F.lit(1)).alias("given"))
+    have = distinct_rows(spark, sf_dir, "inventory_items", "item_id", "source", "kind", "fingerprint").where("source is not null and fingerprint is not null").groupBy("source", "fingerprint", "kind").agg(F.count(F.lit(1)).alias("have"))
+    given = assigned(spark, sf_dir, "source_sha256", "text_hash").groupBy(c("source_sha256").alias("source"), c("text_hash").alias("fingerprint")).agg(F.count(F.lit(1)).alias("given"))
     open_ = F.greatest(c("have") - F.coalesce("given", F.lit(0)), F.lit(0))
     return have.join(given, ["source", "fingerprint"], "left").select("source", "fingerprint", "kind", "have", F.least("have", F.coalesce("given", F.lit(0))).alias("from_source"), F.least(open_, F.lit(2)).alias("from_allowance"), F.greatest(open_ - 2, F.lit(0)).alias("extra"))
 
@@ -259,7 +268,7 @@ def j17(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that break a reference between tables, by contract."""
     labels = table(spark, sf_dir, "reading_labels").select("doc_id").distinct().join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "left_anti").select(F.lit("label_document").alias("contract"), c("doc_id").alias("id"))
     marks = table(spark, sf_dir, "bookmarks").select("source_sha256", "bookmark_name")
-    roles = assigned(spark, sf_dir).where("bookmark_name is not null and source_sha256 is not null").join(marks, ["source_sha256", "bookmark_name"], "left_anti").select(F.lit("assignment_bookmark").alias("contract"), c("assignment_id").alias("id"))
+    roles = assigned(spark, sf_dir, "source_sha256", "bookmark_name").where("bookmark_name is not null and source_sha256 is not null").join(marks, ["source_sha256", "bookmark_name"], "left_anti").select(F.lit("assignment_bookmark").alias("contract"), c("assignment_id").alias("id"))
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(c("c_custkey").alias("o_custkey")), "o_custkey", "left_anti").select(F.lit("order_customer").alias("contract"), c("o_orderkey").alias("id"))
     return labels.unionByName(roles).unionByName(orders)
 
@@ -324,7 +333,7 @@ def j22(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("j23_texts_by_path", f"with {CURRENT}, {ASSIGNED} select assignment_id, b.visible_text from assigned a join current_blocks b on {_ON}")
 def j23(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of each assignment's node."""
-    return assigned(spark, sf_dir).select("assignment_id", *KEY).join(current_blocks(spark, sf_dir).select(*KEY, "visible_text"), KEY).select("assignment_id", "visible_text")
+    return assigned(spark, sf_dir, *KEY).join(current_blocks(spark, sf_dir).select(*KEY, "visible_text"), KEY).select("assignment_id", "visible_text")
 
 
 @query(
@@ -337,7 +346,7 @@ def j24(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = current_blocks(spark, sf_dir)
     exact = blocks.select(*KEY, c("element_path").alias("by_path"))
     text = blocks.groupBy("source_sha256", "text_hash").agg(F.min("element_path").alias("by_text"))
-    joined = assigned(spark, sf_dir).select("assignment_id", *KEY, "text_hash").join(exact, KEY, "left").join(text, ["source_sha256", "text_hash"], "left")
+    joined = assigned(spark, sf_dir, *KEY, "text_hash").join(exact, KEY, "left").join(text, ["source_sha256", "text_hash"], "left")
     return joined.select("assignment_id", F.when(c("by_path").isNotNull(), 0).when(c("by_text").isNotNull(), 1).alias("preference"), F.coalesce("by_path", "by_text").alias("element_path"))
 
 
@@ -370,13 +379,13 @@ def u02(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def u03(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two inventories one after the other, order kept within each."""
-    rows = distinct_rows(spark, sf_dir, "inventory_items").select("source", "kind", "item_ord", "item_id")
+    rows = distinct_rows(spark, sf_dir, "inventory_items", "source", "kind", "item_ord", "item_id")
     joined = rows.where("kind = 'paragraph'").withColumn("copy", F.lit(0)).unionByName(rows.where("kind <> 'paragraph'").withColumn("copy", F.lit(1)))
     placed = joined.withColumn("_p", ranked_position(c("copy"), c("item_ord")))
     return numbered(placed, ["source"], ["copy", "item_ord", "item_id"], "k", "_p").select("k", "source", "copy", "item_id")
 
 
-@query("u04_unexpected_order")
+@query("u04_unexpected_order", _GREEDY + " select inv_id, place, occurrence from walk where place >= 0 and matched is null")
 def u04(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of the first copy that do not follow in order in the second: those a greedy match leaves out."""
     return j07(spark, sf_dir).where("matched is null").drop("matched")
@@ -419,7 +428,8 @@ def u07(spark: SparkSession, sf_dir: str) -> DataFrame:
 def u08(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes and body items of each document, and notes without text."""
     note = c("story_type") == "footnote"
-    return distinct_rows(spark, sf_dir, "inventory_items").groupBy("source").agg(F.count_if(note).alias("n_definitions"), F.count_if(c("story_type") == "body").alias("n_body"), F.count_if(note & (F.coalesce("content", F.lit("")) == "")).alias("n_empty"))
+    rows = table(spark, sf_dir, "inventory_items").select("item_id", "source", "story_type", F.when(F.coalesce("content", F.lit("")) == "", "").otherwise("x").alias("content")).distinct()
+    return rows.groupBy("source").agg(F.count_if(note).alias("n_definitions"), F.count_if(c("story_type") == "body").alias("n_body"), F.count_if(note & (F.coalesce("content", F.lit("")) == "")).alias("n_empty"))
 
 
 @query(

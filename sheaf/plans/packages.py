@@ -156,7 +156,14 @@ def f28(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line")).where(S.delete_space(c("line")) != "")
 
 
-@query("f29_heading_pages")
+@query(
+    "f29_heading_pages",
+    f"""with recursive {ORDERED.removeprefix('with ')}, b as (select source_sha256, n, outline_level, regexp_replace(visible_text, '{S.MATCH_NOISE}', '', 'g')[1:12] prefix, ((n - 1) // 10 + 1)::int page from ordered),
+    h as (select source_sha256, n, prefix, row_number() over (partition by source_sha256 order by n) i from b where outline_level is not null and length(prefix) > 0), p as (select distinct source_sha256, prefix, page from b),
+    walk(source_sha256, i, n, page) as (select distinct source_sha256, 0::bigint, null::bigint, 1 from h
+      union all select w.source_sha256, h.i, h.n, coalesce(min(p.page), w.page) from walk w join h on h.source_sha256 = w.source_sha256 and h.i = w.i + 1 left join p on p.source_sha256 = h.source_sha256 and p.prefix = h.prefix and p.page >= w.page group by w.source_sha256, h.i, h.n, w.page)
+    select source_sha256, n, page from walk where i > 0""",
+)
 def f29(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of ten blocks on which headings are found again, in order, by their first twelve characters."""
     prefix = F.substring(S.clean_match_key(c("visible_text")), 1, 12)
@@ -183,18 +190,15 @@ def _labelled(rows: DataFrame) -> DataFrame:
     return rows.select("obs_id", expected.alias("expected"), S.record_status(F.lit(None).cast("string"), c("cached_value"), expected).alias("status")).distinct()
 
 
-_ROMAN = "['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'][(p % 1000 // 100)::int + 1] || ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][(p % 100 // 10)::int + 1] || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][(p % 10)::int + 1]"
+_ROMAN = "repeat('m', (p // 1000)::int) || ['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'][(p % 1000 // 100)::int + 1] || ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][(p % 100 // 10)::int + 1] || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][(p % 10)::int + 1]"
 
 
-@query("w12_page_labels", f"select distinct obs_id, case when story = 'body' then p::varchar else {_ROMAN} end expected, case when story = 'body' then 'verified' when p is null then 'unverified' else 'mismatch' end status from (select *, try_cast(cached_value as int) p from field_observations where command = 'PAGEREF') where p between 1 and 999")
+@query(
+    "w12_page_labels",
+    f"select distinct obs_id, expected, case when cached_value is null or expected is null then 'unverified' when cached_value = expected then 'verified' else 'mismatch' end status from (select *, case when p >= 1 then case when story = 'body' then p::varchar else {_ROMAN} end end expected from (select *, try_cast(cached_value as int) p from field_observations where command = 'PAGEREF'))",
+)
 def w12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measured pages labelled in the style of their part - decimal in bodies, small Roman elsewhere - against what is shown."""
-    return _labelled(_page_references(spark, sf_dir).where("p between 1 and 999"))
-
-
-@query("w12_page_records")
-def w12_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of every page reference: without a page of 1 or more there is no expected label, and nothing is verified."""
+    """Every page reference labelled in the style of its part - decimal in bodies, small Roman elsewhere - against what is shown; without a page of 1 or more nothing is verified."""
     return _labelled(_page_references(spark, sf_dir))
 
 

@@ -14,11 +14,11 @@ from pyspark.sql.types import BooleanType
 from sheaf.functions import scalars as S
 from sheaf.operators.candidates import ranked_candidates
 from sheaf.operators.matching import first_contained, first_rule
-from sheaf.operators.windows import numbered, ranked_position
+from sheaf.operators.windows import numbered, ranked_position, text_position
 from sheaf.plans.carriers import CURRENT, current_blocks, distinct_rows
 from sheaf.plans.joins import ASSIGNED, assigned
 from sheaf.plans.problems import _OBJECTS_SQL
-from sheaf.plans.registry import query
+from sheaf.plans.registry import SQL, query
 from sheaf.plans.scalars import SP, sql_strip
 from sheaf.plans.windows import ORDERED, ordered
 from sheaf.session import table
@@ -85,14 +85,14 @@ def pj06(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last scope of a policy that holds an assignment's node."""
     array = lambda xs: F.array(*map(F.lit, xs))
     mode = reduce(lambda found, s: F.when((c("o") >= array(s[1])) & (c("o") <= array(s[2])), s[0]).otherwise(found), SCOPES, F.lit(None).cast("string"))
-    return assigned(spark, sf_dir).withColumn("o", path_order(c("element_path"))).select("assignment_id", mode.alias("mode"))
+    return assigned(spark, sf_dir, "element_path").withColumn("o", path_order(c("element_path"))).select("assignment_id", mode.alias("mode"))
 
 
 @query("pj07_restyled", f"with {ASSIGNED} select assignment_id, coalesce(o[1] between 20 and 25 or o[1] < 10 or o[1] > 30, false) restyled from (select *, list_transform(regexp_extract_all(element_path, '\\[(\\d+)\\]', 1), lambda x: x::int) o from assigned)")
 def pj07(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a node's first index lies in a restyled scope."""
     first = F.try_element_at(path_order(c("element_path")), F.lit(1))
-    return assigned(spark, sf_dir).select("assignment_id", F.coalesce(first.between(20, 25) | (first < 10) | (first > 30), F.lit(False)).alias("restyled"))
+    return assigned(spark, sf_dir, "element_path").select("assignment_id", F.coalesce(first.between(20, 25) | (first < 10) | (first > 30), F.lit(False)).alias("restyled"))
 
 
 PARTS = ((1, 8), (15, 30))
@@ -129,7 +129,7 @@ def pj14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents all of whose required fields have a value, and the commands of those that have none."""
     done = (c("story") != "body") | c("cached_value").isNotNull() | c("command").isin("TOC", "DATE")
     open_ = F.array_sort(F.collect_set(F.when(~done, c("command"))))
-    return distinct_rows(spark, sf_dir, "field_observations").groupBy("source_sha256").agg(F.every(done).alias("publishable"), F.when(F.size(open_) > 0, open_).alias("open_"))
+    return distinct_rows(spark, sf_dir, "field_observations", "obs_id", "source_sha256", "story", "command", "cached_value").groupBy("source_sha256").agg(F.every(done).alias("publishable"), F.when(F.size(open_) > 0, open_).alias("open_"))
 
 
 @query("pj15_json_rows", f"with {CURRENT} select {_K}, to_json(list_sort(coalesce(protected_objects, []))) safe from current_blocks")
@@ -173,6 +173,10 @@ def pj19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.groupBy("inv_id", "extracted_at").agg(F.count(F.lit(1)).alias("n"), F.min(F.length("k")).alias("shortest"), F.max(F.length("k")).alias("longest"))
 
 
+#: First numbers from here on share a slice.
+WIDEST = (1 << 20) - 1
+
+
 @query(
     "o01_natural_order",
     f"with {CURRENT}, h as (select {_K}, visible_text, case when regexp_matches(s, '^\\d+(?:\\.\\d+)*') then list_transform(string_split(regexp_extract(s, '^(\\d+(?:\\.\\d+)*)', 1), '.'), lambda x: try_cast(x as int)) else [999] end parts from (select *, {sql_strip('visible_text')} s from current_blocks where outline_level is not null and visible_text is not null)) select {_K}, row_number() over (partition by source_sha256 order by parts, visible_text, part_uri, element_path) k from h",
@@ -181,10 +185,33 @@ def o01(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings of a document in the natural order of their numbers."""
     rows = current_blocks(spark, sf_dir).where("outline_level is not null and visible_text is not null").select(*KEY, "visible_text", S.name_parts(c("visible_text"))["parts"].alias("parts"))
     first = F.coalesce(F.try_element_at("parts", F.lit(1)), F.lit(-1))
-    return numbered(rows.withColumn("_p", first), ["source_sha256"], ["parts", "visible_text", "part_uri", "element_path"], "k", "_p", 1).select(*KEY, "k")
-
-
-@query("o02_ranked_roles")
+    # by the first number; headings with only one, as all without number are, also by their first two characters
+    more = F.when(first >= WIDEST, (1 << 43) - 1).when(F.size("parts") > 1, F.lit(1 << 42) + F.try_element_at("parts", F.lit(2))).otherwise(text_position(c("visible_text")))
+    place = F.least(first, F.lit(WIDEST)).cast("long") * (1 << 43) + F.coalesce(more, F.lit(0))
+    return numbered(rows.withColumn("_p", place), ["source_sha256"], ["parts", "visible_text", "part_uri", "element_path"], "k", "_p", 1).select(*KEY, "k")
+
+
+_when = lambda when, points: f"case when {when} then {points}e0 else 0e0 end"
+_RANKED = f"""with {ORDERED}, num as ({SQL["f11_numbering"]}),
+  k as (select source_sha256, n, coalesce(size_pt, 0) size, coalesce(bold, false) bold, alignment, structure_type, visible_text, lag(size_pt) over w before, lead(size_pt) over w behind from ordered window w as (partition by source_sha256 order by n)),
+  r as (select k.*, length(regexp_replace(coalesce(k.visible_text, ''), '{SP}+', '', 'g')) len, num.depth, coalesce(num.kind in ('date_or_version', 'decimal_or_version'), false) rejected, num.kind is not null and not coalesce(num.kind in ('date_or_version', 'decimal_or_version'), false) numbered from k left join num on num.visible_text is not distinct from k.visible_text where structure_type = 'paragraph'),
+  base as (select source_sha256, coalesce(quantile_cont(size, 0.5) filter (len > 80 or not bold), quantile_cont(size, 0.5)) body from r where size > 0 group by 1),
+  s as (select r.*, case when size > 0 then round_even(size / coalesce(body, 12), 3) else 1e0 end rel from r left join base using (source_sha256)),
+  fam as (select *, count(*) over (partition by source_sha256) families, dense_rank() over (partition by source_sha256 order by key desc) rank from (select source_sha256, round(size, 1) key, count(*) like_n from s where len <= 42 and bold and numbered and size > 0 and rel >= 1.08e0 group by all)),
+  most as (select source_sha256, max(families) families from fam group by 1),
+  u as (select s.*, like_n, most.families, case when rank <= 9 then rank end size_level, coalesce(depth >= 2, false) deep, bold or coalesce(alignment, '') = 'center' emphasis, coalesce(alignment = 'center', false) centered from s left join fam on fam.source_sha256 = s.source_sha256 and fam.key = round(s.size, 1) left join most on most.source_sha256 = s.source_sha256),
+  v as (select *, case when deep then depth else size_level end inferred, deep and coalesce(size_level <> depth, false) differs from u),
+  x as (select *, inferred is not null and coalesce(like_n, 0) >= 1 and coalesce(families, 0) >= 2 and len <= 42 and emphasis and numbered and not len > 80 and not differs and not rejected calibrated,
+    (0.05e0 + case when rel >= 1.15e0 then least(0.35e0, (rel - 1e0) * 0.45e0) else 0e0 end) + (0e0 + {_when("len <= 42", 0.2)} + {_when("emphasis", 0.12)} + {_when("numbered", 0.1)} + {_when("rejected", -0.25)} + {_when("len > 80", -0.28)} + {_when("coalesce(abs(before - size) < 0.1, false) and coalesce(abs(behind - size) < 0.1, false) and not numbered", -0.1)}) raw from v),
+  y as (select *, case when calibrated then 0.985e0 else greatest(0e0, least(0.95e0, raw)) end heading from x),
+  z as (select *, 'heading.' || coalesce(inferred, 1) heading_role, list_sort([{{'m': -(case when centered and rel >= 1.35e0 and len <= 42 then least(0.98e0, heading + 0.2e0) when not centered or rel < 1.2e0 then greatest(0e0, heading - 0.18e0) else heading end), 'role': 'title'}}, {{'m': -heading, 'role': 'heading.' || coalesce(inferred, 1)}},
+    {{'m': -least(0.92e0, 0.3e0 + (0e0 + {_when("len > 80", 0.3)} + {_when("rel <= 1.1e0", 0.2)} + {_when("not emphasis and not numbered", 0.1)})), 'role': 'body'}}, {{'m': -(case when len <= 42 and not numbered then 0.25e0 else 0.08e0 end), 'role': 'caption'}}]) every from y),
+  t as (select *, (case when len(list_filter(every, lambda q: q.m <= -0.25e0)) > 0 then list_filter(every, lambda q: q.m <= -0.25e0) else every[1:1] end)[1:3] top from z)
+  select source_sha256, n, case when calibrated or differs then heading_role when -top[1].m >= 0.58e0 and coalesce(top[2].m - top[1].m >= 0.05e0, true) then top[1].role else 'body' end selected_role, round(-top[1].m, 4) selected_score,
+    case when calibrated then 'auto_accepted' when differs or rejected then 'pending_review' else 'selected' end review_status, list_transform(top, lambda q: q.role) roles from t"""
+
+
+@query("o02_ranked_roles", _RANKED)
 def o02(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most three scored roles for each paragraph, and the one selected."""
     return ranked_candidates(ordered(spark, sf_dir), "source_sha256", "n").select("source_sha256", "n", "selected_role", F.round("selected_score", 4).alias("selected_score"), "review_status", F.transform("candidates", lambda x: x["role"]).alias("roles"))
@@ -315,12 +342,12 @@ def s06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("file_id", "node_pointer", F.explode(faults).alias("fault")).unionByName(rules.select("file_id", "node_pointer", F.explode(of_rules).alias("fault")))
 
 
-@query("k03_build_inputs", "select source_sha256, count(*) n_rows from (select distinct * from blocks) where source_sha256 is not null group by all")
+@query("k03_build_inputs", "select source_sha256, count(*) n_rows from (select distinct source_sha256, part_uri, element_path from blocks) where source_sha256 is not null group by all")
 def k03_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that a build reads, with their number of rows."""
+    """The documents that a build reads, with their number of nodes."""
     from sheaf.sources.files import build_inputs
 
-    return build_inputs(distinct_rows(spark, sf_dir, "blocks"))
+    return build_inputs(distinct_rows(spark, sf_dir, "blocks", *KEY))
 
 
 @query(
@@ -333,7 +360,7 @@ def k03(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row that records the inputs and the fields by whether they have a value."""
     from sheaf.sources.files import build_record
 
-    checks = distinct_rows(spark, sf_dir, "field_observations").select(F.when(c("cached_value").isNull(), "not_run").otherwise("passed").alias("status"))
+    checks = distinct_rows(spark, sf_dir, "field_observations", "obs_id", "cached_value").select(F.when(c("cached_value").isNull(), "not_run").otherwise("passed").alias("status"))
     return build_record(table(spark, sf_dir, "blocks"), checks)
 
 

@@ -81,7 +81,7 @@ def w06(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w07_occurrence_ordinals", "select item_id, row_number() over (partition by source, kind, content order by item_ord, item_id) ordinal from (select distinct * from inventory_items) where source is not null and kind is not null and content is not null")
 def w07(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which occurrence of its text in its document each item is."""
-    return numbered(distinct_rows(spark, sf_dir, "inventory_items"), ["source", "kind", "content"], ["item_ord", "item_id"], "ordinal", "item_ord").select("item_id", "ordinal")
+    return numbered(distinct_rows(spark, sf_dir, "inventory_items", "item_id", "item_ord", "source", "kind", "content"), ["source", "kind", "content"], ["item_ord", "item_id"], "ordinal", "item_ord").select("item_id", "ordinal")
 
 
 @query(
@@ -90,7 +90,7 @@ def w07(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def w08(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index of each item among those of its fingerprint and among all of its document, from 0."""
-    items = distinct_rows(spark, sf_dir, "inventory_items").where("fingerprint is not null")
+    items = distinct_rows(spark, sf_dir, "inventory_items", "item_id", "item_ord", "source", "fingerprint").where("fingerprint is not null")
     both = numbered(numbered(items, ["source", "fingerprint"], ["item_ord", "item_id"], "a", "item_ord"), ["source"], ["item_ord", "item_id"], "b", "item_ord")
     return both.select("item_id", (c("a") - 1).alias("duplicate_index"), (c("b") - 1).alias("source_index"))
 
@@ -211,7 +211,7 @@ def w17(spark: SparkSession, sf_dir: str) -> DataFrame:
 def w19(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text between a bookmark's start and its end two blocks on; the interval is opened to its places, so blocks join by place."""
     blocks = ordered(spark, sf_dir).select("source_sha256", "element_path", "n", "visible_text")
-    marks = distinct_rows(spark, sf_dir, "bookmarks").select("bookmark_id", "source_sha256", c("host_path").alias("element_path"))
+    marks = distinct_rows(spark, sf_dir, "bookmarks", "bookmark_id", "source_sha256", "host_path").select("bookmark_id", "source_sha256", c("host_path").alias("element_path"))
     starts = marks.join(blocks.select("source_sha256", "element_path", "n"), ["source_sha256", "element_path"]).select("bookmark_id", "source_sha256", c("n").alias("start")).distinct()
     places = starts.withColumn("n", F.explode(F.sequence(c("start"), c("start") + 2)))
     met = places.join(blocks.select("source_sha256", "n", "visible_text"), ["source_sha256", "n"])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +54,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def without_constraints(spark: SparkSession) -> Iterator[None]:
+    """Rounds over frames that the round before cut and filtered: what Catalyst infers of their rows would double each round."""
+    name = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def tokenizer_dir() -> str:
     """Where the public vocabularies lie; SHEAF_TOKENIZERS names another place."""
     return os.environ.get("SHEAF_TOKENIZERS", "/opt/tokenizers")

@@ -104,12 +104,22 @@ def test_chains(spark):
     long = spark.range(1, 701).select(c("id"), F.when(c("id") > 1, c("id") - 1).alias("up"), F.when(c("id") == 1, "r").alias("v"))
     deep = resolve_chain(long, "id", "up", ["v"])
     assert deep.where("v = 'r' and root = 1 and depth = id - 1").count() == 700
+    longer = spark.range(1, 3001).select(c("id"), F.when(c("id") > 1, c("id") - 1).alias("up"))  # no depth is taken for a cycle
+    assert resolve_chain(longer, "id", "up", []).where("not cyclic and root = 1 and depth = id - 1").count() == 3000
+    ring = spark.range(3000).select(c("id"), ((c("id") + 1) % 3000).alias("up")).union(spark.sql("select 3000L, 7L"))
+    assert resolve_chain(ring, "id", "up", []).where("cyclic and root is null and depth is null").count() == 3001
+    assert resolve_chain(longer.limit(0), "id", "up", []).count() == 0
 
 
 def test_preorder_and_ancestors(spark):
     nodes = spark.createDataFrame([(1, None, 1), (2, 1, 2), (3, 1, 1), (4, 3, 1), (5, None, 0)], "id long, up long, o int")
     placed = [r.id for r in preorder(nodes, "id", "up", "o").orderBy("path").collect()]
     assert placed == [5, 1, 3, 4, 2]
+    deep = spark.range(1, 102).select(c("id"), F.when(c("id") > 1, c("id") - 1).alias("up"), c("id").alias("o"))
+    assert {(r.id, r.level, tuple(r.path)) for r in preorder(deep, "id", "up", "o").collect()} == {(i, i, tuple(range(1, i + 1))) for i in range(1, 102)}
+    odd = spark.createDataFrame([(1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 99, 1), (5, None, 1), (6, 5, 9)], "id long, up long, o int")
+    assert {r.id: r.path for r in preorder(odd, "id", "up", "o").collect()} == {5: [1], 6: [1, 9]}
+    assert preorder(odd.limit(0), "id", "up", "o").count() == 0
     rows = spark.createDataFrame([("/a/b/c",), ("/a/bb",), ("/x",)], "p string")
     declared = spark.createDataFrame([("/a", "1"), ("/a/b", "2")], "d string, v string")
     assert {r.p: r.v for r in nearest_ancestor(rows, "p", declared, "d", "v", "v").collect()} == {"/a/b/c": "2", "/a/bb": "1", "/x": None}
@@ -129,7 +139,7 @@ def test_layers_against_plain_merge(spark):
             for k, y in x.items():
                 yield from leaves(y, pointer(at, k))
         else:
-            yield at, json.dumps(x, sort_keys=True)
+            yield at, json.dumps(x, separators=(",", ":"))
 
     rows, want = [], set()
     for g in range(60):

@@ -1,4 +1,4 @@
-"""Every query outside the subpackages beside its SQL; those without SQL must run and keep their columns."""
+"""Every query outside the subpackages beside its SQL."""
 
 import pytest
 
@@ -19,7 +19,6 @@ def test_against_sql(spark, con, name):
     compare(con, SQL[name], QUERIES[name](spark, DATA))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(spark, name):
-    frame = QUERIES[name](spark, DATA)
-    assert frame.columns and frame.count() >= 0
+def test_every_query_has_sql_but_one():
+    """p4_table is tested against the leaves of its files in test_problems."""
+    assert set(QUERIES) - set(SQL) == {"p4_table"}

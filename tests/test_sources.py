@@ -214,7 +214,7 @@ def test_every_page_reference_has_a_status(spark, tmp_path):
 
     labels = [(1, "body", "7"), (2, "body", None), (3, "footer:0", None), (4, "body", "iv"), (5, "body", "1234"), (6, "header:0", "1234"), (7, "body", "0"), (8, "body", "007"), (9, None, "999")]
     spark.createDataFrame([(*x, "PAGEREF") for x in labels] + [(10, "body", "1", "REF")], "obs_id long, story string, cached_value string, command string").write.parquet(f"{tmp_path}/field_observations.parquet")
-    got = {r.obs_id: (r.expected, r.status) for r in queries()["w12_page_records"](spark, str(tmp_path)).collect()}
+    got = {r.obs_id: (r.expected, r.status) for r in queries()["w12_page_labels"](spark, str(tmp_path)).collect()}
     none = (None, "unverified")
     assert got == {1: ("7", "verified"), 2: none, 3: none, 4: none, 5: ("1234", "verified"), 6: ("mccxxxiv", "mismatch"), 7: none, 8: ("7", "mismatch"), 9: ("cmxcix", "mismatch")}
 
