@@ -206,11 +206,6 @@ def marker_name(identity: Column, prefix: str = "_Src_", length: int = 28) -> Co
     return F.concat(F.lit(prefix), F.substring(F.sha2(identity, 256), 1, length))
 
 
-def collision_key(name: Column) -> Column:
-    """F17 without composition: the letter case folded by way of capitals, so that ss and its sharp letter agree."""
-    return F.lower(F.upper(strip(name)))
-
-
 def reserved_name(name: Column) -> Column:
     """P10: whether a file name is a device's."""
     return F.upper(F.trim(F.split(name, r"\.")[0])).isin(*RESERVED_NAMES)

@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from sheaf.functions.keys import digest
 
-SLICE_SECONDS = 86_400
+SLICE_SECONDS = 3_600
 
 
 @dataclass(frozen=True)

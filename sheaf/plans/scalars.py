@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.functions import scalars as S
+from sheaf.functions.names import collision_key, font_key
 from sheaf.plans.registry import query
 from sheaf.session import table
 
@@ -124,7 +125,7 @@ scalar(
     lambda: {"occurrence": S.occurrence_id(c("source_sha256"), c("part_uri"), c("element_path"), F.lit("main"), F.lit("body"), c("assignment_id")), "marker": S.marker_name(S.occurrence_id(c("source_sha256"), c("part_uri"), c("element_path"), F.lit("main"), F.lit("body"), c("assignment_id")))},
     "concat_ws('|', source_sha256, part_uri, element_path, 'main', 'body', assignment_id::varchar) as occurrence, '_Src_' || substr(sha256(concat_ws('|', source_sha256, part_uri, element_path, 'main', 'body', assignment_id::varchar)), 1, 28) as marker",
 )
-scalar("f17_collision_keys", "documents", "source", lambda: {"key": S.collision_key(c("source"))}, "lower(upper(trim(source))) as key")
+scalar("f17_collision_keys", "inventory_items", "content", lambda: {"key": collision_key("content"), "font_key": font_key("content")}, f"nfc_normalize(replace(lower(nfc_normalize(content)), 'ß', 'ss')) as key, replace(lower({sql_strip('content')}), 'ß', 'ss') as font_key")
 scalar(
     "f18_filenames",
     "manifest_files",

@@ -107,3 +107,13 @@ def test_collapse_is_stable(spark, text):
     text = text.replace("\x00", "").encode("utf-8", "ignore").decode()
     once = one(spark, text, S.collapse_space(c("v")))
     assert one(spark, once, S.collapse_space(c("v"))) == once
+
+
+def test_collision_keys(spark):
+    from sheaf.functions.names import collision_key, font_key
+
+    names = ["Straße", "STRASSE", "Cafe\u0301", "CAFÉ", " a", "a", None, "", "ſ", "S"]
+    keys = [tuple(r) for r in spark.createDataFrame([(n, i) for i, n in enumerate(names)], "n string, i int").orderBy("i").select(collision_key("n"), font_key("n")).collect()]
+    own = [k for k, _ in keys]
+    assert own[0] == own[1] and own[2] == own[3] == "café" and own[4] != own[5] and own[6:8] == [None, ""] and own[8] == own[9] == "s"
+    assert keys[4][1] == keys[5][1] == "a" and keys[6][1] is None
