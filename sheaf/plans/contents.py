@@ -302,7 +302,8 @@ def s22(spark: SparkSession, sf_dir: str) -> DataFrame:
     formats, manifests = table(spark, sf_dir, "format_files"), table(spark, sf_dir, "manifest_files")
     packages = formats.where(F.try_parse_json("raw_json").isNotNull()).select(F.concat_ws("@", "format_id", "format_version").alias("k")).where("k like '%@%'").distinct()
     first = formats.agg(F.min(F.concat("format_id", F.lit("@"), "format_version")).alias("first"))
-    rows = manifests.select("manifest_id", F.try_parse_json("raw_json").cast("string").alias("j")).where("j like '{%'").crossJoin(F.broadcast(first))  # one row
+    rows = manifests.select("manifest_id", F.try_parse_json("raw_json").cast("string").alias("j")).where("j like '{%'").withColumn("_j", F.lit(1))
+    rows = rows.join(F.broadcast(first.withColumn("_j", F.lit(1))), "_j")  # one row
     other = F.concat(F.lit("preset:"), "first", F.when(c("manifest_id") % 2 == 0, "").otherwise("x"))
     ref = F.when(c("manifest_id") % 4 == 1, F.concat(F.lit("https://x/"), F.coalesce(F.get_json_object("j", "$.project_name"), F.lit("")))).otherwise(F.coalesce(F.get_json_object("j", "$.format.ref"), other))
     rows = rows.select("manifest_id", ref.alias("ref")).distinct().withColumn("k", F.regexp_extract("ref", "(?s)^preset:(.*)$", 1))
