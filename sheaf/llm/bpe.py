@@ -1,6 +1,7 @@
 """Encoding of texts with a public byte-level BPE vocabulary, without replaying merges.
 
-A pre-token's bytes run once through an Aho-Corasick automaton of all tokens, which gives the longest token that
+A batch is cut into pre-tokens as a whole, by the classes of its code points, and each different pre-token is encoded
+once; the ids are gathered for all places. A pre-token's bytes run once through an Aho-Corasick automaton of all tokens, which gives the longest token that
 starts at each byte. The encoder takes it if it may stand behind the token before, else the next shorter token that
 is a prefix of it, and steps back where none fits; positions found dead are not tried again. Two tokens may stand
 side by side if merging their joint bytes by rank gives just these two; the answers are kept in a table. Encodings
@@ -26,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
+from sheaf.llm.lookalike import TOP, sliced, to_codes
+from sheaf.llm.tokens import hashed
 from sheaf.session import table, tokenizer_dir
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -35,6 +38,60 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 REMEMBERED_BYTES, REMEMBERED = 48, 300_000
 
 
+OTHER, LETTER, NUMBER, GAP = range(4)
+APOSTROPHE, SPACE = ord("'"), ord(" ")
+
+
+@lru_cache(maxsize=1)
+def classes() -> np.ndarray:
+    """By code point: letter, number, white space or other, as the pattern has them."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, TOP)]))
+    kind = np.full(TOP, OTHER, dtype=np.uint8)
+    for what, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (GAP, r"\s")):
+        kind[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), dtype=np.uint32)] = what
+    return kind
+
+
+def piece_starts(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where pre-tokens begin; each ends where the next one begins, and rows are cut at their bounds.
+
+    A run of one class is a pre-token and takes a space before it along; of a longer gap before something its last
+    character stands alone if it is no space; a short ending behind an apostrophe that begins a pre-token goes with it.
+    """
+    n = len(codes)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    kind = classes()[codes]
+    first = np.zeros(n + 1, dtype=bool)
+    first[bounds] = True
+    first = first[:n]
+    run = first.copy()
+    run[1:] |= kind[1:] != kind[:-1]
+    start = run.copy()
+    gap, behind = kind == GAP, np.zeros(n, dtype=bool)
+    behind[1:] = gap[:-1] & ~first[1:]  # a gap stands before, in the same row
+    head = np.flatnonzero(run & ~gap & behind)  # what follows a gap
+    spaced = head[codes[head - 1] == SPACE]
+    start[head - 1] = True  # the gap's last character stands alone or, a space, goes along
+    start[spaced] = False
+    mark = np.flatnonzero((codes == APOSTROPHE) & start)
+    mark = mark[mark + 1 < n]
+    mark = mark[~first[mark + 1] & (kind[mark + 1] == LETTER)]
+    if len(mark):
+        one, two = codes[mark + 1], codes[np.minimum(mark + 2, n - 1)]
+        two = np.where((mark + 2 < n) & ~first[np.minimum(mark + 2, n - 1)], two, 0)
+        size = np.where(np.isin(one, [ord(x) for x in "sdmt"]), 1, 0)
+        for pair in ("ll", "ve", "re"):
+            size[(one == ord(pair[0])) & (two == ord(pair[1]))] = 2
+        mark, size = mark[size > 0], size[size > 0]
+        start[mark + 1] = False
+        rest = mark + 1 + size
+        inside = rest < n
+        rest = rest[inside]
+        start[rest[~first[rest] & (kind[rest] == LETTER)]] = True
+    return np.flatnonzero(start)
+
+
 class Encoder:
     def __init__(self, path: str, pattern: str = PATTERN):
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
@@ -109,6 +166,35 @@ class Encoder:
             made = [self.unknown(word) if own is None else own for word, own in zip(words, made)]
         return list(chain.from_iterable(made))
 
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has; null texts have none."""
+        flat: list[np.ndarray] = [np.zeros(0, dtype=np.int32)]
+        count = np.zeros(len(texts), dtype=np.int64)
+        for at, part in sliced(texts):
+            codes, bounds = to_codes(part)
+            start = piece_starts(codes, bounds)
+            if not len(start):
+                continue
+            end = np.append(start[1:], len(codes))
+            place = pa.array(hashed(codes, start, end)).dictionary_encode().indices.to_numpy()
+            one = np.zeros(place.max() + 1, dtype=np.int64)
+            one[place[::-1]] = np.arange(len(place))[::-1]  # the first place of each
+            step = np.repeat(start[one[place]] - start, end - start) + np.arange(len(codes))
+            if ((end - start) != (end - start)[one[place]]).any() or (codes[step] != codes).any():  # two pieces with one hash
+                made = [np.array(self.encode(t), dtype=np.int32) for t in part.to_pylist()]
+                flat += made
+                count[at : at + len(part)] = list(map(len, made))
+                continue
+            words = [codes[a:b].tobytes().decode("utf-32-le") for a, b in zip(start[one], end[one])]
+            ids = [self.unknown(w) if (own := self.known.get(w)) is None else own for w in words]
+            size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            every = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=size.sum())
+            low, many = (np.cumsum(size) - size)[place], size[place]
+            flat.append(every[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())])
+            before = np.concatenate([[0], np.cumsum(many)])[np.searchsorted(start, bounds)]
+            count[at : at + len(part)] = np.diff(before)
+        return np.concatenate(flat), count
+
     def decode(self, ids: np.ndarray) -> bytes:
         return self.decoded(np.asarray(ids, dtype=np.int64))[0].tobytes()
 
@@ -130,13 +216,8 @@ def encode_column(path: str):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(path)
         for texts in batches:
-            ids: list[np.ndarray] = []
-            count = np.zeros(len(texts) + 1, dtype=np.int32)
-            for i, text in enumerate(texts):  # one text at a time: a batch of Python strings would not fit
-                ids.append(np.array(own.encode(text.as_py()), dtype=np.int32))
-                count[i + 1] = len(ids[-1])
-            flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
-            yield pa.ListArray.from_arrays(pa.array(np.cumsum(count, dtype=np.int32)), pa.array(flat))
+            flat, count = own.encode_all(texts)
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(flat))
 
     encode.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(encode, ArrayType(IntegerType(), False))

@@ -5,10 +5,13 @@ import random
 from collections import Counter
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 import tiktoken
 
-from sheaf.llm.bpe import PATTERN, VOCABULARY, Encoder, decode_column, encode_texts, ids, token_counts
+from sheaf.llm import bpe
+from sheaf.llm.bpe import PATTERN, VOCABULARY, Encoder, decode_column, encode_texts, ids, piece_starts, token_counts
+from sheaf.llm.lookalike import to_codes
 from sheaf.session import tokenizer_dir
 
 PATH = f"{tokenizer_dir()}/{VOCABULARY}"
@@ -30,6 +33,28 @@ def test_random_texts(both):
         made = own.encode(text)
         assert made == other.encode_ordinary(text)
         assert own.decode(made).decode() == text
+    flat, count = own.encode_all(pa.array([None, "", *texts, None], pa.string()))
+    assert flat.tolist() == [i for t in texts for i in other.encode_ordinary(t)]
+    assert count.tolist() == [0, 0, *(len(other.encode_ordinary(t)) for t in texts), 0]
+
+
+def test_pieces_of_a_batch(both):
+    """Cut as the pattern cuts, whatever stands beside what; also where one text ends as the next begins."""
+    own, _ = both
+    random.seed(8)
+    parts = [" ", " ", "\n", "\t", "\u3000", "'", "'", "s", "ll", "ve", "re", "d", "x", "r", "v", "l", "S", "7", "٣", "½", "!", "\u2019", "é", "中", "\u0301", "\x85", "\x1c", "🎉", "_"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 14))) for _ in range(20_000)]
+    codes, bounds = to_codes(pa.array(texts))
+    start = piece_starts(codes, bounds)
+    assert [codes[a:b].tobytes().decode("utf-32-le") for a, b in zip(start, [*start[1:], len(codes)])] == [w for t in texts for w in own.split.findall(t)]
+
+
+def test_two_pieces_of_one_hash(both, monkeypatch):
+    own, other = both
+    monkeypatch.setattr(bpe, "hashed", lambda codes, start, end: (end - start).astype("uint64"))
+    texts = ["abc def", "xyz", None, "abc xyz"]
+    flat, count = own.encode_all(pa.array(texts, pa.string()))
+    assert flat.tolist() == [i for t in texts if t for i in other.encode_ordinary(t)] and count[2] == 0
 
 
 def test_pieces_are_what_merging_gives(both):
