@@ -16,9 +16,9 @@ from sheaf.operators.windows import neighbours
 # Thresholds and points of the scores.
 LEAST, AUTOMATIC, CLEAR, MARGIN, SHORT, LONG = 0.25, 0.985, 0.58, 0.05, 42, 80
 HEADING_BASE, HEADING_TOP, SIZE_FROM, SIZE_SLOPE, SIZE_TOP, FAMILY_FROM = 0.05, 0.95, 1.15, 0.45, 0.35, 1.08
-HEADING_POINTS = {"short": 0.20, "emphasis": 0.12, "spacing": 0.10, "numbered": 0.10, "rejected": -0.25, "long": -0.28, "alike": -0.10}
+IS_SHORT, HAS_EMPHASIS, HAS_SPACING, IS_NUMBERED, IS_REJECTED, IS_LONG, IS_ALIKE = 0.20, 0.12, 0.10, 0.10, -0.25, -0.28, -0.10
 TITLE_FROM, TITLE_GAIN, TITLE_TOP, TITLE_UNDER, TITLE_LOSS = 1.35, 0.20, 0.98, 1.20, 0.18
-BODY_BASE, BODY_TOP, BODY_TO, BODY_POINTS = 0.30, 0.92, 1.10, {"long": 0.30, "sized": 0.20, "plain": 0.10}
+BODY_BASE, BODY_TOP, BODY_TO, BODY_LONG, BODY_SIZED, BODY_PLAIN = 0.30, 0.92, 1.10, 0.30, 0.20, 0.10
 CAPTION, NO_CAPTION, SPACE_FROM = 0.25, 0.08, 6
 
 
@@ -65,12 +65,10 @@ def ranked_candidates(blocks: DataFrame, document: str, ordinal: str) -> DataFra
     alike = F.coalesce(F.abs(c("prev_size") - c("size")) < 0.1, F.lit(False)) & F.coalesce(F.abs(c("next_size") - c("size")) < 0.1, F.lit(False))
     spacing = F.coalesce(c("space_before_pt") >= SPACE_FROM, F.lit(False))
     raw = F.lit(HEADING_BASE) + F.when(rel >= SIZE_FROM, F.least(F.lit(SIZE_TOP), (rel - 1.0) * SIZE_SLOPE)).otherwise(0.0)
-    held = {"short": short, "emphasis": emphasis, "spacing": spacing, "numbered": numbered, "rejected": c("rejected"), "long": long, "alike": alike & ~numbered}
-    raw = raw + _points(*[(held[k], p) for k, p in HEADING_POINTS.items()])
+    raw = raw + _points((short, IS_SHORT), (emphasis, HAS_EMPHASIS), (spacing, HAS_SPACING), (numbered, IS_NUMBERED), (c("rejected"), IS_REJECTED), (long, IS_LONG), (alike & ~numbered, IS_ALIKE))
     heading = F.when(calibrated, AUTOMATIC).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(HEADING_TOP), raw)))
     title = F.when(centered & (rel >= TITLE_FROM) & short, F.least(F.lit(TITLE_TOP), heading + TITLE_GAIN)).when(~centered | (rel < TITLE_UNDER), F.greatest(F.lit(0.0), heading - TITLE_LOSS)).otherwise(heading)
-    plain = {"long": long, "sized": rel <= BODY_TO, "plain": ~emphasis & ~numbered}
-    body_score = F.least(F.lit(BODY_TOP), F.lit(BODY_BASE) + _points(*[(plain[k], p) for k, p in BODY_POINTS.items()]))
+    body_score = F.least(F.lit(BODY_TOP), F.lit(BODY_BASE) + _points((long, BODY_LONG), (rel <= BODY_TO, BODY_SIZED), (~emphasis & ~numbered, BODY_PLAIN)))
     heading_role = F.concat(F.lit("heading."), F.coalesce(inferred, F.lit(1)).cast("string"))
     scored = lambda role, score: F.struct((-score).alias("minus"), role.alias("role"), score.alias("score"))
     every = F.array_sort(F.array(scored(F.lit("title"), title), scored(heading_role, heading), scored(F.lit("body"), body_score), scored(F.lit("caption"), F.when(short & ~numbered, CAPTION).otherwise(NO_CAPTION))))

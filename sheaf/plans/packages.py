@@ -60,14 +60,37 @@ def written_fields(fields: pa.Array) -> pa.Array:
     return pa.array(made, pa.binary())
 
 
+#: How the font files of `s20` are made, by the first digit of their path's hash.
+FONT_FILES = ("plain", "open", "collection", "roman", "broken", "nameless", "executable", "foreign")
+
+
+def _face(names: list[tuple[int, int, bytes]], at: int, version: bytes) -> bytes:
+    """One face that begins at a place of its file: records of platform, kind and name."""
+    offsets, place = [], 0
+    for *_, raw in names:
+        offsets.append(place)
+        place += len(raw)
+    records = b"".join(struct.pack(">HHHHHH", platform, 0, 0x409 if platform == 3 else 0, kind, len(raw), where) for (platform, kind, raw), where in zip(names, offsets))
+    body = struct.pack(">HHH", 0, len(names), 6 + len(records)) + records + b"".join(raw for *_, raw in names)
+    return struct.pack(">4sHHHH", version, 1, 0, 0, 0) + struct.pack(">4sIII", b"name" if names else b"post", 0, at + 28, len(body)) + body
+
+
 @F.arrow_udf(BinaryType())
-def written_font(names: pa.Array) -> pa.Array:
-    """A font file with nothing but its family name."""
+def written_font(kinds: pa.Array, names: pa.Array) -> pa.Array:
+    """A font file of one of FONT_FILES with a family and a full name."""
     made = []
-    for name in names.to_pylist():
-        raw = name.encode("utf-16-be")
-        table_ = struct.pack(">HHH", 0, 1, 18) + struct.pack(">HHHHHH", 3, 1, 0x409, 1, len(raw), 0)
-        made.append(struct.pack(">4sHHHH", b"\0\1\0\0", 1, 0, 0, 0) + struct.pack(">4sIII", b"name", 0, 28, 0) + table_ + raw)
+    for kind, name in zip(kinds.to_pylist(), names.to_pylist()):
+        own = [(3, 1, name.encode("utf-16-be")), (3, 4, f"{name} Bold".encode("utf-16-be")), (3, 1, name.encode("utf-16-be")), (3, 9, b"\0x")]
+        if kind == "collection":
+            first = _face(own, 20, b"\0\1\0\0")
+            made.append(b"ttcf" + struct.pack(">III", 1 << 16, 2, 20) + struct.pack(">I", 20 + len(first)) + first + _face([(3, 16, "Second".encode("utf-16-be"))], 20 + len(first), b"OTTO"))
+        elif kind == "broken":
+            made.append(_face(own, 0, b"\0\1\0\0")[:30])
+        elif kind == "executable":
+            made.append(b"MZ" + name.encode())
+        else:
+            parts = [(1, 1, name.encode("mac_roman", "replace"))] if kind == "roman" else [] if kind == "nameless" else own
+            made.append(_face(parts, 0, {"open": b"OTTO", "foreign": b"wOFF"}.get(kind, b"\0\1\0\0")))
     return pa.array(made, pa.binary())
 
 
@@ -106,11 +129,19 @@ def w18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(c("path").alias("package"), "ord", *[c("data")[k].alias(k) for k in ("instruction", "command", "target", "cached_value")])
 
 
-@query("s20_font_names", f"with {FONTS} select distinct font as name, 'family' name_kind, 'ok' status from fonts")
+@query(
+    "s20_font_names",
+    f"""with {FONTS}, p as (select distinct file_id || '/' || font path, font from fonts), k as (select *, {list(FONT_FILES)}[('0x' || md5(path)[1:2])::int % {len(FONT_FILES)} + 1] kind from p),
+    x as (select path, unnest(case when kind in ('plain', 'open') then [{{'f': 0, 'k': 'family', 'n': font, 's': 'ok'}}, {{'f': 0, 'k': 'full', 'n': font || ' Bold', 's': 'ok'}}]
+      when kind = 'collection' then [{{'f': 0, 'k': 'family', 'n': font, 's': 'ok'}}, {{'f': 0, 'k': 'full', 'n': font || ' Bold', 's': 'ok'}}, {{'f': 1, 'k': 'typographic_family', 'n': 'Second', 's': 'ok'}}]
+      when kind = 'roman' then [{{'f': 0, 'k': 'family', 'n': font, 's': 'ok'}}] when kind = 'executable' then [{{'f': 0, 'k': null, 'n': null, 's': 'unsupported'}}] else [{{'f': 0, 'k': null, 'n': null, 's': 'error'}}] end) r from k)
+    select path, r.f face, r.k name_kind, r.n as name, r.s status from x""",
+)
 def s20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Font names written as font files and read back."""
-    names = style_fonts(spark, sf_dir).select(c("font").alias("path")).distinct()
-    return font_index(names.select("path", written_font("path").alias("content"))).select("name", "name_kind", "status")
+    """Fonts written as font files of several formats, collections and broken ones among them, and read back by face."""
+    names = style_fonts(spark, sf_dir).select(F.concat(c("file_id").cast("string"), F.lit("/"), "font").alias("path"), "font").distinct()
+    kind = F.array(*map(F.lit, FONT_FILES))[(F.conv(F.substring(F.md5("path"), 1, 2), 16, 10).cast("int") % len(FONT_FILES))]
+    return font_index(names.select("path", written_font(kind, "font").alias("content")))
 
 
 @query(
