@@ -3,17 +3,18 @@
 Texts are folded to one look and one letter case and cut into units: words, and for Chinese items single characters.
 A unit gets a typed placeholder if it is a number, a unit of measure behind a number, or a name; every run of as many
 units as the report asks for is hashed over placeholders and plain units, its template. Windows of items and documents
-meet in a hash join of templates. A pair of windows is verbatim if their units agree, too, and re-parameterised if the
-placeholders of one correspond one to one to those of the other: the pattern of which slots repeat which is the same.
+meet in a hash join of templates and of what fills their slots. A pair of windows is verbatim if their units agree, too,
+and re-parameterised if the placeholders of one correspond one to one to those of the other: the pattern of which slots
+repeat which is the same.
 
-For verbatim windows each unit has its own place. For re-parameterised ones neighbouring numbers, and neighbouring names,
+In verbatim windows each unit has its own place. For re-parameterised ones neighbouring numbers, and neighbouring names,
 are one slot, so that `1200` fits `1,300` or `twelve`, and a name of one word one of two; at least half of such a window
 must be plain. Names are told without letter case: words that two items share or one writes small are plain, every other
 word is a name; Chinese characters are plain in pairs that two items share or in long runs. What is plain is found once over all
 items, so a verbatim copy has its item's template.
 
 Documents are read once, whatever the number of items, and never shuffled: a filter of fixed size tells which of their
-windows can meet one of an item, and only these windows, as four numbers, are joined.
+windows can meet one of an item, and only these windows, as a few numbers, are joined.
 """
 
 from __future__ import annotations
@@ -163,8 +164,9 @@ KINDS = {(characters, spans): scatter(np.array([1 + 2 * characters + spans], dty
 
 
 def window_columns(texts: pa.Array, plain: np.ndarray, spans: tuple[bool, ...], characters: np.ndarray | None, wanted: np.ndarray | None) -> Iterator[list[np.ndarray]]:
-    """Row, place, template, units, pattern and whether it has spans, of windows of texts.
+    """Row, place, template, filling and whether it has spans, of windows of texts.
 
+    The filling of a window with spans is the pattern of its slots, that of one without is all its units.
     characters: by text whether its windows are of characters or of words; None: both. wanted: the filter of templates.
     """
     codes, bounds = folded(texts)
@@ -189,16 +191,16 @@ def window_columns(texts: pa.Array, plain: np.ndarray, spans: tuple[bool, ...],
                 have[t.row[at]] = True
                 some = np.flatnonzero(have[t.row])
                 own, new = Template(*(c[some] for c in t)), np.searchsorted(some, at)
-                same = windows(own.exact, size)[new]
-                yield [t.row[at], at, made[at], same, patterns(own, new, size), np.full(len(at), merged)]
+                filling = patterns(own, new, size) if merged else windows(own.exact, size)[new]
+                yield [t.row[at], at, made[at], filling, np.full(len(at), merged)]
 
 
-ROWS = "id long, place long, template long, units long, pattern long, spans boolean"
+ROWS = "id long, place long, template long, filling long, spans boolean"
 
 
 def window_rows(ids: pa.Array, columns: list[np.ndarray]) -> pa.RecordBatch:
     row, place, *hashes, merged = columns
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(place.astype(np.int64)), *(pa.array(h.view(np.int64)) for h in hashes), pa.array(merged)], names=["id", "place", "template", "units", "pattern", "spans"])
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(place.astype(np.int64)), *(pa.array(h.view(np.int64)) for h in hashes), pa.array(merged)], names=["id", "place", "template", "filling", "spans"])
 
 
 def chinese(texts: pa.Array, langs: pa.Array) -> np.ndarray:
@@ -233,8 +235,8 @@ def plain_units(items: DataFrame) -> Filter:
 
 
 def leak_windows(documents: DataFrame, items: DataFrame, spans: tuple[bool, ...] = (False, True)) -> DataFrame:
-    """doc_id, item_id, place, spans, verbatim: each window of a document that agrees with one of an item, verbatim or
-    re-parameterised; spans tells in which cut of units, with or without neighbouring slots in one.
+    """doc_id, item_id, place, spans: each window of a document that agrees with one of an item; one without spans agrees
+    verbatim, one with spans in its template and the pattern of its slots.
 
     documents has doc_id and text, items item_id, item_text and lang; other columns are not read. Null and empty texts
     and texts shorter than a window share nothing; repeated rows give repeated windows; without items or documents
@@ -262,21 +264,19 @@ def leak_windows(documents: DataFrame, items: DataFrame, spans: tuple[bool, ...]
                     yield window_rows(batch.column(0).slice(first, len(part)), columns)
 
     passages = documents.where(F.length("text") >= WORDS).select("doc_id", "text").mapInArrow(run, ROWS)
-    left = questions.select(F.col("id").alias("item_id"), "template", "pattern", F.col("units").alias("own")).distinct()
-    return passages.join(left, ["template", "pattern"]).select(F.col("id").alias("doc_id"), "item_id", "place", "spans", (F.col("units") == F.col("own")).alias("verbatim"))
+    left = questions.select(F.col("id").alias("item_id"), "template", "filling").distinct()
+    return passages.join(left, ["template", "filling"]).select(F.col("id").alias("doc_id"), "item_id", "place", "spans")
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and an item with a verbatim window."""
-    pairs = leak_windows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), (False,))
-    return pairs.where("verbatim").select("doc_id", "item_id").distinct()
+    return leak_windows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), (False,)).select("doc_id", "item_id").distinct()
 
 
 def reworded_pairs(documents: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id and n_windows: pairs without a verbatim window whose templates agree with consistent slots, and in how many places."""
-    places = leak_windows(documents, items).groupBy("doc_id", "item_id", "place", "spans").agg(F.max("verbatim").alias("verbatim"))
-    pairs = places.groupBy("doc_id", "item_id").agg(F.max(F.col("verbatim") & ~F.col("spans")).alias("v"), F.sum(F.col("spans").cast("long")).alias("n_windows"))
-    return pairs.where("not v and n_windows > 0").select("doc_id", "item_id", "n_windows")
+    pairs = leak_windows(documents, items).distinct().groupBy("doc_id", "item_id").agg(F.every("spans").alias("reworded"), F.count(F.lit(1)).alias("n_windows"))
+    return pairs.where("reworded").select("doc_id", "item_id", "n_windows")
 
 
 def reworded(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,7 +149,7 @@ def run(spark, texts, items):
     documents = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, item_text string")
     asked = spark.createDataFrame(items, "item_id long, item_text string, lang string")
     rows = leak_windows(documents, asked).collect()
-    verbatim = {(r.doc_id, r.item_id) for r in rows if r.verbatim and not r.spans}
+    verbatim = {(r.doc_id, r.item_id) for r in rows if not r.spans}
     return verbatim, {(r.doc_id, r.item_id): r.n_windows for r in reworded_pairs(documents, asked).collect()}
 
 
