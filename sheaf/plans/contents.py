@@ -113,7 +113,7 @@ def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed(content_packages(spark, sf_dir), "theme_font").select(c("source_sha256").alias("package"), "slot", "script", "font")
 
 
-_SECTIONS = f"""select package, ord, case when wide then 297.0 else 210.0 end width_mm, case when wide then 210.0 else 297.0 end height_mm, case when wide then 'landscape' else 'portrait' end orientation, coalesce(round((n + 1000) / 20 * 25.4 / 72, 1), 25.4) margin_top_mm, 31.8 margin_left_mm, n::int page_start, wide different_first_page
+_SECTIONS = f"""select package, ord, case when wide then 297e0 else 210e0 end width_mm, case when wide then 210e0 else 297e0 end height_mm, case when wide then 'landscape' else 'portrait' end orientation, coalesce(round((n + 1000) / 20 * 25.4 / 72, 1), 25.4)::double margin_top_mm, 31.8::double margin_left_mm, n::int page_start, wide different_first_page
   from (select package, n, n % {2 * SECTION} = 0 wide, {_placed(f"n % {SECTION} = 0")} union all select package, null, false, count(*) filter (n % {SECTION} = 0)::int from t group by package)"""
 
 
