@@ -46,6 +46,18 @@ def json_leaves(files: DataFrame, keys: list[str], raw: str) -> DataFrame:
     return chosen.mapInArrow(read, schema)
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """rows, joined by a shuffle only: Spark's estimates know nothing of how many leaves a file has, and by them the leaves would be sent to the driver."""
+    return rows.hint("merge")
+
+
+def spans(leaves: DataFrame, by: list[str], layer: str) -> DataFrame:
+    """by, first: the first layer with leaves, alone: whether it is the only one."""
+    own = F.col(layer)
+    one = F.coalesce((F.min(own) == F.max(own)) & F.bool_and(own.isNotNull()), F.lit(False))
+    return leaves.groupBy(*by).agg(F.min(own).alias("first"), one.alias("alone"))
+
+
 def later_nulls(leaves: DataFrame, by: list[str], layer: str) -> DataFrame:
     """The leaves with refused: whether one is null in any but the first layer."""
     first = leaves.groupBy(*by).agg(F.min(layer).alias("_first"))
@@ -68,8 +80,9 @@ def merge_layers(leaves: DataFrame, by: list[str], layer: str, refuse_null: bool
     below = opened.groupBy(*by, c("_up").alias("pointer")).agg(F.max("_l").alias("_below"))  # the last layer with anything under a pointer
     solid = (c("kind") != "object").cast("int")
     at = leaves.groupBy(*by, "pointer").agg(F.max_by(F.struct("kind", "value", c(layer).alias("layer")), F.struct(solid * 0 + c(layer))).alias("_w"), F.max(F.when(c("kind") != "object", c(layer))).alias("_solid"))
-    above = opened.join(at.select(*by, c("pointer").alias("_up"), "_solid"), [*by, "_up"]).groupBy(*by, "pointer").agg(F.max("_solid").alias("_above"))
-    kept = at.join(below, [*by, "pointer"], "left").join(above, [*by, "pointer"], "left")
+    solids = at.where("_solid is not null").select(*by, c("pointer").alias("_up"), "_solid")
+    above = opened.join(shuffled(solids), [*by, "_up"]).groupBy(*by, "pointer").agg(F.max("_solid").alias("_above"))
+    kept = at.join(shuffled(below), [*by, "pointer"], "left").join(shuffled(above), [*by, "pointer"], "left")
     own = c("_w.layer")
     empty = c("_w.kind") == "object"
     dropped = F.coalesce(c("_above") > own, F.lit(False)) | F.coalesce((c("_below") > own) | (empty & (c("_below") > F.coalesce(F.greatest(F.coalesce("_solid", F.lit(-1)), F.coalesce("_above", F.lit(-1))), F.lit(-1)))), F.lit(False))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sheaf.operators.drift import consistent_manifests
 from sheaf.operators.hierarchy import cycle_members, nearest_ancestor, preorder, resolve_chain
-from sheaf.operators.layers import json_leaves, later_nulls, merge_layers
+from sheaf.operators.layers import json_leaves, merge_layers, shuffled, spans
 from sheaf.operators.windows import latest
 from sheaf.plans.carriers import CURRENT, current_blocks, distinct_rows
 from sheaf.plans.joins import KEY, j11, u02
@@ -133,8 +133,12 @@ def r04(spark: SparkSession, sf_dir: str) -> DataFrame:
     A null of the first version is a leaf; one of a later version is refused, changes nothing and is a row with a fault.
     """
     rows = table(spark, sf_dir, "format_files").where("format_id is not null").select("format_id", "file_id", "raw_json")
-    leaves = later_nulls(json_leaves(latest(rows, ["format_id", "file_id"], [c("raw_json")]), ["format_id", "file_id"], "raw_json"), ["format_id"], "file_id")
-    merged = merge_layers(leaves.where("not refused").drop("refused"), ["format_id"], "file_id").withColumn("fault", F.lit(None).cast("string"))
+    files = latest(rows, ["format_id", "file_id"], [c("raw_json")])
+    marked = files.join(shuffled(spans(json_leaves(files, ["format_id", "file_id"], "raw_json"), ["format_id"], "file_id")), "format_id")
+    read = lambda which: json_leaves(marked.where(which), ["format_id", "file_id", "first"], "raw_json").withColumn("refused", (c("kind") == "null") & (c("file_id") > c("first"))).drop("first")
+    leaves = read("not alone")
+    whole = read("alone").select("format_id", "pointer", "kind", "value", c("file_id").alias("layer"))  # nothing is laid over the only version
+    merged = merge_layers(leaves.where("not refused").drop("refused"), ["format_id"], "file_id").unionByName(whole).withColumn("fault", F.lit(None).cast("string"))
     refused = leaves.where("refused").select("format_id", "pointer", "kind", "value", c("file_id").alias("layer"), F.lit("null_refused").alias("fault"))
     return merged.unionByName(refused)
 

@@ -15,6 +15,7 @@ from sheaf.operators.matching import bag_difference, greedy_matches, latest_befo
 from sheaf.operators.metrics import per_role, role_metrics
 from sheaf.operators.windows import islands, neighbours, numbered, running
 from sheaf.sources.files import merged
+from tests.oracle import compare, connection
 
 c = F.col
 
@@ -171,6 +172,22 @@ def test_layer_null_is_a_row(spark, tmp_path):
     assert got == {(*r, None) for r in kept} | {(*r, "null_refused") for r in refused}
 
 
+def test_layers_stay_off_the_driver(spark, tmp_path):
+    """A few files have many leaves: none of them is broadcast, and one, two and three versions give what the SQL gives."""
+    from sheaf.plans.registry import oracle_sql, queries
+
+    random.seed(7)
+    value = lambda depth: {random.choice("abc"): value(depth - 1) for _ in range(random.randint(0, 3))} if depth and random.random() < 0.6 else random.choice([1, None, "s", [1]])
+    files = [(n, f"f{n % 40 if n < 80 else n % 20}", "no json" if n % 17 == 0 else json.dumps({random.choice("abc"): value(3) for _ in range(3)})) for n in range(100)] + [(100 + n, f"alone{n}", json.dumps({"a": None, "b": n})) for n in range(20)]
+    both = spark.createDataFrame(files, "file_id long, format_id string, raw_json string").withColumns({"project_key": c("format_id"), "batch_no": c("file_id").cast("int"), "manifest_id": c("file_id")}).toPandas()
+    both.to_parquet(tmp_path / "format_files.parquet")
+    both.to_parquet(tmp_path / "manifest_files.parquet")
+    for name in ("r04_inherited_packages", "m01_merged_manifests"):
+        frame = queries()[name](spark, str(tmp_path))
+        compare(connection(tmp_path), oracle_sql()[name], frame)
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString(), name
+
+
 def test_metrics(spark):
     make = lambda rows: spark.createDataFrame(rows, "label string, accepted string, candidates array<string>, prediction string")
     h1, h2, h3, none = "heading.1", "heading.2", "heading.3", None
